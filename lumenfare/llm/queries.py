@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+import public_tokenizers
+
+from . import bpe, line_dedup
 from .common import table
 
 
@@ -10,8 +12,13 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op5_line_dedup": op5_line_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
