@@ -41,11 +41,13 @@ def dropped_runs(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts:
     lines = materialize(line_rows(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")), "lines")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc_id"), "pos")
     first = F.row_number().over(order) == 1
-    shared = (
+    # Written down, so that the join's two sides are plain shuffles and a hot line's side can be split at run time.
+    shared = materialize(
         lines.select("h1", "h2", "salt", "doc_id", "pos").repartitionByRange("h1", "h2", "salt")
         .select("h1", "h2", "doc_id", (first | ~F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id"))).alias("fresh"))
         .where("fresh").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"),
+        "shared",
     )
     lost = lines.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "row_hash", "pos")
     runs = F.aggregate(
