@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 250_000
 #: Pieces of one text that are joined at a time.
@@ -258,7 +260,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = USUAL_PATTERN) -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*names, "_ids", "_decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, _ids binary, _decoded binary")
+    return arrow_map(docs, run, f"{kinds}, _ids binary, _decoded binary")
 
 
 def digest(docs: DataFrame, path: str, pattern: str = USUAL_PATTERN) -> DataFrame:

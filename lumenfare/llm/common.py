@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that a kernel takes at once; a longer single text is taken alone.
 SLICE_BYTES = 2_000_000
 
@@ -42,6 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow on workers that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def arrow_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """df.groupBy(keys).applyInArrow on workers that have this package."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string column; null counts as empty."""
     column = column.cast(pa.large_string())

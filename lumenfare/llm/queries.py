@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_dedup
+from . import bpe, line_dedup, ngram_join
 from .common import table
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -17,10 +21,12 @@ def op9_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
+    "op3_ngram_join": ngram_join.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
 }
