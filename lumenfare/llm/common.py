@@ -135,6 +135,27 @@ def word_bounds(space: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
 
 
+#: Whatever is neither an ASCII letter or digit nor part of a longer UTF-8 sequence.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def fold(part: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 to lower case, on UTF-8 bytes."""
+    out = ASCII_LOWER[part]
+    after = np.flatnonzero(part[:-1] == 0xC3) + 1
+    after = after[(part[after] >= 0x80) & (part[after] <= 0x9E) & (part[after] != 0x97)]
+    out[after] += 0x20
+    return out
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), with case folded and every mark a separator; the span hasher instead of the hashes."""
+    part = fold(data[offsets[0] : offsets[-1]])
+    bounds = offsets - offsets[0]
+    start, end = word_bounds(IS_MARK[part], bounds)
+    return Spans(part), start, end, np.searchsorted(start, bounds)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte (from the first offset) of each lower-cased word, and the first word of each row (and their number)."""
     part = ASCII_LOWER[data[offsets[0] : offsets[-1]]]

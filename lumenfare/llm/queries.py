@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_dedup, ngram_join
+from . import bpe, decontam, line_dedup, ngram_join
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,6 +27,7 @@ def op9_bpe(spark, sf_dir):
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op5_line_dedup": op5_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,
 }
 
