@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, line_dedup, ngram_join
+from . import bpe, decontam, line_dedup, ngram_join, quality_crf, toxicity
 from .common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -20,14 +24,20 @@ def op7_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality_crf.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
 }
 
