@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, line_dedup, ngram_join, quality_crf, toxicity
+from . import bpe, decontam, fingerprint, line_dedup, ngram_join, quality_crf, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprint(spark, sf_dir):
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_fingerprint": op2_fingerprint,
     "op3_ngram_join": op3_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
