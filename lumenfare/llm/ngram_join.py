@@ -164,7 +164,8 @@ def tree_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None =
 
 def _sets(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """members (doc_id, family, part, ...) with the doc's set as binary: the texts travel to the members' rows once."""
-    both = members.join(texts, "doc_id").select(*members.columns, "text")
+    # Shuffled at any size: the plan must not hang on whether the members of a small corpus would fit a broadcast.
+    both = members.hint("merge").join(texts, "doc_id").select(*members.columns, "text")
     names = members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +190,6 @@ def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part:
     # The family's own class goes to each of its parts.
     placed = member.join(big, "family").select("doc_id", "family", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     dealt = placed.select("doc_id", "family", "parts", F.explode(F.when(F.col("doc_id") == F.col("family"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "family"), F.col("parts")).cast("int")))).alias("part"))
-    # One text for each representative; of repeated rows of a doc_id, that whose set the class is of.
-    own = classes.select("doc_id", "set_key").withColumnRenamed("set_key", "own_key")
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     held = materialize(_sets(dealt, texts, n), "sets")
 
