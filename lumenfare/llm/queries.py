@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, fingerprint, line_dedup, ngram_join, quality_crf, toxicity
+from . import bpe, decontam, fingerprint, line_dedup, ngram_join, quality_crf, toxicity, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
     "op3_ngram_join": op3_ngram_join,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -48,5 +53,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_ngram_join": ngram_join.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
 }
