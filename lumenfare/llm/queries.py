@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, fingerprint, line_dedup, ngram_join, quality_crf, toxicity, warc
+from . import bpe, chat, decontam, fingerprint, html_extract, line_dedup, ngram_join, quality_crf, toxicity, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,15 +44,21 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_chat_format(spark, sf_dir):
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
     "op3_ngram_join": op3_ngram_join,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
