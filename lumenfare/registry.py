@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.domain import Domain, oracle
+from .plans.reads import READS
+
+
+def _read(sql: str):
+    return lambda spark, sf_dir: Domain(spark, sf_dir).sql(sql)
+
+
+QUERIES: dict = {name: _read(sql) for name, sql in READS.items()}
+ORACLE_SQL: dict = {name: oracle(sql) for name, sql in READS.items()}
