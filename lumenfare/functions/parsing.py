@@ -19,7 +19,12 @@ TAX_EXCLUSIVE = (
 )
 TAX_INCLUSIVE = ("inclusive of tax", "including tax", "including taxes", "incl. tax", "incl tax", "tax included", "taxes included", "all inclusive", "inclusive of all taxes")
 URGENCY = ("left", "remaining", "last", "only")
-NUMBER = "[-+]?\\d[\\d,.   ]*\\d|\\d"
+NUMBER = r"[-+]?\d[\d,.\u00A0\u202F ]*\d|\d"
+
+
+def let(x: Column, body) -> Column:
+    """body(x) with x computed once: keeps generated code small where a value is used many times."""
+    return F.transform(F.array(x), body)[0]
 
 
 def _squeezed(text: Column) -> Column:
@@ -44,7 +49,10 @@ def normal_number(raw: Column) -> Column:
     With both separators the later one is decimal; a lone comma is decimal before exactly two last digits; lone dots are
     grouping when they part groups of three.
     """
-    n = F.regexp_replace(raw, "[   ]", "")
+    return let(F.regexp_replace(raw, r"[\u00A0\u202F ]", ""), _plain)
+
+
+def _plain(n: Column) -> Column:
     comma, dot = F.contains(n, F.lit(",")), F.contains(n, F.lit("."))
     last_comma, last_dot = F.length(n) - F.instr(F.reverse(n), ","), F.length(n) - F.instr(F.reverse(n), ".")
     return (
@@ -58,14 +66,16 @@ def normal_number(raw: Column) -> Column:
 
 def parse_price(text: Column, least: str = MIN_PRICE, most: str = MAX_PRICE) -> Column:
     """struct(value decimal(12,2), error): the error is null, no_text, no_number, unparseable or out_of_range."""
-    raw = first_number(text)
-    value = normal_number(raw).try_cast("decimal(38,10)")
-    error = (
-        F.when(F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("")) == "", "no_text")
-        .when(raw.isNull(), "no_number").when(value.isNull(), "unparseable")
-        .when((value < F.lit(least).cast("decimal(38,10)")) | (value > F.lit(most).cast("decimal(38,10)")), "out_of_range")
-    )
-    return F.struct(F.when(error.isNull(), F.round(value, 2)).cast("decimal(12,2)").alias("value"), error.alias("error"))
+    low, high = F.lit(least).cast("decimal(38,10)"), F.lit(most).cast("decimal(38,10)")
+    blank = F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("")) == ""
+
+    def judge(x: Column) -> Column:
+        value = x["value"]
+        error = F.when(x["blank"], "no_text").when(x["raw"].isNull(), "no_number").when(value.isNull(), "unparseable").when((value < low) | (value > high), "out_of_range")
+        return F.struct(F.when(error.isNull(), F.round(value, 2)).cast("decimal(12,2)").alias("value"), error.alias("error"))
+
+    read = let(first_number(text), lambda raw: F.struct(raw.alias("raw"), normal_number(raw).try_cast("decimal(38,10)").alias("value"), blank.alias("blank")))
+    return let(read, judge)
 
 
 def price_or_null(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import ops
 from .plans.domain import Domain, oracle
 from .plans.reads import READS
 
@@ -10,5 +11,5 @@ def _read(sql: str):
     return lambda spark, sf_dir: Domain(spark, sf_dir).sql(sql)
 
 
-QUERIES: dict = {name: _read(sql) for name, sql in READS.items()}
-ORACLE_SQL: dict = {name: oracle(sql) for name, sql in READS.items()}
+QUERIES: dict = {name: _read(sql) for name, sql in READS.items()} | ops.QUERIES
+ORACLE_SQL: dict = {name: oracle(sql) for name, sql in READS.items()} | ops.ORACLE_SQL
