@@ -68,3 +68,23 @@ SELECT hotel_id, CAST(check_in AS STRING) AS check_in, CAST(check_out AS STRING)
 FROM (SELECT t.*, today + CAST(lead_days AS INT) AS check_in, today + CAST(lead_days + stay_nights AS INT) AS check_out
       FROM {targets} t JOIN {hotels} h ON h.hotel_id = t.hotel_id CROSS JOIN (SELECT max(check_in) AS today FROM {obs}) d WHERE t.is_enabled AND h.is_active) x
 GROUP BY hotel_id, check_in, check_out, adults, children"""
+
+
+def token_bucket(requests: DataFrame, per_minute: float, capacity: float, penalty_seconds: int = 3600) -> DataFrame:
+    """requests (source_id, at, request_id, failed) with `allowed`: a bucket for each source that refills continuously.
+
+    A failed request halves the refill for `penalty_seconds`. Folded in order of time for each source.
+    """
+    row = F.struct(F.unix_micros("at").alias("at"), "request_id", "failed")
+
+    def merge(acc: Column, r: Column) -> Column:
+        s = acc["s"]
+        slow = r["at"] < s["until"]
+        rate = F.when(slow, per_minute / 2).otherwise(per_minute) / F.lit(60e6)
+        tokens = F.least(F.lit(capacity), s["tokens"] + (r["at"] - s["at"]) * rate)
+        one = F.transform(F.array(tokens), lambda x: F.struct(x.alias("x"), (x >= 1).alias("ok")))[0]
+        return F.transform(F.array(one), lambda o: F.struct(F.struct(F.when(o["ok"], o["x"] - 1).otherwise(o["x"]).alias("tokens"), r["at"].alias("at"), F.when(o["ok"] & r["failed"], r["at"] + penalty_seconds * 1_000_000).otherwise(s["until"]).alias("until")).alias("s"), F.concat(acc["out"], F.array(F.struct(r["request_id"].alias("request_id"), o["ok"].alias("allowed")))).alias("out")))[0]
+
+    zero = F.struct(F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("until")).alias("s"), F.expr("cast(array() as array<struct<request_id: bigint, allowed: boolean>>)").alias("out"))
+    folded = requests.groupBy("source_id").agg(F.aggregate(F.array_sort(F.collect_list(row)), zero, merge, lambda a: a["out"]).alias("o"))
+    return folded.select("source_id", F.inline("o"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import dates, keys, mapping, matching, parsing, render
-from ..operators import carryover, detector, presence, routing, schedule
+from ..operators import carryover, detector, discovery, presence, routing, schedule
+from ..sources import payloads, sinks
+from ..streaming import detector as streaming
 from . import derive, domain
 from .domain import Domain, oracle
 
@@ -217,6 +222,71 @@ def c4_fold_stream(spark, sf):
     return detector.fold_stream(derive.observations(spark, sf)).groupBy("offer_key", "outcome").agg(F.count("*").alias("n"))
 
 
+def s4_keyed_rates(spark, sf):
+    """Two-level keyed payloads built of lineitems: rooms by slug, in each one plan."""
+    li = derive.load(spark, sf, "lineitem")
+    cents = F.col("l_extendedprice")
+    rate = F.struct(cents.alias("rate"), F.when(F.col("l_linenumber") % 2 == 0, cents).otherwise(cents + 100).alias("inclusive"), F.lit(50.0).alias("tax"))
+    slug = F.concat(F.lit("room_"), F.col("l_partkey").cast("string"))
+    room = F.struct(F.when(F.col("l_returnflag") == "A", F.lit("Named Room")).alias("displayName"), (F.col("l_linestatus") == "O").alias("available"), F.create_map(F.when(F.col("l_linenumber") % 3 == 0, "EP").otherwise("XX"), rate).alias("rates"))
+    payload = F.to_json(F.create_map(slug, room))
+    o = payloads.keyed_rates(li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), payload.alias("payload")))
+    return _double(o)
+
+
+S4_SQL = """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'Named Room' ELSE 'Room ' || l_partkey END AS raw_room_name, round(r + CASE WHEN l_linenumber % 2 = 0 THEN 50 ELSE 100 END, 2) AS price_inclusive, r AS price_exclusive, 50.0::DOUBLE AS taxes_fees,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'Room Only' ELSE 'XX' END AS meal_plan, l_linestatus = 'O' AS is_available FROM (SELECT *, l_extendedprice AS r FROM lineitem) t"""
+
+
+def s13_idempotent_append(spark, sf):
+    """Observations of which some were stored before: what an append would add."""
+    o = derive.observations(spark, sf)
+    return sinks.new_rows(o.union(o), o.where(F.col("is_available")), "offer_key", "checked_at").groupBy("hotel_id").agg(F.count("*").alias("n"))
+
+
+S13_SQL = "SELECT hotel_id, count(*) AS n FROM (SELECT DISTINCT offer_key, checked_at, hotel_id FROM {obs} o WHERE NOT EXISTS (SELECT 1 FROM {obs} p WHERE p.offer_key = o.offer_key AND p.checked_at = o.checked_at AND p.is_available)) t GROUP BY hotel_id"
+
+
+def s16_retention(spark, sf):
+    """Rows by month that a retention of 48 months keeps."""
+    o = derive.load(spark, sf, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return sinks.within_retention(o, "2001-08-01", 48).groupBy("month").agg(F.count("*").alias("n"))
+
+
+S16_SQL = "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1997-08-01' GROUP BY 1"
+
+
+def s20_probe_pages(spark, sf):
+    return payloads.probe_report(derive.load(spark, sf, "pages"))
+
+
+def d7_discover_arrays(spark, sf):
+    """Payloads built of orders and their lineitems: the arrays that hold offers."""
+    li = derive.load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("Room "), F.col("l_partkey").cast("string")).alias("room_name"), F.round(F.col("l_extendedprice") + 100, 2).alias("price")))).alias("rooms"))
+    p = li.select(F.col("l_orderkey").alias("page_id"), F.to_json(F.struct(F.struct("rooms", F.array(F.struct(F.lit("Visa").alias("name"))).alias("cards")).alias("data"))).alias("payload"), F.array_join(F.transform("rooms", lambda r: r["price"].cast("string")), " ").alias("page_text"))
+    return discovery.candidates(p).select("page_id", "path", "name_field", "price_field", F.col("n_rows").cast("long").alias("n_rows"), "n_names", F.col("place").cast("long").alias("place"))
+
+
+D7_SQL = """
+SELECT l_orderkey AS page_id, 'data.rooms' AS path, 'room_name' AS name_field, 'price' AS price_field, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_names, 1::BIGINT AS place FROM lineitem GROUP BY l_orderkey"""
+
+
+def w2_stream_outcomes(spark, sf):
+    """The detector as a stream over the stored observations, one micro-batch for all that is there."""
+    base = f"{session.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    derive.observations(spark, sf).select("offer_key", "checked_at", "event_id", "price", "is_available").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    stream = streaming.detect(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("offer_key", "outcome").agg(F.count("*").alias("n"))
+
+
+def w8_token_bucket(spark, sf):
+    e = derive.load(spark, sf, "events").select((F.col("user_id") % 10).alias("source_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("request_id"), (F.col("event_type") == "error").alias("failed"))
+    return schedule.token_bucket(e, per_minute=0.02, capacity=3.0)
+
+
 FOLD_SQL = "SELECT offer_key, outcome, count(*) AS n FROM {steps} GROUP BY offer_key, outcome"
 
 KEY_SQL = "SELECT event_id, offer_key FROM {obs}"
@@ -228,7 +298,7 @@ SELECT c_custkey, CASE WHEN cents < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN
   || CASE WHEN abs(cents) % 100 > 0 THEN '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') ELSE '' END AS money, '&lt;b&gt;&quot;' || c_name || '&quot; &amp; &#39;co&#39;&lt;/b&gt;' AS escaped
 FROM (SELECT c_custkey, c_name, CAST(round(c_acctbal * 100000) AS BIGINT) AS cents, abs(CAST(round(c_acctbal * 100000) AS BIGINT)) // 100 AS w FROM customer) t"""
 
-QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t9_circuits, t10_stale_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution)}
+QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t9_circuits, t10_stale_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
 
 
 def _circuit_oracle() -> str:
@@ -239,5 +309,5 @@ def _circuit_oracle() -> str:
 ORACLE_SQL = {
     "k4_offer_keys": oracle(KEY_SQL), "k6_dedupe_keys": DEDUPE_SQL, "k9_slugs": SLUG_SQL, "p3_parse_prices": P3_SQL, "p5_text_signals": P5_SQL, "m2_offers_from_json": M2_SQL, "m11_redaction": M11_SQL, "t2_stay_windows": T2_SQL,
     "t6_due_groups": oracle(schedule.DUE_SQL), "t9_circuits": _circuit_oracle(), "t10_stale_targets": oracle(T10_SQL), "n1_quiet_hours": N1_SQL, "n4_digests": oracle(routing.DIGEST_SQL), "n6_suppression": oracle(routing.SUPPRESSION_SQL), "n8_ops_alerts": oracle(N8_SQL), "n9_hourly_quota": N9_SQL, "n13_money": MONEY_SQL,
-    "q25_delivery_state": Q25_SQL, "c4_fold_stream": oracle(FOLD_SQL), "c14_disappearances": oracle(presence.SQL), **{n: oracle(s) for n, s in carryover.ORACLES.items()},
+    "q25_delivery_state": Q25_SQL, "s4_keyed_rates": S4_SQL, "s13_idempotent_append": oracle(S13_SQL), "s16_retention": S16_SQL, "d7_discover_arrays": D7_SQL, "w2_stream_outcomes": oracle(FOLD_SQL), "c4_fold_stream": oracle(FOLD_SQL), "c14_disappearances": oracle(presence.SQL), **{n: oracle(s) for n, s in carryover.ORACLES.items()},
 }

@@ -34,3 +34,12 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not got:
+        got = "file://" + tempfile.mkdtemp(prefix="lumenfare-")
+        spark.sparkContext.setCheckpointDir(got)
+    return got
