@@ -284,7 +284,7 @@ def w2_stream_outcomes(spark, sf):
 
 def w8_token_bucket(spark, sf):
     e = derive.load(spark, sf, "events").select((F.col("user_id") % 10).alias("source_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("request_id"), (F.col("event_type") == "error").alias("failed"))
-    return schedule.token_bucket(e, per_minute=0.02, capacity=3.0)
+    return schedule.token_bucket(e, per_minute=0.002, capacity=3.0)
 
 
 FOLD_SQL = "SELECT offer_key, outcome, count(*) AS n FROM {steps} GROUP BY offer_key, outcome"
