@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|\d+")
 
@@ -85,7 +85,6 @@ def parse(page: str) -> Node:
     while at < end:
         m = _TOKEN.match(page, at)
         if m is None:
-            # A "<" of an unclosed attribute quote: text, like any other stray "<".
             node.children.append("<")
             at += 1
             continue

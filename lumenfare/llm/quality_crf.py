@@ -70,7 +70,9 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     line = np.repeat(np.arange(n), stop - begin)
     counts = np.bincount(line * 10 + _KIND[part], minlength=n * 10).reshape(n, 10).astype(float)
     folded = fold(part)
-    counts[:, UPPER] += np.bincount(line[folded != part], minlength=n) - counts[:, UPPER]
+    capitals = np.bincount(line[folded != part], minlength=n) - counts[:, UPPER]
+    counts[:, UPPER] += capitals
+    counts[:, LOWER] -= capitals
     start, end = word_bounds(IS_SPACE[part], bounds)
     word = Spans(folded).hash(start, end)
     of = line[start] if len(start) else np.zeros(0, np.int64)
