@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 250_000
-#: Pieces of one text that are joined at a time.
-BLOCK = 1_000_000
+REMEMBERED = 200_000
+#: Pieces that are learnt and joined at a time, of many texts or of one long text.
+BLOCK = 300_000
 
 #: The usual split pattern, and for texts of basic Latin letters only the same in Python's own syntax.
 SIMPLE_TEXT = re.compile("[\x00-\x1b\x20-\u024f]*")
@@ -151,7 +151,7 @@ class Encoder:
                     key = last[at - 1] << 32 | token
                     fits = valid.get(key)
                     if fits is None:
-                        if len(valid) > 4 * REMEMBERED:
+                        if len(valid) > 2 * REMEMBERED:
                             valid.clear()
                         fits = valid[key] = self._pair(last[at - 1], token)
                     if fits:

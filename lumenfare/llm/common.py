@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Bytes of text that a kernel takes at once; a longer single text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _U = np.uint64
 
@@ -110,7 +110,7 @@ class Spans:
     """Hashes of byte spans of one slice by prefix sums of a polynomial over randomised bytes."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _radix_powers(max(len(data), 1 << 21))
+        up, self.down = _radix_powers(max(len(data), 1 << 20))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
 
