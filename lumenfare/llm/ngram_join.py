@@ -186,9 +186,10 @@ def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part:
     bands = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     heads = bands.groupBy("band", "key").agg(F.min("doc_id").alias("family"), F.count("*").alias("n")).where("n > 1").select("band", "key", "family")
     member = materialize(bands.join(heads, ["band", "key"]).select("doc_id", "family").distinct(), "members")
-    big = member.groupBy("family").agg(F.count("*").alias("n"))
+    # Only families of more than one part are looked up, from a written table, so that a hot family's side can be split.
+    big = materialize(member.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > part), "families")
     # The family's own class goes to each of its parts.
-    placed = member.join(big, "family").select("doc_id", "family", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    placed = member.join(big, "family", "left").select("doc_id", "family", F.coalesce(F.ceil(F.col("n") / part), F.lit(1)).cast("int").alias("parts"))
     dealt = placed.select("doc_id", "family", "parts", F.explode(F.when(F.col("doc_id") == F.col("family"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "family"), F.col("parts")).cast("int")))).alias("part"))
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     held = materialize(_sets(dealt, texts, n), "sets")
