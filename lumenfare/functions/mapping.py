@@ -38,7 +38,9 @@ FIELDS = ("room_name", "price_inclusive", "price_exclusive", "taxes_fees", "curr
 
 def offer_from(node: Column, mapping: dict[str, str], currency: str = "INR") -> Column:
     """An offer struct from a JSON node: a name is required, and a price where it is available; tax fills in the missing side."""
-    text = F.struct(*[(dig(node, mapping[f])["value"] if f in mapping else F.lit(None).cast("string")).alias(f) for f in FIELDS])
+    nothing = F.lit(None).cast("string")
+    # The node is parsed once; its fields are read off the parsed value.
+    text = parsing.let(F.try_parse_json(node), lambda v: F.struct(*[(F.try_variant_get(v, json_path(mapping[f]), "string") if f in mapping else nothing).alias(f) for f in FIELDS]))
 
     def priced(t: Column) -> Column:
         read = [parsing.price_or_null(t[f]).alias(f) for f in ("price_inclusive", "price_exclusive", "taxes_fees")]
