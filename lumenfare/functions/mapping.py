@@ -109,3 +109,18 @@ def scrub(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._\-]+", "Bearer [redacted]")
     out = F.regexp_replace(out, r'(?i)("?(?:password|passwd|secret|token|api[_-]?key|authorization)"?\s*[:=]\s*)"?[^\s",}]+"?', "$1[redacted]")
     return F.regexp_replace(out, r"[A-Za-z0-9_\-]{40,}", "[redacted]")
+
+
+# Booking engines by a part of their host, first match wins, and where each keeps a property's id.
+ENGINES = (("djubo", "djubo.com", r"property[_-]?id=(\w+)"), ("staah", "staah.net", r"/(\d+)(?:/|$)"), ("resavenue", "resavenue.com", r"regCode=(\w+)"), ("axisrooms", "axisrooms.com", r"searchHotel(\d+)"), ("example", "example.com", r"/(\d+)"))
+
+
+def detect_engine(url: Column, engines: tuple[tuple[str, str, str], ...] = ENGINES) -> Column:
+    """struct(engine, external_id): the first engine whose mark the host contains; null fields where none does."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    name, external = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for engine, mark, pattern in reversed(engines):
+        hit = F.coalesce(F.contains(host, F.lit(mark)), F.lit(False))
+        name = F.when(hit, engine).otherwise(name)
+        external = F.when(hit, F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))).otherwise(external)
+    return F.struct(name.alias("engine"), external.alias("external_id"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -110,6 +110,14 @@ def fold(obs: DataFrame, t: Thresholds = Thresholds(), price: str = "price") ->
     return with_deltas(out)
 
 
+def fold_rebased(obs: DataFrame, basis: str, t: Thresholds = Thresholds()) -> DataFrame:
+    """The fold where a price's basis (with or without tax) may change: a new basis starts the offer anew, as a first sight."""
+    line = Window.partitionBy("offer_key").orderBy("checked_at", "event_id")
+    turned = (~F.col(basis).eqNullSafe(F.lag(basis).over(line))).cast("int")
+    parts = obs.withColumn("_turned", turned).withColumn("offer_key", F.concat("offer_key", F.lit("#"), F.sum("_turned").over(line).cast("string")))
+    return fold(parts, t).withColumn("offer_key", F.regexp_replace("offer_key", r"#\d+$", ""))
+
+
 def _split(schema: str) -> list[str]:
     out, depth, word = [], 0, ""
     for ch in schema:

@@ -105,4 +105,28 @@ SELECT offer_key, CAST(price AS DOUBLE) AS price, is_available FROM (
   SELECT offer_key, price, is_available, row_number() OVER (PARTITION BY offer_key ORDER BY checked_at DESC, event_id DESC) AS k FROM {obs}) t WHERE k = 1""",
     "w6_tumbling_buckets": """
 SELECT hotel_id, US(bucket) AS bucket, count(*) AS n, max(CAST(price AS DOUBLE)) AS top FROM (SELECT *, date_trunc('day', checked_at) AS bucket FROM {obs}) t GROUP BY hotel_id, bucket""",
+    "q6_unmatched_queue": """
+SELECT u.hotel_id, h.name AS hotel, u.raw_name, u.occurrence_count, US(u.first_seen_at) AS first_seen_at, US(u.last_seen_at) AS last_seen_at
+FROM (SELECT hotel_id, 'Room ' || CAST(room_type_id AS STRING) || ' of ' || CAST(check_in AS STRING) AS raw_name, count(*) AS occurrence_count, min(checked_at) AS first_seen_at, max(checked_at) AS last_seen_at FROM {obs} GROUP BY hotel_id, room_type_id, check_in) u
+JOIN {hotels} h ON h.hotel_id = u.hotel_id ORDER BY u.occurrence_count DESC, u.hotel_id, u.raw_name LIMIT 100""",
+    "q12_targets_list": """
+SELECT t.target_id, h.name AS hotel, t.strategy, t.is_enabled, t.interval_minutes, CAST(d.today + CAST(t.lead_days AS INT) AS STRING) AS check_in, CAST(d.today + CAST(t.lead_days + t.stay_nights AS INT) AS STRING) AS check_out
+FROM {targets} t JOIN {hotels} h ON h.hotel_id = t.hotel_id CROSS JOIN (SELECT max(check_in) AS today FROM {obs}) d""",
+    "q15_notifications_list": """
+SELECT o.o_orderkey AS notification_id, r.name AS recipient, r.channel, h.name AS hotel, CASE o.o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'sent' ELSE 'queued' END AS status, US(o.o_orderdate) AS created_at
+FROM {orders} o JOIN {recipients} r ON r.recipient_id = o.o_custkey LEFT JOIN {hotels} h ON h.hotel_id = o.o_custkey % 10""",
+    "q24_changes_by_local_day": """
+SELECT change_id, hotel_id, direction, delta, CAST(floor((US(changed_at) + 19800000000) / 86400000000) AS BIGINT) AS local_day FROM {changes}""",
+    "q27_popup_lines": """
+SELECT change_id, CASE direction WHEN 'became_unavailable' THEN 'Sold out' WHEN 'became_available' THEN 'Back on sale' ELSE direction || ' ' || CAST(CAST(old_price AS BIGINT) AS STRING) || ' to ' || CAST(CAST(new_price AS BIGINT) AS STRING) END AS line FROM {changes}""",
+    "n11_release_held": """
+SELECT o_orderkey AS notification_id, o_custkey AS recipient_id FROM {orders} WHERE o_orderstatus = 'P' AND US(o_orderdate) <= 883612800000000 ORDER BY o_orderdate, o_orderkey LIMIT 500""",
+    "n12_digest_lines": """
+SELECT c.change_id, h.name AS hotel, r.room, CAST(s.check_in AS STRING) AS check_in, c.direction, c.delta FROM {changes} c LEFT JOIN {series} s ON s.offer_key = c.offer_key LEFT JOIN {rooms} r ON r.room_type_id = s.room_type_id LEFT JOIN {hotels} h ON h.hotel_id = c.hotel_id""",
+    "n18_silence_by_hotel": """
+SELECT hotel_id, count(*) AS n_stale, min(target_id) AS first_target, max(target_id) AS last_target, max(US(last_success_at)) AS newest_success FROM {targets} WHERE is_enabled AND last_success_at < (SELECT max(ran_at) FROM {target_runs}) - INTERVAL 90 DAYS GROUP BY hotel_id""",
+    "i5_sold_out_fetches": """
+SELECT hotel_id, US(run_at) AS run_at, seen, seen > 0 AND open_offers = 0 AS sold_out FROM {runs}""",
+    "i6_collapse_alarm": """
+SELECT hotel_id, US(run_at) AS run_at, collapsed FROM (SELECT hotel_id, run_at, count(*) - count(DISTINCT offer_key) AS collapsed FROM (SELECT *, date_trunc('hour', checked_at) AS run_at FROM {obs}) t GROUP BY hotel_id, run_at) x WHERE collapsed > 0""",
 }

@@ -170,3 +170,28 @@ def test_discovery_helpers(spark):
     assert one(spark, discovery.really_changed(m(kind="dom", discovery_note="x"), m(kind="dom", discovery_note="y"))) is False
     got = one(spark, discovery.may_repair(F.lit(True), F.lit(3), F.lit(None).cast("timestamp"), F.current_timestamp()))
     assert (got.allowed, got.reason) == (False, "attempts_used")
+
+
+CARD_PAGE = """<div class="legend">From ₹999</div><div class="list">
+<div class="card"><h3 class="name">Deluxe Room</h3><span class="price">₹2,500</span><p>Exclusive of tax. Only 2 left</p></div>
+<div class="card"><h3 class="name">Suite</h3><span class="price">₹8,900</span><p>Lake view</p></div>
+<div class="card"><h3 class="name">Family Room</h3><span class="price">₹4,100</span><p>Garden</p></div></div>"""
+
+
+def test_room_cards(spark):
+    from lumenfare.sources import cards, payloads
+
+    pages = spark.createDataFrame([(1, CARD_PAGE), (2, "<p>nothing</p>"), (3, None)], "page_id long, html string")
+    found = {r.page_id: r.c for r in pages.select("page_id", cards.room_cards(F.col("html")).alias("c")).collect()}
+    assert (found[1].card_selector, found[1].name_selector, found[1].price_selector, found[1].n_cards) == ("div.card", "h3.name", "span.price", 3)
+    got = {r.raw_room_name: r for r in payloads.adapter("rendered_page")(pages).collect()}
+    assert got["Deluxe Room"].price_exclusive == 2500 and got["Deluxe Room"].price_inclusive is None and got["Deluxe Room"].rooms_left == 2
+    assert got["Suite"].price_inclusive == 8900 and got["Suite"].is_available and len(got) == 3
+
+
+def test_engines_and_rebase(spark):
+    got = one(spark, mapping.detect_engine(F.col("u")), u="https://book.example.com/h/17?x=1")
+    assert (got.engine, got.external_id) == ("example", "17") and one(spark, mapping.detect_engine(F.col("u")), u="https://other.org/1").engine is None
+    at = lambda h: dt.datetime(2026, 1, 1, h)
+    obs = spark.createDataFrame([("a", at(1), 1, Decimal(1000), True, "inclusive"), ("a", at(2), 2, Decimal(900), True, "exclusive"), ("a", at(3), 3, Decimal(900), True, "exclusive")], "offer_key string, checked_at timestamp, event_id long, price decimal(12,2), is_available boolean, basis string")
+    assert [r.outcome for r in detector.fold_rebased(obs, "basis").orderBy("event_id").collect()] == ["first_sight", "first_sight", "unchanged"]
