@@ -164,7 +164,7 @@ def _known(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray, sieve:
     return both // len(vocabulary), both % len(vocabulary)
 
 
-def _regress(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], n: int, fairness: float, ridge: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _regress(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], n: int, fairness: float, ridge: float = 1e-5, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Adam on the mean log loss, a ridge and the twins' squared score differences."""
     at = np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
