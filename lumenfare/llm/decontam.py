@@ -57,8 +57,8 @@ class Items:
 
     def mark_rare(self, frequency: dict[int, int]) -> None:
         df = np.array([frequency.get(int(g), 0) for g in self.gram], np.int64)
-        for k in np.unique(self.item):
-            own = self.item == k
+        order = np.argsort(self.item, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
             self.rare[own] = df[own] <= np.median(df[own])
 
     def hits(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
