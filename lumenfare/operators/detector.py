@@ -1,8 +1,9 @@
 """The change detector: a debounced state machine folded over each offer's observations.
 
-One definition of a step, in two bindings. `fold` states it as a higher-order expression: rows of a key are collected in
-order and folded inside the JVM, best for keys of up to some thousands of observations. `fold_stream` runs the same step in Python over
-sorted partitions, holding one key's state only, for keys of any length; `streaming.detector` keeps it as keyed state.
+One definition of a step, in two bindings. `fold_stream` runs it over sorted partitions, holding one key's state only, and
+is what everything else uses: a key may have any number of observations. `fold` states it as a higher-order expression
+inside the JVM; it collects a key's rows, so it is for keys of bounded length. `streaming.detector` keeps the step as
+keyed state.
 
 Order within a key is (checked_at, event_id). Exact replays (same key and time) are dropped before the fold, so that a
 replay changes nothing. Null prices of available offers neither confirm nor change anything.
@@ -10,15 +11,13 @@ replay changes nothing. Null prices of available offers neither confirm nor chan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .sequential import fold_sorted
 
 NOTIFIABLE = ("changed", "became_unavailable", "became_available")
 
@@ -115,7 +114,7 @@ def fold_rebased(obs: DataFrame, basis: str, t: Thresholds = Thresholds()) -> Da
     line = Window.partitionBy("offer_key").orderBy("checked_at", "event_id")
     turned = (~F.col(basis).eqNullSafe(F.lag(basis).over(line))).cast("int")
     parts = obs.withColumn("_turned", turned).withColumn("offer_key", F.concat("offer_key", F.lit("#"), F.sum("_turned").over(line).cast("string")))
-    return fold(parts, t).withColumn("offer_key", F.regexp_replace("offer_key", r"#\d+$", ""))
+    return fold_stream(parts, t).withColumn("offer_key", F.regexp_replace("offer_key", r"#\d+$", ""))
 
 
 def _split(schema: str) -> list[str]:
@@ -140,7 +139,7 @@ def with_deltas(steps: DataFrame) -> DataFrame:
 
 def changes(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """The steps that are told to people."""
-    return fold(obs, t).where(F.col("outcome").isin(*NOTIFIABLE))
+    return fold_stream(obs, t).where(F.col("outcome").isin(*NOTIFIABLE))
 
 
 @dataclass(frozen=True)
@@ -181,26 +180,13 @@ def step(s: State | None, price: Decimal | None, avail: bool, at: object, t: Thr
 def fold_stream(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """As fold, for keys of any length: partitions sorted by key and time, one key's state held at a time."""
     rows = without_replays(obs).select("offer_key", "checked_at", "event_id", F.col("price").cast("decimal(12,2)").alias("price"), F.coalesce("is_available", F.lit(False)).alias("is_available"))
-    dealt = rows.repartition("offer_key").sortWithinPartitions("offer_key", "checked_at", "event_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        for batch in batches:
-            out = []
-            for k, at, event, price, avail in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    key, state = k, None
-                before = state
-                outcome, state = step(state, price, avail, at, t)
-                since = (before.since or at) if before and outcome in NOTIFIABLE else at
-                out.append((k, event, at, outcome, before.last if before else None, price, since, state.last, state.current, avail, state.n))
-            columns = list(zip(*out)) if out else [[]] * 11
-            money, time = pa.decimal128(12, 2), pa.timestamp("us", tz="UTC")
-            kinds = (pa.string(), pa.int64(), time, pa.string(), money, money, time, money, money, pa.bool_(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["offer_key", *(x.split()[0] for x in _split(_STEP))])
-
-    ship(obs.sparkSession)
-    return with_deltas(dealt.mapInArrow(run, f"offer_key string, {_STEP}"))
+
+    def walk(before: State | None, at: object, event: int, price: Decimal | None, avail: bool) -> tuple[State, tuple]:
+        outcome, after = step(before, price, avail, at, t)
+        since = (before.since or at) if before and outcome in NOTIFIABLE else at
+        return after, (event, at, outcome, before.last if before else None, price, since, after.last, after.current, avail, after.n)
+
+    return with_deltas(fold_sorted(rows, "offer_key", ["checked_at", "event_id"], walk, _STEP))
 
 
 #: The fold for a plain SQL engine: a recursion over each offer's observations in order.

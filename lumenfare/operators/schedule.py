@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from .sequential import fold_sorted
 
 #: Failures in a row that open a circuit, and how long it cools, in seconds.
 OPEN_AFTER, COOL_SECONDS = 5, 3600
@@ -23,21 +24,18 @@ def is_stale(last_success: Column, created: Column, interval_minutes: Column, no
 
 
 def circuits(runs: DataFrame, open_after: int = OPEN_AFTER) -> DataFrame:
-    """(target_id, state, failures, n_runs, n_opened) after a fold over each target's runs (target_id, run_id, ran_at, ok, refused) in order of time.
+    """(target_id, state, failures, n_runs, n_opened) after each target's runs (target_id, run_id, ran_at, ok, refused) in order of time.
 
     Success closes and clears; a refusal, a failed probe, or `open_after` failures in a row open. An open circuit's next run is its probe.
     """
-    row = F.struct("ran_at", "run_id", "ok", "refused")
-
-    def merge(s: Column, r: Column) -> Column:
-        failures = F.when(r["ok"], 0).otherwise(s["failures"] + 1)
-        opens = ~r["ok"] & (r["refused"] | (s["state"] == "open") | (failures >= open_after))
-        state = F.when(r["ok"], "closed").when(opens, "open").otherwise(s["state"])
-        return F.struct(state.alias("state"), failures.alias("failures"), (s["n"] + 1).alias("n"), (s["opened"] + F.when(opens & (s["state"] != "open"), 1).otherwise(0)).alias("opened"))
-
-    zero = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("n"), F.lit(0).alias("opened"))
-    folded = runs.groupBy("target_id").agg(F.aggregate(F.array_sort(F.collect_list(row)), zero, merge).alias("s"))
-    return folded.select("target_id", F.col("s.state").alias("state"), F.col("s.failures").cast("long").alias("failures"), F.col("s.n").cast("long").alias("n_runs"), F.col("s.opened").cast("long").alias("n_opened"))
+    # Between two successes lies a streak of failures. It opens once at the most: by a refusal, by its length, and while
+    # open every further failure is a failed probe. So a streak needs its length and whether it was refused, no state.
+    line = Window.partitionBy("target_id").orderBy("ran_at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    streaks = runs.withColumn("streak", F.count_if("ok").over(line)).groupBy("target_id", "streak").agg(F.count_if(~F.col("ok")).alias("failures"), F.coalesce(F.bool_or(~F.col("ok") & F.col("refused")), F.lit(False)).alias("refused"), F.count("*").alias("n"))
+    judged = streaks.withColumn("open", F.col("refused") | (F.col("failures") >= open_after))
+    last = F.max_by(F.struct(F.when(F.col("open"), "open").otherwise("closed").alias("state"), "failures"), "streak")
+    folded = judged.groupBy("target_id").agg(last.alias("s"), F.sum("n").alias("n_runs"), F.count_if("open").alias("n_opened"))
+    return folded.select("target_id", "s.state", "s.failures", "n_runs", "n_opened")
 
 
 CIRCUIT_SQL = """
@@ -75,16 +73,12 @@ def token_bucket(requests: DataFrame, per_minute: float, capacity: float, penalt
 
     A failed request halves the refill for `penalty_seconds`. Folded in order of time for each source.
     """
-    row = F.struct(F.unix_micros("at").alias("at"), "request_id", "failed")
-
-    def merge(acc: Column, r: Column) -> Column:
-        s = acc["s"]
-        slow = r["at"] < s["until"]
-        rate = F.when(slow, per_minute / 2).otherwise(per_minute) / F.lit(60e6)
-        tokens = F.least(F.lit(capacity), s["tokens"] + (r["at"] - s["at"]) * rate)
-        one = F.transform(F.array(tokens), lambda x: F.struct(x.alias("x"), (x >= 1).alias("ok")))[0]
-        return F.transform(F.array(one), lambda o: F.struct(F.struct(F.when(o["ok"], o["x"] - 1).otherwise(o["x"]).alias("tokens"), r["at"].alias("at"), F.when(o["ok"] & r["failed"], r["at"] + penalty_seconds * 1_000_000).otherwise(s["until"]).alias("until")).alias("s"), F.concat(acc["out"], F.array(F.struct(r["request_id"].alias("request_id"), o["ok"].alias("allowed")))).alias("out")))[0]
-
-    zero = F.struct(F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("until")).alias("s"), F.expr("cast(array() as array<struct<request_id: bigint, allowed: boolean>>)").alias("out"))
-    folded = requests.groupBy("source_id").agg(F.aggregate(F.array_sort(F.collect_list(row)), zero, merge, lambda a: a["out"]).alias("o"))
-    return folded.select("source_id", F.inline("o"))
+    rows = requests.select("source_id", F.unix_micros("at").alias("at"), "request_id", "failed")
+
+    def step(state: tuple | None, at: int, request: int, failed: bool) -> tuple[tuple, tuple]:
+        tokens, before, until = state or (float(capacity), 0, 0)
+        tokens = min(capacity, tokens + (at - before) * ((per_minute / 2 if at < until else per_minute) / 60e6))
+        allowed = tokens >= 1
+        return (tokens - 1 if allowed else tokens, at, at + penalty_seconds * 1_000_000 if allowed and failed else until), (request, allowed)
+
+    return fold_sorted(rows, "source_id", ["at", "request_id"], step, "request_id long, allowed boolean")

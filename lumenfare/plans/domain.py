@@ -71,7 +71,7 @@ class Domain:
         if name == "obs":
             return derive.observations(self.spark, self.sf_dir)
         if name == "steps":
-            steps = detector.fold(self["obs"])
+            steps = detector.fold_stream(self["obs"])
             return steps.select(*[F.col(c).cast("double").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in steps.dtypes])
         if name == "hotels":
             return derive.hotels(self.spark, self.sf_dir)

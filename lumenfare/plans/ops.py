@@ -209,9 +209,9 @@ def r3_room_resolution(spark, sf):
     """Part names as raw room names, resolved against aliases and each hotel's rooms."""
     p = derive.load(spark, sf, "part")
     raw = p.select((F.col("p_partkey") % 10).alias("hotel_id"), F.concat(F.element_at(F.array(*map(F.lit, ("Dlx ", "The Standard ", "Prem. ", "Suité ", "Family "))), (F.col("p_partkey") % 5 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("Room", "Dbl Room", "Room!", "rooms"))), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("raw_name"))
-    rooms = derive.rooms(spark)
     hotels = raw.select("hotel_id").distinct()
-    candidates = hotels.join(F.broadcast(rooms), F.lit(True)).select("hotel_id", "room_type_id", F.col("room").alias("canonical_name"))
+    own = F.array(*[F.struct(F.lit(k).cast("long").alias("room_type_id"), F.lit(n).alias("canonical_name")) for k, n in derive.ROOMS])
+    candidates = hotels.select("hotel_id", F.inline(own))
     aliases = hotels.select("hotel_id", F.lit("family").alias("normalized"), F.lit(4).cast("long").alias("room_type_id"))
     out = matching.resolve(raw, aliases, candidates)
     return out.select("hotel_id", "raw_name", "normalized", "room_type_id", F.round("score", 6).alias("score"), "is_exact", "suggestion_id")
@@ -222,6 +222,11 @@ def c4_fold_stream(spark, sf):
     return detector.fold_stream(derive.observations(spark, sf)).groupBy("offer_key", "outcome").agg(F.count("*").alias("n"))
 
 
+def c4_fold_expression(spark, sf):
+    """The fold as a higher-order expression: the same counts."""
+    return detector.fold(derive.observations(spark, sf)).groupBy("offer_key", "outcome").agg(F.count("*").alias("n"))
+
+
 def s4_keyed_rates(spark, sf):
     """Two-level keyed payloads built of lineitems: rooms by slug, in each one plan."""
     li = derive.load(spark, sf, "lineitem")
@@ -298,7 +303,7 @@ SELECT c_custkey, CASE WHEN cents < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN
   || CASE WHEN abs(cents) % 100 > 0 THEN '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') ELSE '' END AS money, '&lt;b&gt;&quot;' || c_name || '&quot; &amp; &#39;co&#39;&lt;/b&gt;' AS escaped
 FROM (SELECT c_custkey, c_name, CAST(round(c_acctbal * 100000) AS BIGINT) AS cents, abs(CAST(round(c_acctbal * 100000) AS BIGINT)) // 100 AS w FROM customer) t"""
 
-QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t9_circuits, t10_stale_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
+QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t9_circuits, t10_stale_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c4_fold_expression, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
 
 
 def _circuit_oracle() -> str:
@@ -309,5 +314,5 @@ def _circuit_oracle() -> str:
 ORACLE_SQL = {
     "k4_offer_keys": oracle(KEY_SQL), "k6_dedupe_keys": DEDUPE_SQL, "k9_slugs": SLUG_SQL, "p3_parse_prices": P3_SQL, "p5_text_signals": P5_SQL, "m2_offers_from_json": M2_SQL, "m11_redaction": M11_SQL, "t2_stay_windows": T2_SQL,
     "t6_due_groups": oracle(schedule.DUE_SQL), "t9_circuits": _circuit_oracle(), "t10_stale_targets": oracle(T10_SQL), "n1_quiet_hours": N1_SQL, "n4_digests": oracle(routing.DIGEST_SQL), "n6_suppression": oracle(routing.SUPPRESSION_SQL), "n8_ops_alerts": oracle(N8_SQL), "n9_hourly_quota": N9_SQL, "n13_money": MONEY_SQL,
-    "q25_delivery_state": Q25_SQL, "s4_keyed_rates": S4_SQL, "s13_idempotent_append": oracle(S13_SQL), "s16_retention": S16_SQL, "d7_discover_arrays": D7_SQL, "w2_stream_outcomes": oracle(FOLD_SQL), "c4_fold_stream": oracle(FOLD_SQL), "c14_disappearances": oracle(presence.SQL), **{n: oracle(s) for n, s in carryover.ORACLES.items()},
+    "q25_delivery_state": Q25_SQL, "s4_keyed_rates": S4_SQL, "s13_idempotent_append": oracle(S13_SQL), "s16_retention": S16_SQL, "d7_discover_arrays": D7_SQL, "w2_stream_outcomes": oracle(FOLD_SQL), "c4_fold_stream": oracle(FOLD_SQL), "c4_fold_expression": oracle(FOLD_SQL), "c14_disappearances": oracle(presence.SQL), **{n: oracle(s) for n, s in carryover.ORACLES.items()},
 }

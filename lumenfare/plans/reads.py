@@ -30,8 +30,8 @@ SELECT c.change_id, h.name AS hotel, r.room, c.direction, c.old_price, c.new_pri
 FROM {changes} c JOIN {hotels} h ON h.hotel_id = c.hotel_id LEFT JOIN {series} s ON s.offer_key = c.offer_key LEFT JOIN {rooms} r ON r.room_type_id = s.room_type_id ORDER BY c.changed_at DESC, c.change_id DESC LIMIT 100""",
     "q5_price_matrix": """
 SELECT s.hotel_id, h.name AS hotel, CAST(s.check_in AS STRING) AS check_in, min(CASE WHEN s.is_available THEN s.current_price END) AS best_price, count(*) AS n_offers, count(*) FILTER (WHERE s.is_available) AS n_open,
-  bool_or(coalesce(US(s.last_changed_at) >= m.now_us - 86400000000, FALSE)) AS has_recent
-FROM {series} s JOIN {hotels} h ON h.hotel_id = s.hotel_id CROSS JOIN (SELECT max(US(checked_at)) AS now_us FROM {obs}) m GROUP BY s.hotel_id, h.name, s.check_in""",
+  bool_or(s.recent) AS has_recent
+FROM (SELECT *, coalesce(US(last_changed_at) >= (SELECT max(US(checked_at)) FROM {obs}) - 86400000000, FALSE) AS recent FROM {series}) s JOIN {hotels} h ON h.hotel_id = s.hotel_id GROUP BY s.hotel_id, h.name, s.check_in""",
     "q7_errors": """
 SELECT e.error_id, h.name AS hotel, e.error_class, e.has_artifact, US(e.occurred_at) AS occurred_at FROM {errors} e LEFT JOIN {hotels} h ON h.hotel_id = e.hotel_id""",
     "q8_recent_failures": """
@@ -67,7 +67,7 @@ FROM {hotels} h LEFT JOIN (SELECT * FROM {series} WHERE check_in = (SELECT max(c
     "q19_flat_moves": """
 SELECT hotel_id, CAST(check_in AS STRING) AS check_in, count(*) AS n, max(delta) AS delta FROM {changes} WHERE delta <> 0 GROUP BY hotel_id, check_in HAVING count(*) >= 3 AND count(DISTINCT delta) = 1""",
     "q20_relative_bars": """
-SELECT change_id, abs(delta_pct) / (CASE WHEN max(abs(delta_pct)) OVER () = 0 THEN 1 ELSE max(abs(delta_pct)) OVER () END) AS bar FROM {changes} WHERE delta_pct IS NOT NULL""",
+SELECT change_id, abs(delta_pct) / (SELECT CASE WHEN max(abs(delta_pct)) = 0 THEN 1 ELSE max(abs(delta_pct)) END FROM {changes}) AS bar FROM {changes} WHERE delta_pct IS NOT NULL""",
     "q21_dashboard_matrix": """
 SELECT s.hotel_id, CAST(s.check_in AS STRING) AS check_in, s.room_type_id, min(CASE WHEN s.current_price > 0 THEN s.current_price END) AS price, count(*) AS n FROM {series} s GROUP BY s.hotel_id, s.check_in, s.room_type_id""",
     "q22_hotels_page": """
@@ -77,8 +77,8 @@ SELECT r.hotel_id, r.run_id, US(r.run_at) AS run_at, r.seen, p.n_past > 0 AS had
   SELECT *, row_number() OVER (PARTITION BY hotel_id ORDER BY run_at DESC, run_id DESC) AS k FROM {runs}) r
 JOIN (SELECT hotel_id, count(*) FILTER (WHERE check_in < (SELECT max(check_in) FROM {obs})) AS n_past FROM {series} GROUP BY hotel_id) p ON p.hotel_id = r.hotel_id WHERE r.k <= 10""",
     "q26_change_cursor": """
-SELECT change_id, hotel_id, direction, delta, more FROM (
-  SELECT c.*, row_number() OVER (ORDER BY change_id DESC) AS k, count(*) OVER () - 50 AS more FROM {changes} c WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2) t WHERE k <= 50""",
+SELECT change_id, hotel_id, direction, delta, (SELECT count(*) - 50 FROM {changes} WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2) AS more
+FROM {changes} WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2 ORDER BY change_id DESC LIMIT 50""",
     "q28_attention": """
 SELECT error_class, count(*) AS n, count(DISTINCT hotel_id) AS n_hotels, max(US(occurred_at)) AS newest FROM {errors} GROUP BY error_class""",
     "q29_attention_badge": """
@@ -88,7 +88,7 @@ SELECT stale, paused, errors, stale + paused + errors AS total FROM (
     "q31_age_text": """
 SELECT offer_key, CASE WHEN m < 1 THEN 'just now' WHEN m < 2 THEN '1 minute ago' WHEN m < 60 THEN CAST(m AS STRING) || ' minutes ago' WHEN m < 120 THEN '1 hour ago' WHEN m < 1440 THEN CAST(CAST(floor(m / 60) AS BIGINT) AS STRING) || ' hours ago'
   WHEN m < 2880 THEN '1 day ago' ELSE CAST(CAST(floor(m / 1440) AS BIGINT) AS STRING) || ' days ago' END AS age
-FROM (SELECT offer_key, CAST(floor((n.now_us - US(last_checked_at)) / 60000000) AS BIGINT) AS m FROM {series} CROSS JOIN (SELECT max(US(checked_at)) AS now_us FROM {obs}) n) t""",
+FROM (SELECT offer_key, CAST(floor(((SELECT max(US(checked_at)) FROM {obs}) - US(last_checked_at)) / 60000000) AS BIGINT) AS m FROM {series}) t""",
     "q33_purge_hotel": """
 SELECT hotel_id, count(*) AS kept FROM {obs} o WHERE NOT EXISTS (SELECT 1 FROM {series} s WHERE s.offer_key = o.offer_key AND s.hotel_id = 3) GROUP BY hotel_id""",
     "agg_outcome_counts": """
@@ -110,8 +110,8 @@ SELECT u.hotel_id, h.name AS hotel, u.raw_name, u.occurrence_count, US(u.first_s
 FROM (SELECT hotel_id, 'Room ' || CAST(room_type_id AS STRING) || ' of ' || CAST(check_in AS STRING) AS raw_name, count(*) AS occurrence_count, min(checked_at) AS first_seen_at, max(checked_at) AS last_seen_at FROM {obs} GROUP BY hotel_id, room_type_id, check_in) u
 JOIN {hotels} h ON h.hotel_id = u.hotel_id ORDER BY u.occurrence_count DESC, u.hotel_id, u.raw_name LIMIT 100""",
     "q12_targets_list": """
-SELECT t.target_id, h.name AS hotel, t.strategy, t.is_enabled, t.interval_minutes, CAST(d.today + CAST(t.lead_days AS INT) AS STRING) AS check_in, CAST(d.today + CAST(t.lead_days + t.stay_nights AS INT) AS STRING) AS check_out
-FROM {targets} t JOIN {hotels} h ON h.hotel_id = t.hotel_id CROSS JOIN (SELECT max(check_in) AS today FROM {obs}) d""",
+SELECT t.target_id, h.name AS hotel, t.strategy, t.is_enabled, t.interval_minutes, CAST((SELECT max(check_in) FROM {obs}) + CAST(t.lead_days AS INT) AS STRING) AS check_in, CAST((SELECT max(check_in) FROM {obs}) + CAST(t.lead_days + t.stay_nights AS INT) AS STRING) AS check_out
+FROM {targets} t JOIN {hotels} h ON h.hotel_id = t.hotel_id""",
     "q15_notifications_list": """
 SELECT o.o_orderkey AS notification_id, r.name AS recipient, r.channel, h.name AS hotel, CASE o.o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'sent' ELSE 'queued' END AS status, US(o.o_orderdate) AS created_at
 FROM {orders} o JOIN {recipients} r ON r.recipient_id = o.o_custkey LEFT JOIN {hotels} h ON h.hotel_id = o.o_custkey % 10""",

@@ -113,15 +113,12 @@ def robots_allows(spark: SparkSession, rules: DataFrame, agent: str = "*") -> Da
 
     import pandas as pd
 
-    @F.pandas_udf("boolean")
-    def judged(text: pd.Series, url: pd.Series) -> pd.Series:
-        def one(t: str | None, u: str) -> bool:
-            parser = urllib.robotparser.RobotFileParser()
-            parser.parse((t or "").splitlines())
-            return parser.can_fetch(agent, u)
-
-        return pd.Series([one(t, u) for t, u in zip(text, url)])
+    def one(t: str | None, u: str) -> bool:
+        parser = urllib.robotparser.RobotFileParser()
+        parser.parse((t or "").splitlines())
+        return parser.can_fetch(agent, u)
 
+    judged = F.pandas_udf(lambda text, url: pd.Series([one(t, u) for t, u in zip(text, url)], dtype="bool"), "boolean")
     by = robots_status(F.col("status"))
     return rules.withColumn("allowed", F.when(by == "allow", True).when(by == "deny", False).otherwise(judged("robots_txt", "url")))
 
