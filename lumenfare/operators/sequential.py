@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import ship
 
 
-def fold_sorted(rows: DataFrame, key: str, order: list[str], step: Callable, schema: str) -> DataFrame:
+def fold_sorted(rows: DataFrame, key: str, order: list[str | Column], step: Callable, schema: str) -> DataFrame:
     """(key, *schema): a row for each of rows, by step(state or None, row values after the key) -> (state, result values).
 
     rows: key, then the columns that step takes. A null key is a key of its own; no rows give none.
