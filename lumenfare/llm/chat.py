@@ -7,8 +7,8 @@ is the transcript's parse: marked or not, each line gets a role and turns begin
 
 One conversation may hold any share of all rows, so none is gathered in a task. Parts are cut into segments of 64; each
 segment is reduced to its max-plus transfer matrix (best score from the state before it to the state at its end), the
-matrices are chained for each conversation, which fixes the states at the segments' seams, and each segment is then
-decoded between them. The result is that of one Viterbi run over the whole transcript.
+matrices are chained in sorted walks that hold one state, which fixes the states at the segments' seams, and each segment
+is then decoded between them. The result is that of one Viterbi run over the whole transcript.
 
 Defined cases: null text is an empty part and has one empty line. Null conv_ids are one conversation; null parts come
 first. Repeated rows are repeated lines. Of equal paths the one through the lower states wins. An unknown role counts as
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sequential import fold_sorted
 from .common import arrow_map, materialize
 
 ROLES = ("system", "user", "assistant")
@@ -104,16 +105,16 @@ def transfer(move: np.ndarray, emit: np.ndarray, into: np.ndarray) -> np.ndarray
     return best
 
 
-def _segments(batches: Iterator[pa.RecordBatch], keys: int = 2) -> Iterator[tuple[tuple, list]]:
-    """Rows of sorted batches, cut where the first `keys` columns change: keys and the rows' other columns."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    """Rows of sorted batches, cut where conv_id and segment change: these two and the rows' other columns."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if key is not None and row[:keys] != key:
+            if key is not None and row[:2] != key:
                 yield key, rows
                 rows = []
-            key = row[:keys]
-            rows.append(row[keys:])
+            key = row[:2]
+            rows.append(row[2:])
     if key is not None:
         yield key, rows
 
@@ -176,20 +177,23 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
 
     reduced = materialize(arrow_map(_dealt(given), reduce, "conv_id long, segment long, matrix array<double>, first array<double>"), "segments")
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv,), rows in _segments(batches, 1):
-            best, back = np.array(rows[0][2]), []
-            for _, matrix, _ in rows[1:]:
-                through = best[:, None] + np.array(matrix).reshape(STATES, STATES)
-                back.append(through.argmax(0))
-                best = through.max(0)
-            ends = [int(best.argmax())]
-            for b in reversed(back):
-                ends.append(int(b[ends[-1]]))
-            ends.reverse()
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([None, *ends[:-1]], pa.int32()), pa.array(ends, pa.int32())], ["conv_id", "segment", "before", "after"])
-
-    seams = arrow_map(reduced.repartition("conv_id").sortWithinPartitions("conv_id", "segment").select("conv_id", "segment", "matrix", "first"), chain, "conv_id long, segment long, before int, after int")
+    # The matrices are chained in two walks over each conversation's segments, one state held at a time: forwards, which
+    # leaves for each state at a segment's end the state it came from, and backwards, which follows these from the end.
+    def forward(best: np.ndarray | None, segment: int, matrix: list, start: list) -> tuple[np.ndarray, tuple]:
+        if best is None:
+            best, back = np.array(start), None
+        else:
+            through = best[:, None] + np.array(matrix).reshape(STATES, STATES)
+            best, back = through.max(0), through.argmax(0).tolist()
+        return best, (segment, back, int(best.argmax()))
+
+    def backward(state: int | None, segment: int, back: list | None, end: int) -> tuple[int | None, tuple]:
+        after = end if state is None else state
+        before = None if back is None else back[after]
+        return before, (segment, before, after)
+
+    came = fold_sorted(reduced.select("conv_id", "segment", "matrix", "first"), "conv_id", ["segment"], forward, "segment long, back array<int>, end int")
+    seams = fold_sorted(came, "conv_id", [F.desc("segment")], backward, "segment long, before int, after int")
     own = given.withColumn("segment", F.coalesce(F.floor(F.col("part") / SEGMENT), F.lit(-1)).cast("long"))
     seams = seams.select(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment"), "before", "after")
     met = own.join(seams, own.conv_id.eqNullSafe(F.col("_conv")) & (own.segment == F.col("_segment"))).select("conv_id", "segment", "part", "text", "before", "after")
