@@ -129,4 +129,16 @@ SELECT hotel_id, count(*) AS n_stale, min(target_id) AS first_target, max(target
 SELECT hotel_id, US(run_at) AS run_at, seen, seen > 0 AND open_offers = 0 AS sold_out FROM {runs}""",
     "i6_collapse_alarm": """
 SELECT hotel_id, US(run_at) AS run_at, collapsed FROM (SELECT hotel_id, run_at, count(*) - count(DISTINCT offer_key) AS collapsed FROM (SELECT *, date_trunc('hour', checked_at) AS run_at FROM {obs}) t GROUP BY hotel_id, run_at) x WHERE collapsed > 0""",
+    "q30_notifications_page": """
+SELECT o.o_orderkey AS notification_id, r.name AS recipient, coalesce(a.n_hotels, 0) AS n_hotels, US(o.o_orderdate) AS created_at
+FROM {orders} o JOIN {recipients} r ON r.recipient_id = o.o_custkey LEFT JOIN (SELECT recipient_id, count(DISTINCT hotel_id) AS n_hotels FROM {assignments} WHERE is_active GROUP BY recipient_id) a ON a.recipient_id = r.recipient_id
+ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 300""",
+    "q32_local_times": """
+SELECT change_id, US(local_minute) AS local_minute FROM (SELECT change_id, date_trunc('minute', changed_at + INTERVAL 330 MINUTES) AS local_minute FROM {changes}) t""",
+    "r10_manual_aliases": """
+SELECT hotel_id, normalized, room_type_id, kind FROM (
+  SELECT *, row_number() OVER (PARTITION BY hotel_id, normalized ORDER BY CASE kind WHEN 'manual' THEN 0 WHEN 'exact' THEN 1 ELSE 2 END, alias_id DESC) AS k FROM (
+    SELECT o_orderkey AS alias_id, o_custkey % 10 AS hotel_id, 'name ' || CAST(o_custkey % 50 AS STRING) AS normalized, o_orderkey % 5 AS room_type_id, CASE o_orderkey % 9 WHEN 0 THEN 'manual' WHEN 1 THEN 'exact' ELSE 'fuzzy' END AS kind FROM {orders}) a) t WHERE k = 1""",
+    "t15_standing_rates": """
+SELECT target_id, strategy = 'rolling' AND lead_days = 0 AND stay_nights = 1 AS allowed FROM {targets}""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, mapping, matching, parsing, render
-from ..operators import discovery, presence, routing, schedule
+from ..operators import detector, discovery, presence, routing, schedule
 from ..sources import cards, payloads, sinks  # noqa: F401  (cards registers the rendered-page source)
 from . import derive, ops
 from .domain import Domain, oracle
@@ -280,7 +280,55 @@ def d8_unlearnable(spark, sf):
 D8_SQL = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'no_text' WHEN 1 THEN 'sold_out' WHEN 2 THEN 'no_marked_price' WHEN 3 THEN 'no_structure' END AS reason FROM part"
 
 
+def n7_notifications(spark, sf):
+    """Digests as notifications at 17:30 UTC (23:00 there): some were sent before, one in three recipients has quiet hours."""
+    d = Domain(spark, sf)
+    made = routing.digests(d["changes"], d["assignments"], d["recipients"])
+    sent = made.where(F.col("recipient_id") % 5 == 0).select("dedupe_key")
+    start = F.when(F.col("recipient_id") % 3 == 0, 22 * 3600)
+    out = routing.notifications(made.unionByName(made), sent, F.timestamp_seconds(F.lit(17 * 3600 + 1800)), start, F.lit(7 * 3600), "Asia/Kolkata")
+    return out.select("recipient_id", "hotel_id", "dedupe_key", "held", F.unix_seconds("release_at").alias("release_at"))
+
+
+N7_SQL = "SELECT recipient_id, hotel_id, dedupe_key, recipient_id % 3 = 0 AS held, CASE WHEN recipient_id % 3 = 0 THEN 86400 + 5400 END::BIGINT AS release_at FROM (" + routing.DIGEST_SQL + ") d WHERE recipient_id % 5 <> 0"
+
+
+def q34_replace_url(spark, sf):
+    """Hotel 3 became another property at the middle of its history: its offers' fold starts anew there."""
+    obs = derive.observations(spark, sf)
+    turn = obs.agg(((F.min(F.unix_micros("checked_at")) + F.max(F.unix_micros("checked_at"))) / 2).cast("long").alias("t")).first()[0]
+    steps = detector.fold_stream(obs.where((F.col("hotel_id") != 3) | (F.unix_micros("checked_at") >= turn)))
+    return steps.join(obs.select("event_id", "hotel_id"), "event_id").groupBy("hotel_id").agg(F.count_if(F.col("outcome") == "first_sight").alias("offers"), F.count("*").alias("steps"))
+
+
+Q34_SQL = """
+SELECT hotel_id, count(DISTINCT offer_key) AS offers, count(*) AS steps FROM (
+  SELECT DISTINCT hotel_id, offer_key, checked_at FROM {obs} WHERE hotel_id <> 3 OR US(checked_at) >= (SELECT CAST(floor((min(US(checked_at)) + max(US(checked_at))) / 2) AS BIGINT) FROM {obs})) t GROUP BY hotel_id"""
+
+
+def d18_disallowed(spark, sf):
+    """Endpoints of each customer's site that its robots rules disallow: distinct paths, the first four of them as a report's note."""
+    o = derive.load(spark, sf, "orders").select(F.col("o_custkey").alias("site"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "/api/").otherwise("/web/"), F.lpad((F.col("o_orderkey") % 6).cast("string"), 2, "0")).alias("path")).distinct()
+    rules = o.select("site", "path", F.lit("User-agent: *\nDisallow: /api/\n").alias("robots_txt"), F.lit(200).alias("status"), F.concat(F.lit("https://stay.test"), "path").alias("url"))
+    bad = payloads.robots_allows(spark, rules).where("not allowed").groupBy("site").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    return bad.select("site", F.array_join(F.slice("paths", 1, 4), ",").alias("note"))
+
+
+D18_SQL = """
+SELECT o_custkey AS site, string_agg(DISTINCT '/api/' || lpad(CAST(o_orderkey % 6 AS VARCHAR), 2, '0'), ',' ORDER BY '/api/' || lpad(CAST(o_orderkey % 6 AS VARCHAR), 2, '0')) AS note FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey"""
+
+
+def s14_insert_or_ignore(spark, sf):
+    """Aliases seen in parts' names, of which the known ones and repeats are left out."""
+    p = derive.load(spark, sf, "part").select((F.col("p_partkey") % 10).alias("hotel_id"), F.lower("p_brand").alias("normalized"))
+    return sinks.new_rows(p, p.where("hotel_id < 3"), "hotel_id", "normalized").select("hotel_id", "normalized")
+
+
+S14_SQL = "SELECT DISTINCT p_partkey % 10 AS hotel_id, lower(p_brand) AS normalized FROM part WHERE p_partkey % 10 >= 3"
+
+
 _ALL = {
+    d18_disallowed: D18_SQL, n7_notifications: oracle(N7_SQL), q34_replace_url: oracle(Q34_SQL), s14_insert_or_ignore: S14_SQL,
     m4_basis_prices: M4_SQL, m5_room_cards: M5_SQL, m7_url_templates: M7_SQL, m8_engines: M8_SQL, p10_scalars: P10_SQL, d8_unlearnable: D8_SQL, d14_config_repair: D14_SQL, t13_failures: T13_SQL, s7_shared_payload: S7_SQL,
     s10_manual_offers: S10_SQL, s11_last_responses: S11_SQL, s15_merged_counts: S15_SQL, s17_partition_months: S17_SQL, s18_robots: S18_SQL, s19_bot_walls: S19_SQL, i2_plan_filter: oracle(I2_SQL), i7_error_rows: I7_SQL, n15_digest_text: oracle(N15_SQL), n17_delivery_updates: N17_SQL, r7_new_rooms: R7_SQL,
 }
