@@ -354,6 +354,29 @@ def test_near_pairs(spark):
     assert pairs == {(0, 20)}
 
 
+def test_near_pairs_behind_a_strange_head(spark):
+    # Document 0 shares its opening, and so its first bands, with all others and is near none of them.
+    opening = fixtures.prose(99, 120)
+    texts = {0: opening + " " + fixtures.prose(100, 280)}
+    for k in range(1, 9):
+        own = opening + " " + fixtures.prose(k, 280)
+        texts |= {10 * k: own, 10 * k + 1: own + " end", 10 * k + 2: own[:-9] + " last"}
+    prints = fingerprint.digest(spark.createDataFrame([*texts.items(), (200, ""), (201, None), (None, opening)], "doc_id long, text string")).cache()
+    own = {r.doc_id: r.fingerprint for r in prints.collect() if r.doc_id in texts}
+    stands = {d: min(x for x in own if own[x] == own[d]) for d in own}
+    heads = {}
+    for r in fingerprint.band_rows(prints.where("doc_id < 200")).collect():
+        heads[r.level, r.place, r.key] = heads.get((r.level, r.place, r.key), set()) | {r.doc_id}
+    met = {(a, b) for band in heads.values() for a in band for b in band if a < b and a == stands[a] and b == stands[b]}
+    want = {(a, b): near for a, b in met if (near := fingerprint.likeness(own[a], own[b])) >= 0.8}
+    copies = {tuple(sorted((stands[10 * k + i], stands[10 * k + j]))) for k in range(1, 9) for i, j in ((0, 1), (0, 2), (1, 2))}
+    assert {(a, b) for a, b in copies if a != b} <= set(want) and len(want) > 12
+    assert all(band == {*texts} for band in heads.values() if len(band) > 20) and any(len(band) > 20 for band in heads.values())
+    for part in (fingerprint.PART, 4):
+        got = [(r.a, r.b, r.likeness) for r in fingerprint.near_pairs(prints, part=part).collect()]
+        assert {(a, b): near for a, b, near in got} == want and len(got) == len(want)
+
+
 # WARC
 
 
