@@ -347,6 +347,16 @@ def test_likeness_follows_edits():
     assert fingerprint.likeness("00::", "00::") == 1
 
 
+def test_likeness_outlives_one_wide_character():
+    for k, wide in enumerate("\u2019\u2013\u20ac\u4e2d\U0001f44d\u0100"):
+        t = fixtures.prose(k, 400)
+        p = len(t) // 2
+        before, after = t[:p] + "'" + t[p:], t[:p] + wide + t[p:]
+        assert (np.delete(fingerprint._classes(after), p) == fingerprint._classes(t)).all()
+        assert fingerprint.likeness(*fingerprint.fingerprints([before, after])) > 0.8
+    assert len(fingerprint._classes("")) == 0 and fingerprint._classes("\0\xff\u01fe").min() > 0
+
+
 def test_near_pairs(spark):
     texts = {k: fixtures.prose(k, 300) for k in range(10)} | {20: fixtures.prose(0, 300) + " end", 21: fixtures.prose(1, 300), 30: "", 31: None}
     docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
