@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, mapping, matching, parsing, render
@@ -327,6 +328,17 @@ def s14_insert_or_ignore(spark, sf):
 S14_SQL = "SELECT DISTINCT p_partkey % 10 AS hotel_id, lower(p_brand) AS normalized FROM part WHERE p_partkey % 10 >= 3"
 
 
+def q2_history_raw(spark, sf, limit=None):
+    """Every offer's observations in order; limit: the first so many of each, a reader's page.
+
+    READS holds the SQL of a page of 500, which is the same wherever no offer has more.
+    """
+    o = Domain(spark, sf)["obs"]
+    if limit is not None:
+        o = o.withColumn("k", F.row_number().over(Window.partitionBy("offer_key").orderBy("checked_at", "event_id"))).where(F.col("k") <= limit)
+    return o.orderBy("offer_key", "checked_at", "event_id").select("offer_key", F.unix_micros("checked_at").alias("checked_at"), "event_id", F.col("price").cast("double").alias("price"), "is_available")
+
+
 _ALL = {
     d18_disallowed: D18_SQL, n7_notifications: oracle(N7_SQL), q34_replace_url: oracle(Q34_SQL), s14_insert_or_ignore: S14_SQL,
     m4_basis_prices: M4_SQL, m5_room_cards: M5_SQL, m7_url_templates: M7_SQL, m8_engines: M8_SQL, p10_scalars: P10_SQL, d8_unlearnable: D8_SQL, d14_config_repair: D14_SQL, t13_failures: T13_SQL, s7_shared_payload: S7_SQL,
@@ -335,5 +347,5 @@ _ALL = {
 T7_SQL = ops.ORACLE_SQL["t9_circuits"].removesuffix(schedule.CIRCUIT_SQL) + """
 SELECT target_id, CASE WHEN state = 'closed' THEN 'run' WHEN target_id % 2 = 0 THEN 'probe' ELSE 'skip' END AS decision FROM (""" + schedule.CIRCUIT_SQL + ") c"
 
-QUERIES = {f.__name__: f for f in (*_ALL, t7_circuit_gate)}
+QUERIES = {f.__name__: f for f in (*_ALL, t7_circuit_gate, q2_history_raw)}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL.items()} | {"t7_circuit_gate": T7_SQL}

@@ -11,6 +11,27 @@ def test_query_equals_its_sql(spark, name):
     same(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name])
 
 
+def test_raw_history_keeps_every_observation(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    # A third of 2,400 rows, and 200 of the others, are of one offer: 1,000 in all, at four times.
+    e = spark.range(2400).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") % 4).alias("ts"), F.when((F.col("id") % 3 == 0) | (F.col("id") < 301), 7).otherwise(F.col("id")).cast("long").alias("user_id"),
+        F.when(F.col("id") % 5 == 0, "error").otherwise("click").alias("event_type"), F.col("id").cast("double").alias("value"), F.format_string('{"k": %d}', F.when((F.col("id") % 3 == 0) | (F.col("id") < 301), 1).otherwise(2)).alias("props"),
+    )
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    read = registry.QUERIES["q2_history_raw"]
+    got = read(spark, str(tmp_path)).collect()
+    keys_ = [(r.offer_key, r.checked_at, r.event_id) for r in got]
+    assert keys_ == sorted(keys_) and sorted(r.event_id for r in got) == list(range(2400))
+    sizes = {}
+    for k, _, _ in keys_:
+        sizes[k] = sizes.get(k, 0) + 1
+    assert max(sizes.values()) == 1000
+    page = read(spark, str(tmp_path), limit=500).collect()
+    assert page == [r for i, r in enumerate(got) if i - next(j for j, x in enumerate(keys_) if x[0] == keys_[i][0]) < 500]
+
+
 def test_room_resolution(spark):
     got = {r.raw_name: r for r in registry.QUERIES["r3_room_resolution"](spark, SF).collect()}
     assert got["The Standard Room"].room_type_id == 0 and got["The Standard Room"].score == 100
