@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -44,6 +44,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(df: DataFrame, key: Column, wanted: DataFrame, column: str, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """df in two parts, without a shuffle: the rows whose 64-bit hash `key` may be in wanted[column], and rows whose key surely isn't.
+
+    What is broadcast is a table of 2 ** bits bits, 64 to a row (2 MB at 23), whatever the size of `wanted`: the more keys,
+    the more rows pass by chance, up to all of them. A null key is in neither table and so is no hit.
+    """
+    place = F.shiftrightunsigned(key, 64 - bits)
+    words = wanted.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("_p")).groupBy(F.expr("_p div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_set"))
+    words = materialize(words, "sieve")
+    met = df.withColumn("_place", place).join(F.broadcast(words), F.expr("_place div 64") == F.col("_word"), "left")
+    hit = F.coalesce(F.getbit("_set", (F.col("_place") % 64).cast("int")) == 1, F.lit(False))
+    return tuple(met.where(h).select(*[df[c] for c in df.columns]) for h in (hit, ~hit))
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow on workers that have this package."""
     ship(df.sparkSession)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -41,12 +42,28 @@ def test_line_dedup_on_the_fixture(spark):
     assert line_dedup.digest(fixtures.frame(spark, [])).count() == 0
 
 
-def test_keep_bitmaps_are_runs(spark):
-    text = "\n".join(["a shared line of enough length"] * 3 + ["kept"] + ["a shared line of enough length"])
+def test_keep_bitmaps(spark):
+    text = "\n".join(["a shared line of enough length"] * 3 + ["kept"] + ["a shared line of enough length"] + ["x"] * 200 + ["another shared line of enough length", "end"])
     df = spark.createDataFrame([(k, text) for k in range(4)], "doc_id long, text string")
-    runs = {r.doc_id: [tuple(x) for x in r.runs] for r in line_dedup.dropped_runs(df).collect()}
-    assert runs == {k: [(0, 3), (4, 1)] for k in range(3)}
-    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == {0: "kept", 1: "kept", 2: "kept", 3: text}
+    got = {r.doc_id: {64 * w.word + i for w in r.keep for i in range(64) if not w.bits >> i & 1} for r in line_dedup.keep_words(df).collect()}
+    assert got == {k: {0, 1, 2, 4, 205} for k in range(3)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == {**{k: "\n".join(["kept", *["x"] * 200, "end"]) for k in range(3)}, 3: text}
+    # Words that keep all their lines are left out, and a hot line is dealt over as many salts as its rows demand.
+    words = line_dedup.digest(df).where("doc_id = 0").first().keep_bitmap.split(",")
+    assert [w.split(":")[0] for w in words] == ["0", "3"]
+    assert {r.doc_id: r.keep for r in line_dedup.keep_words(df, salt_rows=1).collect()} == {r.doc_id: r.keep for r in line_dedup.keep_words(df).collect()}
+
+
+def test_line_dedup_of_very_long_texts_is_linear(spark):
+    """200,000 lines of which every second one goes, in documents of which one is of another kind."""
+    own = ["\n".join(f"a shared line of number {i:08d}" if i % 2 else f"own {k} {i}" for i in range(200_000)) for k in range(3)] + ["x\ny", None]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    want = {k: "\n".join(x for x in t.split("\n") if k == 2 or not x.startswith("a")) if t else "" for k, t in enumerate(own)}
+    line_dedup.digest(df.limit(0)).count()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_dropped, r.kept_sha256) for r in line_dedup.digest(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {k: (100_000 * (k < 2), hashlib.sha256(t.encode()).hexdigest()) for k, t in want.items()}
 
 
 # N-gram join
