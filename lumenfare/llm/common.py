@@ -162,11 +162,25 @@ def fold(part: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(part: np.ndarray) -> np.ndarray:
+    """Which bytes are part of a mark: ASCII ones, Latin-1's, general punctuation (curly quotes, dashes, wide spaces) and CJK's."""
+    out = IS_MARK[part]
+    lead = np.flatnonzero((part == 0xC2) | (part == 0xE2) | (part == 0xE3))
+    if lead.size:
+        after, third = (part[np.minimum(lead + k, len(part) - 1)] for k in (1, 2))
+        two = (part[lead] == 0xC2) & ~np.isin(after, (0xAA, 0xB5, 0xBA))
+        three = (part[lead] == 0xE2) & ((after == 0x80) | (after == 0x81) & (third < 0xB0)) | (part[lead] == 0xE3) & (after == 0x80) & ~((third >= 0x85) & (third <= 0x87))
+        for some, width in ((lead[two], 2), (lead[three], 3)):
+            for k in range(width):
+                out[np.minimum(some + k, len(part) - 1)] = True
+    return out
+
+
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
     """As words(), with case folded and every mark a separator; the span hasher instead of the hashes."""
     part = fold(data[offsets[0] : offsets[-1]])
     bounds = offsets - offsets[0]
-    start, end = word_bounds(IS_MARK[part], bounds)
+    start, end = word_bounds(marks(part), bounds)
     return Spans(part), start, end, np.searchsorted(start, bounds)
 
 

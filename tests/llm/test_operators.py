@@ -234,13 +234,51 @@ def test_decontamination_finds_copies_and_edits(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()}
     assert {(k, k) for k in range(8)} | {(100 + k, k) for k in range(8)} | {(302, 10)} <= got
     assert not {d for d, _ in got} & set(range(200, 208))
-    one = {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench, block_words=50).collect()}
-    assert {x for x in one if x[1] < 8} == {x for x in got if x[1] < 8}
+    # A bit table that passes nearly all grams changes nothing.
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench, most_bits=7).collect()} == got
     kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
     assert kept == {d for d, _ in rows_} - {d for d, _ in got}
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_rows_by_their_text(spark):
+    item, other = fixtures.prose(1, 40), fixtures.prose(2, 60)
+    leak = fixtures.prose(3, 30) + " " + item
+    data = [(None, leak), (1, leak), (1, other), (2, other), (None, other), (3, None), (3, leak.replace(" ", "\u00a0")), (4, "\u201c" + item.replace(" ", " \u2014 ") + "\u201d"), (None, None), (5, "")]
+    docs = fixtures.frame(spark, [(d, t, "en", "s", 0) for d, t in data], clash=True)
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in decontam.clean(docs, bench).collect()), key=str)
+    assert kept == sorted([(1, other), (2, other), (None, other), (3, None), (None, None), (5, "")], key=str)
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect())
+    assert got == {(d, i): n for d in (None, 1, 3, 4) for i, n in ((1, 2), (None, 1))}
+    long = fixtures.prose(9, 300)
+    part = spark.createDataFrame([(1, fixtures.prose(10, 80) + " " + " ".join(long.split()[100:140]))], "doc_id long, text string")
+    assert decontam.clean(part, spark.createDataFrame([(1, long)], "item_id long, text string")).count() == 0
+
+
+def test_decontamination_recall_against_all_alignments(spark):
+    """Items with 10 to 30 % of their words changed, left out or put in, against the best alignment of every item with every whole text."""
+    rng = random.Random(5)
+    items = [(k, fixtures.prose(700 + k, 14 + k % 46)) for k in range(40)]
+    data = []
+    for k, text in items:
+        for share in (0.1, 0.2, 0.3):
+            words = []
+            for w in text.split():
+                kind = rng.random() / share
+                words += [w] if kind > 1 else ["changed"] if kind < 0.5 else [] if kind < 0.75 else [w, "more"]
+            data.append((len(data), fixtures.prose(k + 40, 40) + " " + " ".join(words) + " " + fixtures.prose(k + 90, 40)))
+    data += [(len(data) + k, fixtures.prose(k + 5000, 120)) for k in range(20)]
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.matches(docs, bench).collect()}
+    number: dict = {}
+    plain = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall(r"[a-z]+", t.lower())], np.uint64)
+    own, texts = [plain(t) for _, t in items], [plain(t) for _, t in data]
+    want = {(d, k): s for d, t in enumerate(texts) for k, w in enumerate(own) if (s := decontam.align(w, t)[0] / (2 * len(w))) >= 0.5}
+    assert len(want) >= 90 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert sum(abs(got[x] - want[x]) < 1e-9 for x in got) >= 0.98 * len(got)
+
+
 # Classifiers
 
 
