@@ -1,24 +1,33 @@
 """Main-text extraction by tree scoring.
 
 A page's markup becomes a tree; what is never article text goes first: scripts, styles, forms, navigation, headers,
-footers, sidebars, notices, adverts and reader comments, told by element, role, visibility or the words of class and id.
-Paragraphs then pass points (one, one for each comma, one for each hundred characters up to three) to their ancestors:
-all of them to the parent, half to the next, less beyond. An element's score is discounted by its link density. The best
-container wins (the whole article element, if it stands in one), together with those siblings that score enough or are
-text of their own; lists of links inside it go.
-
-One scan without a shuffle; a page is one small tree. Character references are decoded, white space inside a block becomes
-one space, blocks are joined in page order by one space; nothing else is dropped or cut.
-
-Defined cases: null, empty or text-free html gives an empty text. Unclosed, misnested and cut-off markup is read as it
-comes. A page without paragraphs gives its article, main or body element's text. Repeated rows give equal results; of
-equal scores the first element in page order wins. Very long pages are read whole. Extra columns pass through `extract`.
+footers, sidebars, notices, adverts and reader comments, told by element, role, visibility or class and id. Outside an
+article element a telling word within a class or id is enough. Inside one, a whole token has to say it (`social-share`,
+not `social-history`), and paragraphs and headings are only judged by tokens that cannot name a subject.
+
+Paragraphs then pass points (one, one for each comma, one for each hundred characters up to three) to their ancestors: all
+of them to the parent, and half of what an element got to the next. An element's score is discounted by its link density
+and the best container wins. Where it stands in an article element, that element is the author's own word for it: it
+overrides the score and is taken whole. Else the container is taken together with its siblings: text, paragraphs,
+headings, quotes, lists and tables, sections that are not mostly links, and containers that score enough beside it; lists
+that are mostly links (menus) go.
+
+One scan without a shuffle; a page is one small tree, built and scored in time linear in its length, whatever its depth.
+Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
+space; nothing else is dropped or cut.
+
+Defined cases: null, empty or text-free html gives an empty text. Tags are read by the HTML standard's rules for
+attributes (a stray quote is part of a name); a quote that never closes ends at the tag's end. Unclosed, misnested and
+cut-off markup is read as it comes. A page without paragraphs gives its article, main or body element's text. Repeated
+rows give equal results; of equal scores the first element in page order wins. Very long pages are read whole. Extra
+columns pass through `extract`.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_VALUE = r"\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>))"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>|([^<]+)", re.S)
+#: A tag that the standard's rules don't end before the page does: a quote is open.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)()", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+|\d+")
 
 RAW = frozenset("script style noscript template iframe textarea title xmp".split())
@@ -45,17 +57,46 @@ TELLTALE = frozenset(
     " social share sharing related recommended recommendation recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus replies reply respond toolbar skip login search"
     " outbrain taboola tags tagcloud alert disclaimer topbar header site-header".split()
 )
+#: Words that say nothing of a token's subject.
+NEUTRAL = frozenset("box block container wrapper wrap inner outer list item items section bar links link post posts area top bottom left right inline unit slot widget form panel content main site page and by on the this article entry icons buttons button group thread reader user template".split())
+#: Words that may well name a subject: on their own they tell only of plain containers.
+SUBJECT = frozenset("comment comments alert notice notices tags search login reply replies respond header banner footer promotion social sharing related cookie cookies consent menu subscription disclaimer sponsor sponsors recommendation recommendations".split())
+PLAIN = frozenset("div ul ol li aside form header footer".split())
 PARAGRAPH = frozenset("p pre td blockquote".split())
+#: Elements that are text of their own beside the best container.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption hr br img".split())
+LISTED = frozenset("ul ol dl table section main div".split())
 KEEPS = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "dropped", "length", "linked", "article")
+    __slots__ = ("tag", "parent", "near", "children", "score", "dropped", "length", "linked", "commas", "article")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
         self.dropped = self.article = False
-        self.length = self.linked = 0
+        self.length = self.linked = self.commas = 0
+        # The closest element from here upwards that a search for an element to end has to look at.
+        self.near = self if parent is None or tag in SEARCHED else parent.near
+
+
+SEARCHED = BARRIER | {t for closed in CLOSES.values() for t in closed}
+
+
+def _telling(value: str, tag: str, inside: bool) -> bool:
+    """Whether a class or id tells that the element isn't article text."""
+    for token in value.split():
+        words = {w.lower() for w in _WORD.findall(token)}
+        hit = words & TELLTALE
+        if "side" in words and "bar" in words:
+            return True
+        if not hit:
+            continue
+        if not inside:
+            return True
+        if words <= TELLTALE | NEUTRAL and "header" not in words and (tag in PLAIN or hit - SUBJECT or (tag not in TEXTUAL and len(words) > 1) or (tag == "section" and "comments" in words)):
+            return True
+    return False
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
@@ -71,10 +112,8 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & TELLTALE and not (inside and "header" in words and not words & (TELLTALE - {"header"})) or "side" in words and "bar" in words:
-                return True
+        if name in ("class", "id") and _telling(value, tag, inside):
+            return True
     return False
 
 
@@ -82,109 +121,123 @@ def parse(page: str) -> Node:
     """The tree; text is a str among the children."""
     root = node = Node("html", None)
     at, end = 0, len(page)
+    open_tags: Counter = Counter()
+
+    def back_to(up: Node) -> Node:
+        """Ends all elements from the current one to `up`, each once in its life."""
+        n = node
+        while n is not up.parent:
+            open_tags[n.tag] -= 1
+            n = n.parent
+        return n
+
     while at < end:
-        m = _TOKEN.match(page, at)
+        m = _TOKEN.match(page, at) or _LOOSE.match(page, at)
         if m is None:
             node.children.append("<")
             at += 1
             continue
         at = m.end()
-        if m[4] is not None:
+        if m[4]:
             node.children.append(m[4])
         elif m[2] is not None:
             tag = m[2].lower()
             if m[1]:
-                up = node
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    node = up.parent
+                if open_tags[tag]:
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    node = back_to(up)
                 continue
             if tag in ("html", "body"):
                 continue
             for closed in CLOSES.get(tag, ()):
-                up = node
+                if not open_tags[closed]:
+                    continue
+                up = node.near
                 while up.parent is not None and up.tag not in BARRIER and up.tag != closed:
-                    up = up.parent
+                    up = up.parent.near
                 if up.tag == closed and up.parent is not None:
-                    node = up.parent
+                    node = back_to(up)
             new = Node(tag, node)
             new.article = node.article or tag in ("article", "main")
             new.dropped = _unwanted(tag, m[3], node.article)
             node.children.append(new)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
                 at = stop.end()
             elif tag not in VOID and not m[3].endswith("/"):
                 node = new
+                open_tags[tag] += 1
     return root
 
 
-def _measure(node: Node, link: bool) -> None:
-    """Lengths of text and of linked text below each element, without what is dropped."""
-    order = [(node, link)]
-    for n, inside in order:
-        order += [(c, inside or c.tag == "a") for c in n.children if not isinstance(c, str) and not c.dropped]
-    for n, inside in reversed(order):
-        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
-        n.length += own
-        n.linked += own if inside else 0
-        if n.parent is not None and n is not node:
-            n.parent.length += n.length
-            n.parent.linked += n.linked
-
-
-def _elements(node: Node) -> Iterator[Node]:
-    stack = [node]
+def _ordered(root: Node) -> list[tuple[Node, bool]]:
+    """The elements that are not dropped, in page order, and whether they stand in a link."""
+    stack, out = [(root, False)], []
     while stack:
-        n = stack.pop()
-        yield n
-        stack += [c for c in reversed(n.children) if not isinstance(c, str) and not c.dropped]
+        n, linked = stack.pop()
+        linked = linked or n.tag == "a"
+        out.append((n, linked))
+        stack += [(c, linked) for c in reversed(n.children) if not isinstance(c, str) and not c.dropped]
+    return out
+
+
+def _is_paragraph(n: Node) -> bool:
+    return n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "li") and not any(not isinstance(c, str) and c.tag not in INLINE and c.tag != "br" for c in n.children)
+
+
+def score(root: Node) -> list[Node]:
+    """Lengths, linked lengths and scores of all elements that are not dropped, from the leaves up, each looked at once."""
+    order = _ordered(root)
+    for n, linked in reversed(order):
+        for c in n.children:
+            if isinstance(c, str):
+                size = len("".join(c.split()))
+                n.length += size
+                n.linked += size if linked else 0
+                n.commas += c.count(",")
+            elif not c.dropped:
+                n.length += c.length
+                n.linked += c.linked
+                n.commas += c.commas
+                n.score += c.score / 2
+                if c.length >= 20 and _is_paragraph(c):
+                    n.score += 1 + c.commas + min(c.length / 100, 3)
+    return [n for n, _ in order]
 
 
 def _density(n: Node) -> float:
     return n.linked / n.length if n.length else 0.0
 
 
-def _raw(node: Node, prune: bool = False) -> str:
-    """Text below an element, decoded, with a space at each block's edge."""
+def _decoded(parts: list, left_out) -> str:
+    """The text of text and elements side by side, with a space at each block's edge."""
     out: list[str] = []
-    stack: list = [node]
+    stack = parts[::-1]
     while stack:
         n = stack.pop()
         if isinstance(n, str):
             out.append(n)
-            continue
-        if n.dropped or prune and n is not node and n.tag in ("ul", "ol", "div", "section", "table", "dl") and n.length and _density(n) > 0.6:
-            continue
-        if n.tag not in INLINE:
-            out.append(" ")
-            stack.append(" ")
-        stack += reversed(n.children)
+        elif not n.dropped and not left_out(n):
+            if n.tag not in INLINE:
+                out.append(" ")
+                stack.append(" ")
+            stack += reversed(n.children)
     return " ".join(html.unescape("".join(out)).split())
 
 
+def _raw(node: Node, prune: bool = False) -> str:
+    """Text below an element, decoded, with a space at each block's edge; prune: without what is mostly links."""
+    return _decoded([node], lambda n: prune and n is not node and n.tag in LISTED and n.length > 0 and _density(n) > 0.6)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _measure(root, False)
-    elements = list(_elements(root))
-    scored: dict[int, Node] = {}
-    for n in elements:
-        bare = n.tag in ("div", "section", "article", "li") and not any(not isinstance(c, str) and c.tag not in INLINE and c.tag != "br" for c in n.children)
-        if n.tag not in PARAGRAPH and not bare:
-            continue
-        text = _raw(n)
-        if len(text) < 25:
-            continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        up, level = n.parent, 0
-        while up is not None:
-            up.score += points if not level else points / 2 if level == 1 else points / (3 * level)
-            scored[id(up)] = up
-            up, level = up.parent, level + 1
-    best = max((n for n in elements if id(n) in scored), key=lambda n: n.score * (1 - _density(n)), default=None)
+    elements = score(root)
+    best = max((n for n in elements if n.score), key=lambda n: n.score * (1 - _density(n)), default=None)
     if best is None or best.parent is None:
         best = next((n for n in elements if n.tag in ("article", "main") and n.length), best or root)
     up = best
@@ -192,18 +245,29 @@ def main_text(page: str | None) -> str:
         if up.tag == "article":
             best = up
         up = up.parent
-    if best.parent is None or best.tag == "article":
+    if best.tag == "article":
+        return _raw(best)
+    if best.parent is None:
         return _raw(best, True)
-    least = max(10.0, 0.2 * best.score * (1 - _density(best)))
-    kept = []
+    least = 0.2 * best.score * (1 - _density(best))
+    kept, line = [], []
+
+    def end() -> None:
+        """Text and inline elements side by side are one block."""
+        kept.append(_decoded(line, lambda n: False))
+        line.clear()
+
     for s in best.parent.children:
-        if s is best:
+        if isinstance(s, str) or s.tag in INLINE and not s.dropped and s.tag != "a":
+            line.append(s)
+            continue
+        if s.dropped or s.tag == "a":
+            continue
+        end()
+        few = _density(s) <= 0.5
+        if s is best or s.tag in TEXTUAL or s.tag in ("ul", "ol", "dl", "table", "section") and few or s.score and s.score * (1 - _density(s)) >= least:
             kept.append(_raw(s, True))
-        elif not isinstance(s, str) and not s.dropped and s.length:
-            own = s.score * (1 - _density(s)) >= least
-            text = s.tag == "p" and (s.length > 80 and _density(s) < 0.25 or not s.linked and s.length)
-            if own or text or s.tag in ("h1", "h2"):
-                kept.append(_raw(s, True))
+    end()
     return " ".join(k for k in kept if k)
 
 

@@ -505,6 +505,45 @@ def test_html_extraction_without_an_article_element(spark):
     assert html_extract.digest(df).count() == 3 and html_extract.digest(df.limit(0)).count() == 0
 
 
+LONG = "A sentence of the story itself, long enough to count as a paragraph of its own."
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<a href="x"">link</a> the middle', "<p title=it's>quoted</p><p>more</p>", '<p a"b=c \'d\' = >odd</p>', '<img alt="a > b" src=x/>seen', "<p class='alert-sentence'>alert</p>", '<section class="search-results"><p>found</p></section>',
+        '<p class="comment">a remark</p>', '<section class="social-history"><p>old</p></section>', "<h2>Sources</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>", "<table><tr><td>1<td>2</table>", "<br/>after<hr>rule", "<header><h1>Title</h1></header>",
+    ],
+)
+def test_html_extraction_drops_nothing_of_an_article(inside):
+    import html
+
+    want = " ".join(re.sub(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[^>]*>", " ", inside.replace('x""', "x").replace("it's", "its").replace('a"b', "ab").replace("alt=\"a > b\"", "")).split())
+    page = f"<html><body><nav>menu</nav><article><p>{LONG}</p>{inside}<p>{LONG}</p></article><footer>foot</footer></body></html>"
+    assert html_extract.main_text(page) == f"{LONG} {html.unescape(want)} {LONG}"
+
+
+@pytest.mark.parametrize("inside", ['<div class="comments"><p>nice</p></div>', '<div class="ad">buy</div>', "<section id=comments>x</section>", '<div class="social-share">x</div>', '<aside>x</aside>', '<p class="advert">x</p>', '<div class="related-posts"><p>x</p></div>', "<form>x</form>", "<p hidden>x</p>", "<div class=newsletter-signup-box>x</div>"])
+def test_html_extraction_drops_what_is_not_the_article(inside):
+    assert html_extract.main_text(f"<article><p>{LONG}</p>{inside}<p>{LONG}</p></article>") == f"{LONG} {LONG}"
+
+
+def test_html_extraction_keeps_siblings_by_what_they_are():
+    best = "".join(f"<p>{LONG}, {k}.</p>" for k in range(6))
+    for beside, text in (("<h3>Head</h3>", "Head "), ("<ul><li>one<li>two</ul>", "one two "), ("bare <i>te</i>xt", "bare text "), ("<p><a href=x>short</a></p>", "short "), ("<section><p>small</p></section>", "small "), ("<blockquote>said</blockquote>", "said "), ("<ul><li><a href=a>menu</a></ul>", ""), ("<div class=sidebar>x</div>", "")):
+        assert html_extract.main_text(f"<body><div>{beside}<div>{best}</div></div></body>") == text + " ".join(f"{LONG}, {k}." for k in range(6))
+
+
+def test_html_extraction_is_linear():
+    took = {}
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        page = "<div>" * n + f"<p>{LONG}" + "</b>" * n + "<i><p>x" * n + "<a href='" * 9
+        assert html_extract.main_text(page).startswith(LONG)
+        took[n] = time.perf_counter() - began
+    assert took[80_000] < 12 * took[20_000] and took[80_000] < 30
+
+
 # Chat
 
 
