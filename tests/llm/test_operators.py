@@ -447,13 +447,21 @@ def test_near_pairs_behind_a_strange_head(spark):
 
 def test_warc_reconstructs_every_record(spark, tmp_path):
     page = "<p>" + "x" * 1200 + "</p>"
-    pages = spark.createDataFrame([(1, "http://a", page), (2, "http://b", page), (5, None, page), (3, "http://c", "small"), (4, "http://d", "small"), (6, "u", None), (7, "u", ""), (None, "http://n", page), (5, "again", page), (8, "é", "é" * 600)], "page_id long, url string, html string").withColumn("header", F.lit("x"))
+    pages = spark.createDataFrame([(1, "http://a", page), (2, "http://b", page), (5, None, page), (3, "http://c", "small"), (4, "http://d", "small"), (6, "u", None), (7, "u", ""), (None, "http://n", page), (5, "again", page), (8, "é", "é" * 600)], "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("header", "payload", "sha256", "n", "share", "number", "keeper", "record")])
     path = f"file://{tmp_path}/w"
     warc.write(pages, path)
     got = warc.read(spark, path).collect()
     kinds = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
     assert kinds == collections.Counter({(1, "revisit", 5, 1207): 1, (2, "revisit", 5, 1207): 1, (None, "revisit", 5, 1207): 1, (5, "response", None, 1207): 2, (3, "response", None, 5): 1, (4, "response", None, 5): 1, (6, "response", None, 0): 1, (7, "response", None, 0): 1, (8, "response", None, 1200): 1})
+    assert len({r.record_id for r in got}) == len(got) and {r.target_uri for r in got} == {"http://a", "http://b", "http://c", "http://d", "http://n", "u", "again", "é", None}
+    assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
     assert spark.read.parquet(f"{path}/payloads").count() == 4
+    # Hot small payloads in shares.
+    warc.write(pages, path + "2", share_rows=1)
+    again = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, path + "2").collect())
+    assert again == kinds and spark.read.parquet(f"{path}2/payloads").count() == 4
+    ids = spark.createDataFrame([(x,) for x in (0, 1, -1, 2**63 - 1, -(2**63), 12345678901234, None)], "id long").select("id", warc.record_id(F.col("id"), F.lit(2**55 + 3)).alias("name"))
+    assert all(r.id == r.page and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-[89][0-9a-f]{3}-[0-9a-f]{12}>", r.name) for r in ids.withColumn("page", warc.page_of(F.col("name"))).collect())
     for r in warc.records(spark, path).collect():
         head, http, body = bytes(r.record).split(b"\r\n\r\n", 2)
         assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n")
@@ -476,6 +484,10 @@ def test_warc_notices_damage(spark, tmp_path):
     bad = spark.createDataFrame([("00", "00", bytearray(b"x"))], "sha256 string, sha1 string, payload binary")
     with pytest.raises(Exception, match="does not match its address"):
         warc._verified(bad).collect()
+    record = bytes(warc.records(spark, path).first().record)
+    for broken in (record[:-1], record.replace(b"xxx", b"xxy", 1), record.replace(b"Content-Length: 2000", b"Content-Length: 1999", 1), b"", record[5:]):
+        with pytest.raises(Exception, match="does not match its header"):
+            warc.parse(spark.createDataFrame([(bytearray(broken),)], "record binary")).collect()
 
 
 # HTML
