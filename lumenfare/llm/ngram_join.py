@@ -2,22 +2,27 @@
 
 A document is its set of distinct word n-grams; two link when their Jaccard similarity reaches a bound. The work:
 
-1. One scan gives each text its set's size, a 64-bit key of the set and the smallest grams of the set under 96 hash
-   orders, banded in threes. Equal sets form one class, which its smallest doc_id stands for; copies go no further.
-2. Classes that share a band meet in a family, which the smallest class of the band names. Two sets of similarity 0.8
-   share no band with probability (1 - 0.8^3)^32 < 2e-10, so that a family holds every link to be found there, while
-   texts that only share a passage rarely meet. A family is dealt into parts of bounded size.
-3. In each part a signature tree is built: a leaf is a set with its token bitmap, an inner node holds the OR (and AND) of
-   its children's bitmaps and the range of their sizes. Node pairs are traversed at once; a pair is pruned when the
-   largest overlap its bitmaps and sizes allow is too small, or when all its sets are linked already. The leaves that are
-   left are compared exactly. Sets that their part doesn't tie to the family's own class are compared with the family's
-   other parts in a second pass, by the same trees, so that no link between parts is lost.
-4. The links' connected components, spread to the members of each class.
+1. A scan counts grams in 2^18 cells of their hashes, which gives all grams one order: those of ordinary cells first, those
+   of crowded cells (passages that many documents share) last.
+2. A second scan gives each text its set's size, a 128-bit key of the set, its prefix and its token bitmap. The prefix is
+   the set's first size - ceil(bound * size) + 1 grams in that order: two sets that reach the bound have at least one gram
+   of their prefixes in common, whatever the order is, so that no link is missed. Equal sets form one class, which its
+   smallest doc_id stands for; copies go no further.
+3. Classes that share a prefix gram are a node of sets, named by its smallest class, and fall into size ranges (a factor of
+   two; a set near the upper end is also a guest of the next), so that linked sets meet in one range. Over each node's
+   range a signature tree is built: a leaf is a set's bitmap, an inner node holds the OR (and AND) of its children's bitmaps
+   and the range of their sizes. The tree is traversed against itself; a pair of nodes is pruned when the largest overlap
+   that bitmaps and sizes allow is too small. Sets that no pair is left for go no further.
+4. The texts of the sets that are left are read once more, and in each node the leaf pairs are compared exactly, unless
+   their sets are linked already. A node of more sets than `part` is dealt into parts; sets that their part doesn't tie to
+   the node's first class are compared with the other parts too, by the same trees, so that no link between parts is lost.
+5. The links' connected components, spread to the members of each class.
 
 Defined cases: null or empty texts (and texts of white space) have empty sets and link with nothing, not even each
 other. Texts of fewer words than n have their whole sequence as their one gram. Repeated rows of a doc_id stay repeated
-rows of the result and each row is judged by its own text; a null doc_id takes part like any other (component null when
-it is the smallest). Ties do not matter: similarity is compared in integers. Extra columns are not read.
+rows of the result and each row is judged by its own text; a null doc_id takes the component of its class (null when the
+class has no other doc_id). Ties do not matter: similarity is compared in integers. Extra columns are not read. Grams are
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,59 +34,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_groups, arrow_map, components, gram_sets, materialize, mix64, slices, utf8
+from .common import arrow_groups, arrow_map, components, gram_sets, materialize, mix64, sieve, slices, utf8
 
-BANDS, BAND_ROWS = 32, 3
-#: Sets of one part of a family, at most.
+#: Cells that grams are counted in, as a power of two.
+CELLS = 18
+#: Sets of one part of a node, at most.
 PART = 512
 #: Children of a tree's node.
 FANOUT = 8
+#: Bytes of bitmaps that are compared at once.
+AT_ONCE = 1 << 23
 
-_A = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+_A = mix64(np.arange(1, 3, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
-def set_rows(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands): bands null for empty sets. One scan, no shuffle."""
+def crowding(docs: DataFrame, n: int) -> np.ndarray:
+    """For each cell how many times the mean it holds, as a power of two: a table of one size whatever the corpus.
+
+    The result of the join does not hang on it, only how few sets meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELLS, np.int64)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets):
-                h, at = gram_sets(data, offsets[lo : hi + 1], n)
-                size = np.diff(at)
-                some = np.flatnonzero(size)
-                key = np.zeros(hi - lo, np.uint64)
-                bands = np.zeros((len(some), BANDS), np.uint64)
-                if len(some):
-                    starts = at[:-1][some]
-                    key[some] = mix64(np.add.reduceat(mix64(h), starts)) ^ np.bitwise_xor.reduceat(h, starts)
-                    for i, a in enumerate(_A):
-                        low = np.minimum.reduceat(h * a, starts)
-                        bands[:, i // BAND_ROWS] = mix64(bands[:, i // BAND_ROWS] + low + np.uint64(i + 1))
-                ends = np.cumsum(np.where(size > 0, BANDS, 0), dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(_signed(bands.ravel())), mask=pa.array(size == 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(_signed(key)), lists], ["doc_id", "n_shingles", "set_key", "bands"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key long, bands array<long>")
+                total += np.bincount(_cell(gram_sets(data, offsets[lo : hi + 1], n)[0]), minlength=1 << CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+
+    counted = materialize(arrow_map(docs.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
+    out = np.zeros(1 << CELLS, np.uint8)
+    for cell, level in counted.where(F.col("n") >= 2 * mean).select("cell", F.floor(F.log2(F.col("n") / mean)).cast("int")).toLocalIterator():
+        out[cell] = level
+    return out
+
+
+def _range(size: np.ndarray) -> np.ndarray:
+    """The number of a size's range: its binary logarithm, whole."""
+    return np.frexp(size.astype(np.float64))[1] - 1
+
+
+def _bits(band: int) -> int:
+    """Bits of the bitmaps of a size range: four to eight for each gram."""
+    return 1 << max(7, band + 3)
 
 
 def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out).view(np.uint64)
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def _folded(bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap that the same set has in fewer bits."""
+    while len(bitmap) * 64 > bits:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+SETS = "doc_id long, row_hash long, n_shingles long, key1 long, key2 long, bands array<int>, prefix array<long>, bitmap binary"
+
+
+def set_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """SETS for each row of docs. Two scans, no shuffle of text."""
+    levels = crowding(docs, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            for lo, hi in slices(offsets):
+                h, at = gram_sets(data, offsets[lo : hi + 1], n)
+                size = np.diff(at)
+                keys = np.zeros((2, hi - lo), np.uint64)
+                if len(some := np.flatnonzero(size)):
+                    for k, a in enumerate(_A):
+                        keys[k, some] = mix64(np.add.reduceat(mix64(h * a), at[:-1][some]))
+                owner = np.repeat(np.arange(hi - lo), size)
+                order = np.lexsort((h, levels[_cell(h)], owner))
+                length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+                inside = np.arange(len(h)) - np.repeat(at[:-1], size) < np.repeat(length, size)
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(h[order][inside].view(np.int64)))
+                low, high = _range(np.maximum(size, 1)), _range(np.maximum(size * 100 // percent, 1))
+                bands = [list(range(a, b + 1)) if s else [] for a, b, s in zip(low.tolist(), high.tolist(), size.tolist())]
+                maps = [_bitmap(h[at[i] : at[i + 1]], _bits(b[-1])).tobytes() if b else None for i, b in enumerate(bands)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(size.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(bands, pa.list_(pa.int32())), prefix, pa.array(maps, pa.binary())], ["doc_id", "row_hash", "n_shingles", "key1", "key2", "bands", "prefix", "bitmap"])
+
+    return arrow_map(docs.select("doc_id", F.xxhash64("text"), "text"), run, SETS)
 
 
 class Tree:
-    """A signature tree over sets, as levels of nodes; level 0 holds the sets themselves, most alike sets beside each other."""
+    """A signature tree over bitmaps and sizes, as levels of nodes; level 0 holds the sets themselves."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        n = len(sets)
-        own = np.stack([_bitmap(s, bits) for s in sets])
-        sizes = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, own: np.ndarray, sizes: np.ndarray):
+        n = len(sizes)
         self.levels = [(own, own, sizes, sizes)]
         while n > 1:
             cut = np.arange(0, n, FANOUT)
@@ -94,7 +145,7 @@ def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
 
-def _possible(tree: Tree, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def _allowed(tree: Tree, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """For node pairs of one level: whether the largest overlap that bitmaps and sizes allow reaches the bound."""
     any_, all_, lo, hi = tree.levels[level]
     # Each bit that all sets of one node have and none of the other has is a gram outside the overlap.
@@ -104,6 +155,41 @@ def _possible(tree: Tree, level: int, a: np.ndarray, b: np.ndarray, percent: int
     return (100 + percent) * most >= percent * (lo[a] + lo[b])
 
 
+def _possible(tree: Tree, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """_allowed, a bounded number of pairs at a time."""
+    step = max(1, AT_ONCE // (8 * tree.levels[0][0].shape[1]))
+    return np.concatenate([np.zeros(0, bool), *(_allowed(tree, level, a[k : k + step], b[k : k + step], percent) for k in range(0, len(a), step))])
+
+
+def traverse(tree: Tree, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The tree against itself: pairs of sets whose nodes are left, and how many node pairs were pruned on the way."""
+    a = b = np.zeros(1, np.int64)
+    pruned = 0
+    for level in range(len(tree.levels) - 1, 0, -1):
+        ok = _possible(tree, level, a, b, percent)
+        pruned += len(ok) - int(np.count_nonzero(ok))
+        a, b = a[ok], b[ok]
+        below = len(tree.levels[level - 1][2])
+        step = np.arange(FANOUT)
+        x = (a[:, None, None] * FANOUT + step[None, :, None] + np.zeros((1, 1, FANOUT), np.int64)).ravel()
+        y = (b[:, None, None] * FANOUT + step[None, None, :] + np.zeros((1, FANOUT, 1), np.int64)).ravel()
+        ok = (x <= y) & (x < below) & (y < below)
+        a, b = x[ok], y[ok]
+    return a[a < b], b[a < b], pruned
+
+
+def left_over(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Which sets of one node and range some other set may link with, by bitmaps and sizes alone; and pairs pruned."""
+    # Most alike sets beside each other, so that their common nodes' bitmaps are tight.
+    order = sorted(range(len(sizes)), key=lambda i: (int(bitmaps[i][0]), int(sizes[i])))
+    tree = Tree(np.stack([bitmaps[i] for i in order]), sizes[order])
+    a, b, pruned = traverse(tree, percent)
+    ok = _possible(tree, 0, a, b, percent)
+    out = np.zeros(len(sizes), bool)
+    out[np.array(order)[np.concatenate([a[ok], b[ok]])]] = True
+    return out, pruned + len(ok) - int(np.count_nonzero(ok))
+
+
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -120,8 +206,8 @@ def tree_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None =
     order = sorted(range(n), key=lambda i: (int((sets[i] * _A[0]).min()), int((sets[i] * _A[1]).min()), len(sets[i])))
     own = [sets[i] for i in order]
     group = None if apart is None else apart[order]
-    bits = 1 << max(7, int(np.median([len(s) for s in own]) * 2).bit_length())
-    tree = Tree(own, min(bits, 1 << 16))
+    bits = min(1 << max(7, int(np.median([len(s) for s in own]) * 2).bit_length()), 1 << 16)
+    tree = Tree(np.stack([_bitmap(s, bits) for s in own]), np.array([len(s) for s in own], np.int64))
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -131,20 +217,10 @@ def tree_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None =
         return x
 
     found: list[tuple[int, int]] = []
-    a = b = np.zeros(1, np.int64)
-    for level in range(len(tree.levels) - 1, 0, -1):
-        ok = _possible(tree, level, a, b, percent)
-        a, b = a[ok], b[ok]
-        below = len(tree.levels[level - 1][2])
-        step = np.arange(FANOUT)
-        x = (a[:, None, None] * FANOUT + step[None, :, None] + np.zeros((1, 1, FANOUT), np.int64)).ravel()
-        y = (b[:, None, None] * FANOUT + step[None, None, :] + np.zeros((1, FANOUT, 1), np.int64)).ravel()
-        ok = (x <= y) & (x < below) & (y < below)
-        a, b = x[ok], y[ok]
-    ok = a < b
+    a, b, _ = traverse(tree, percent)
     if group is not None:
-        ok &= group[a] != group[b]
-    a, b = a[ok], b[ok]
+        ok = group[a] != group[b]
+        a, b = a[ok], b[ok]
     # Nearest neighbours in the order come first: they tie most of a group of copies, and tied pairs need no comparison.
     first = np.argsort(b - a, kind="stable")
     for lo in range(0, len(first), 4096):
@@ -162,11 +238,69 @@ def tree_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None =
     return found
 
 
-def _sets(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """members (doc_id, family, part, ...) with the doc's set as binary: the texts travel to the members' rows once."""
+def representatives(rows: DataFrame) -> DataFrame:
+    """The rows that stand for their class; rows of copies go. Few rows are shuffled where few are copies."""
+    keys = ["key1", "key2", "n_shingles"]
+    some = rows.where("n_shingles > 0")
+    classes = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1"), "classes")
+    touched, others = sieve(some, F.col("key1"), classes, "key1")
+    stands = classes.select(*keys, F.col("doc_id").alias("_stands")).hint("merge")
+    kept = touched.join(stands, keys, "left").where("_stands is null or _stands = doc_id").select(*rows.columns)
+    return kept.union(others).where("doc_id is not null")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """(doc_id, node, band): classes that share a prefix gram with another, by node (its smallest class) and size range."""
+    grams = rows.select("doc_id", F.explode("prefix").alias("gram"))
+    heads = grams.groupBy("gram").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("node < last")
+    heads = materialize(heads, "heads")
+    # A gram of two classes names both; only those of more are looked up in the rows.
+    two = heads.where("n = 2").select("node", F.explode(F.array("node", "last")).alias("doc_id"))
+    more = heads.where("n > 2").select("gram", "node")
+    touched, _ = sieve(grams, F.col("gram"), more, "gram")
+    found = two.union(touched.join(more.hint("merge"), "gram").select("node", "doc_id")).distinct()
+    return found.join(rows.select("doc_id", F.explode("bands").alias("band")).distinct().hint("merge"), "doc_id")
+
+
+def candidates(rows: DataFrame, percent: int, part: int) -> DataFrame:
+    """(doc_id, node, band, head, parts): members that a signature tree leaves, in nodes of one part, and all members of larger nodes."""
+    member = materialize(members(rows), "members")
+    sizes = materialize(member.groupBy("node", "band").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"), "nodes")
+    placed = member.join(sizes.hint("merge"), ["node", "band"]).select("doc_id", "node", "band", "head", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    placed = materialize(placed, "placed")
+    told = placed.where("parts = 1").join(rows.select("doc_id", "n_shingles", "bitmap").hint("merge"), "doc_id").select("node", "band", "doc_id", "head", "n_shingles", "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judge(node: int, band: int, own: list) -> pa.RecordBatch:
+            bits = _bits(band)
+            stay, _ = left_over([_folded(np.frombuffer(r[4], np.uint64), bits) for r in own], np.array([r[3] for r in own], np.int64), percent)
+            kept = [r for r, s in zip(own, stay) if s]
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in kept], pa.int64()), pa.array([node] * len(kept), pa.int64()), pa.array([band] * len(kept), pa.int32()), pa.array([r[2] for r in kept], pa.int64()), pa.array([1] * len(kept), pa.int32())], ["doc_id", "node", "band", "head", "parts"])
+
+        key, own = None, []
+        for batch in batches:
+            for node, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (node, r[0]):
+                    if len(own) > 1:
+                        yield judge(*key, own)
+                    key, own = (node, r[0]), []
+                if not own or own[-1][1] != r[1]:
+                    own.append(r)
+        if len(own) > 1:
+            yield judge(*key, own)
+
+    walk = told.repartition("node", "band").sortWithinPartitions("node", "band", "doc_id")
+    left = arrow_map(walk, run, "doc_id long, node long, band int, head long, parts int")
+    return materialize(left.union(placed.where("parts > 1")), "candidates")
+
+
+def _sets(placed: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """placed (doc_id, ...) with the doc's set as binary: the texts of the documents that are left travel once."""
+    ids = materialize(placed.select(F.xxhash64("doc_id").alias("h")).distinct(), "ids")
+    touched, _ = sieve(docs.select("doc_id", "text").where("doc_id is not null"), F.xxhash64("doc_id"), ids, "h")
     # Shuffled at any size: the plan must not hang on whether the members of a small corpus would fit a broadcast.
-    both = members.hint("merge").join(texts, "doc_id").select(*members.columns, "text")
-    names = members.columns
+    both = placed.hint("merge").join(touched, "doc_id").select(*placed.columns, "text")
+    names = placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,40 +310,33 @@ def _sets(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 own = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(names))), own], [*names, "grams"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
     return arrow_map(both, run, f"{kinds}, grams binary")
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
     """Links (a, b) between class representatives (doc_id) that span the same components as all links do."""
-    classes = materialize(rows.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "classes")
-    bands = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    heads = bands.groupBy("band", "key").agg(F.min("doc_id").alias("family"), F.count("*").alias("n")).where("n > 1").select("band", "key", "family")
-    member = materialize(bands.join(heads, ["band", "key"]).select("doc_id", "family").distinct(), "members")
-    # Only families of more than one part are looked up, from a written table, so that a hot family's side can be split.
-    big = materialize(member.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > part), "families")
-    # The family's own class goes to each of its parts.
-    placed = member.join(big, "family", "left").select("doc_id", "family", F.coalesce(F.ceil(F.col("n") / part), F.lit(1)).cast("int").alias("parts"))
-    dealt = placed.select("doc_id", "family", "parts", F.explode(F.when(F.col("doc_id") == F.col("family"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "family"), F.col("parts")).cast("int")))).alias("part"))
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    held = materialize(_sets(dealt, texts, n), "sets")
+    placed = candidates(materialize(representatives(rows), "representatives"), percent, part)
+    # A node's first class goes to each of its parts.
+    dealt = placed.withColumn("part", F.explode(F.when(F.col("doc_id") == F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "node"), F.col("parts")).cast("int")))))
+    held = materialize(_sets(dealt, docs, n), "sets")
 
     def first(batches: pa.Table) -> pa.Table:
         return _part_links(batches, percent)
 
-    schema = "a long, b long, family long, part int, loose boolean"
-    one = materialize(arrow_groups(held, ["family", "part"], first, schema), "links")
+    schema = "a long, b long, node long, band int, part int, loose boolean"
+    one = materialize(arrow_groups(held, ["node", "band", "part"], first, schema), "links")
     found = one.where("not loose").select("a", "b")
-    # Sets of divided families that their part doesn't tie to the family's class, against the family's other parts.
-    loose = one.where("loose").select(F.col("a").alias("doc_id"), "family", "part")
+    # Sets of divided nodes that their part doesn't tie to the node's first class, against the node's other parts.
+    loose = one.where("loose").select(F.col("a").alias("doc_id"), "node", "band", "part")
     if loose.isEmpty():
         return found
-    homes = held.where("parts > 1 and doc_id <> family").select("family", F.col("part"), "doc_id", "grams")
-    probe = homes.join(loose, ["doc_id", "family", "part"])
-    parts = held.where("parts > 1").select("family", "parts").distinct()
-    sent = probe.join(parts, "family").select("family", "doc_id", "grams", F.col("part").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where("part <> home").withColumnRenamed("home", "share")
-    kept = sent.select("family", "part", "share").distinct()
-    met = sent.select("family", "part", "share", "doc_id", "grams", F.lit(True).alias("probe")).union(homes.join(kept, ["family", "part"]).select("family", "part", "share", "doc_id", "grams", F.lit(False)))
+    homes = held.where("parts > 1 and doc_id <> head").select("node", "band", "part", "doc_id", "parts", "grams")
+    probe = homes.join(loose, ["doc_id", "node", "band", "part"])
+    sent = probe.select("node", "band", "doc_id", "grams", F.col("part").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where("part <> share")
+    kept = sent.select("node", "band", "part", "share").distinct()
+    cell = ["node", "band", "part", "share"]
+    met = sent.select(*cell, "doc_id", "grams", F.lit(True).alias("probe")).union(homes.join(kept, ["node", "band", "part"]).select(*cell, "doc_id", "grams", F.lit(False)))
 
     def second(batches: pa.Table) -> pa.Table:
         ids = batches.column("doc_id").to_pylist()
@@ -217,13 +344,13 @@ def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part:
         got = tree_links(sets, percent, np.array(batches.column("probe").to_pylist()))
         return pa.table({"a": pa.array([ids[i] for i, _ in got], pa.int64()), "b": pa.array([ids[j] for _, j in got], pa.int64())})
 
-    return found.union(arrow_groups(met, ["family", "part", "share"], second, "a long, b long"))
+    return found.union(arrow_groups(met, cell, second, "a long, b long"))
 
 
 def _part_links(rows: pa.Table, percent: int) -> pa.Table:
     ids = rows.column("doc_id").to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-    family, part, parts = rows.column("family")[0].as_py(), rows.column("part")[0].as_py(), rows.column("parts")[0].as_py()
+    node, band, head, part, parts = (rows.column(c)[0].as_py() for c in ("node", "band", "head", "part", "parts"))
     got = tree_links(sets, percent)
     out = [(ids[i], ids[j], False) for i, j in got]
     if parts > 1:
@@ -236,19 +363,46 @@ def _part_links(rows: pa.Table, percent: int) -> pa.Table:
 
         for a, b, _ in out:
             to[root(a)] = root(b)
-        home = root(family)
+        home = root(head)
         out += [(x, x, True) for x in ids if root(x) != home]
-    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "family": pa.array([family] * len(out), pa.int64()), "part": pa.array([part] * len(out), pa.int32()), "loose": pa.array([x[2] for x in out], pa.bool_())})
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "node": pa.array([node] * len(out), pa.int64()), "band": pa.array([band] * len(out), pa.int32()), "part": pa.array([part] * len(out), pa.int32()), "loose": pa.array([x[2] for x in out], pa.bool_())})
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-    rows = materialize(set_rows(docs, n), "sets")
+    return keyed_groups(docs, n, percent, part).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed_groups(docs: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
+    """groups with row_hash (of the text) and the set's 128-bit key (key1, key2; both 0 for an empty set)."""
+    rows = materialize(set_rows(docs, n, percent), "sets")
     tied = components(links(docs, rows, n, percent, part))
-    classes = rows.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"))
-    named = classes.join(tied, "node", "left").select("set_key", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    full = rows.where("n_shingles > 0").join(named, ["set_key", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    keys = ["key1", "key2", "n_shingles"]
+    bare = rows.select("doc_id", "row_hash", *keys)
+    some = bare.where("n_shingles > 0")
+    classes = some.groupBy(*keys).agg(F.min("doc_id").alias("node"))
+    named = classes.join(tied, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
+    return some.join(named, keys).select("doc_id", "row_hash", *keys, "component_id").union(bare.where("n_shingles = 0").select("doc_id", "row_hash", *keys, F.col("doc_id").alias("component_id")))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
+    """docs with one row of each group of linked documents: the smallest doc_id's (null last; of its texts the smallest hash's).
+
+    Rows are judged by doc_id and text together: of repeated rows one stays, and rows of a null doc_id stay where no other
+    document of their group does. Rows of empty sets are linked with nothing and all stay.
+    """
+    some = keyed_groups(docs, n, percent, part).where("n_shingles > 0").select("doc_id", "row_hash", "component_id", *(F.when(F.col("component_id").isNull(), F.col(c)).alias(c) for c in ("key1", "key2")))
+    some = materialize(some, "grouped")
+    of = ["component_id", "key1", "key2"]
+    first = some.groupBy(*of).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"_{c}") for c in of), "first")
+    met = some.join(first.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of])
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash"))
+    told = materialize(met.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), stays.alias("_stays")).groupBy("_doc", "_row").agg(F.max("_stays").alias("_stays")), "told")
+    touched, others = sieve(docs, F.xxhash64("text"), told, "_row")
+    judged = touched.withColumn("_hash", F.xxhash64("text")).join(told.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
+    alone = judged.where("_stays is null").select(*docs.columns)
+    one = judged.where("_stays").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return alone.union(one).union(others)
 
 
 ORACLE = r"""

@@ -147,6 +147,45 @@ def test_tree_finds_all_components():
     assert group(parent) == group(want)
 
 
+def test_signature_trees_prune_and_lose_no_link(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows_ = common.materialize(ngram_join.representatives(ngram_join.set_rows(docs)), "t")
+    known = {r.doc_id: r for r in rows_.collect()}
+    nodes = collections.defaultdict(list)
+    for r in ngram_join.members(rows_).collect():
+        nodes[r.node, r.band].append(r.doc_id)
+    left, pruned = collections.defaultdict(set), 0
+    for (node, band), ids in nodes.items():
+        maps = [ngram_join._folded(np.frombuffer(known[d].bitmap, np.uint64), ngram_join._bits(band)) for d in ids]
+        stay, n = ngram_join.left_over(maps, np.array([known[d].n_shingles for d in ids]), 80)
+        pruned += n
+        left[node, band] = {d for d, s in zip(ids, stay) if s}
+    assert pruned > 100 and sum(map(len, left.values())) < sum(map(len, nodes.values()))
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOW))
+        sets[r.doc_id] = set(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else {tuple(w)} if w else set()
+    n_links = 0
+    where = collections.defaultdict(set)
+    for d in known:
+        near = collections.Counter(j for g in sets[d] for j in where[g])
+        for j, o in near.items():
+            if 100 * o >= 80 * (len(sets[d]) + len(sets[j]) - o):
+                n_links += 1
+                assert any({d, j} <= x for x in left.values())
+        for g in sets[d]:
+            where[g].add(d)
+    assert n_links > 3
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (fixtures.prose(k, 60) for k in (1, 2, 3))
+    data = [(5, a), (5, a), (7, a + " end"), (None, a), (None, b), (None, b), (9, c), (9, b + " other " + c), (4, None), (4, None), (None, ""), (6, " ")]
+    docs = fixtures.frame(spark, [(d, t, "en", "s", 0) for d, t in data], clash=True)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(5, a), (None, b), (9, c), (9, b + " other " + c), (4, None), (4, None), (None, ""), (6, " ")], key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 80), (5, 5), (7, None)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
