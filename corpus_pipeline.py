@@ -28,9 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a Jaccard similarity of 0.8 or more on five-word shingles, the one of the smallest doc_id stays."""
-    gone = materialize(ngram_join.groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents linked at a Jaccard similarity of 0.8 or more on five-word shingles, one row of the smallest doc_id stays."""
+    return ngram_join.keep_first(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
