@@ -8,10 +8,12 @@ is the transcript's parse: marked or not, each line gets a role and turns begin
 One conversation may hold any share of all rows, so none is gathered in a task. Parts are cut into segments of 64; each
 segment is reduced to its max-plus transfer matrix (best score from the state before it to the state at its end), the
 matrices are chained in sorted walks that hold one state, which fixes the states at the segments' seams, and each segment
-is then decoded between them. The result is that of one Viterbi run over the whole transcript.
+is then decoded between them. The result is that of one Viterbi run over the whole transcript. Turns are rendered in
+chunks, one for each segment that a turn has lines in, so that a turn of any length is never gathered either: the chunks of
+a turn, joined in order, are the turn.
 
 Defined cases: null text is an empty part and has one empty line. Null conv_ids are one conversation; null parts come
-first. Repeated rows are repeated lines. Of equal paths the one through the lower states wins. An unknown role counts as
+first. Repeated rows are repeated lines. White space at a turn's two ends goes, in its first and last chunk. Of equal paths the one through the lower states wins. An unknown role counts as
 a user's in fitting. An empty table gives no turns. Very long parts are one segment. Extra columns are not read.
 """
 
@@ -157,8 +159,9 @@ def fit(parts: DataFrame) -> Model:
 
 
 def parse(parts: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, segment, part, row, pos, line, role, begins, turn): every line with its role and its turn's number in the conversation."""
-    given = materialize(parts.select("conv_id", "part", F.coalesce("text", F.lit("")).alias("text")), "transcripts")
+    """(conv_id, segment, part, row, pos, line, role, begins, turn, known): every line with its role, its turn's number in the conversation, and the role that its part was given with, if any."""
+    known = F.col("role") if "role" in parts.columns else F.lit(None).cast("string")
+    given = materialize(parts.select("conv_id", "part", F.coalesce("text", F.lit("")).alias("text"), known.alias("known")), "transcripts")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -196,7 +199,7 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
     seams = fold_sorted(came, "conv_id", [F.desc("segment")], backward, "segment long, before int, after int")
     own = given.withColumn("segment", F.coalesce(F.floor(F.col("part") / SEGMENT), F.lit(-1)).cast("long"))
     seams = seams.select(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment"), "before", "after")
-    met = own.join(seams, own.conv_id.eqNullSafe(F.col("_conv")) & (own.segment == F.col("_segment"))).select("conv_id", "segment", "part", "text", "before", "after")
+    met = own.join(seams, own.conv_id.eqNullSafe(F.col("_conv")) & (own.segment == F.col("_segment"))).select("conv_id", "segment", "part", "text", "before", "after", "known")
     dealt = met.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "part", "text")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,23 +212,33 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([conv] * len(lines), pa.int64()), pa.array([segment] * len(lines), pa.int64()), pa.array([rows[i][0] for i, _, _ in lines], pa.int64()), pa.array([i for i, _, _ in lines], pa.int32()), pa.array([j for _, j, _ in lines], pa.int32()),
-                    pa.array([s[3] for s in seen], pa.string()), pa.array([ROLES[s // 2] for s in path], pa.string()), pa.array([s % 2 == 0 for s in path], pa.bool_()), pa.array(turn.astype(np.int64)),
+                    pa.array([s[3] for s in seen], pa.string()), pa.array([ROLES[s // 2] for s in path], pa.string()), pa.array([s % 2 == 0 for s in path], pa.bool_()), pa.array(turn.astype(np.int64)), pa.array([rows[i][4] for i, _, _ in lines], pa.string()),
                 ],
-                ["conv_id", "segment", "part", "row", "pos", "line", "role", "begins", "local"],
+                ["conv_id", "segment", "part", "row", "pos", "line", "role", "begins", "local", "known"],
             )
 
-    lines = materialize(arrow_map(dealt, decode, "conv_id long, segment long, part long, row int, pos int, line string, role string, begins boolean, local long"), "lines")
+    lines = materialize(arrow_map(dealt, decode, "conv_id long, segment long, part long, row int, pos int, line string, role string, begins boolean, local long, known string"), "lines")
     # Turns begun before each segment: a running sum over segments, not over lines.
     begun = lines.groupBy("conv_id", "segment").agg(F.max("local").alias("n"))
     begun = begun.select(F.col("conv_id").alias("_conv"), F.col("segment").alias("_segment"), (F.sum("n").over(Window.partitionBy("conv_id").orderBy("segment")) - F.col("n")).alias("earlier"))
-    return lines.join(begun, lines.conv_id.eqNullSafe(F.col("_conv")) & (lines.segment == F.col("_segment"))).select("conv_id", "segment", "part", "row", "pos", "line", "role", "begins", (F.col("earlier") + F.col("local") - 1).alias("turn"))
+    return lines.join(begun, lines.conv_id.eqNullSafe(F.col("_conv")) & (lines.segment == F.col("_segment"))).select("conv_id", "segment", "part", "row", "pos", "line", "role", "begins", (F.col("earlier") + F.col("local") - 1).alias("turn"), "known")
 
 
 def render(lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, n_lines, text, rendered): one row for each recovered turn."""
-    turns = lines.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("segment", "row", "pos", "line"))).alias("lines"))
-    text = F.btrim(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(" \t\r\n"))
-    return turns.select("conv_id", "turn", "role", "n_lines", text.alias("text"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
+    """(conv_id, turn, chunk, role, n_lines, n_right, text, rendered): the recovered turns, a row for each segment that a turn has lines in.
+
+    rendered: the chunk's share of "<|role|>", the text and "<|end|>". n_right: lines whose role is the known one.
+    """
+    right = F.count(F.when(F.col("role") == F.col("known"), 1))
+    pieces = lines.groupBy("conv_id", "turn", "segment").agg(F.first("role").alias("role"), F.count("*").alias("n_lines"), right.alias("n_right"), F.sort_array(F.collect_list(F.struct("row", "pos", "line"))).alias("lines"))
+    joined = pieces.withColumn("text", F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    turn = Window.partitionBy("conv_id", "turn").orderBy("segment")
+    placed = joined.withColumn("chunk", F.row_number().over(turn) - 1).withColumn("last", F.lead("segment").over(turn).isNull())
+    space = F.lit(" \t\r\n")
+    left = F.when(F.col("chunk") == 0, F.ltrim("text", space)).otherwise(F.col("text"))
+    text = F.when(F.col("last"), F.rtrim(left, space)).otherwise(F.concat(left, F.lit("\n")))
+    rendered = F.concat(F.when(F.col("chunk") == 0, F.concat(F.lit("<|"), "role", F.lit("|>\n"))).otherwise(""), "text", F.when(F.col("last"), "\n<|end|>").otherwise(""))
+    return placed.withColumn("text", text).select("conv_id", "turn", "chunk", "role", "n_lines", "n_right", "text", rendered.alias("rendered"))
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:
@@ -240,7 +253,7 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """Every conversation written as a transcript and parsed again: one row for each recovered turn. The model is counted on conversations whose crc32(conv_id as text) mod 4 is not 2."""
+    """Every conversation written as a transcript and parsed again: the chunks of each recovered turn, with the number of lines that got back their role. The model is counted on conversations whose crc32(conv_id as text) mod 4 is not 2."""
     parts = as_transcripts(conversations)
     model = fit(parts.where(F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 4 != 2, F.lit(True))))
     return render(parse(parts, model))
