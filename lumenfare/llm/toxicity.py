@@ -3,9 +3,12 @@
 Fitting: a bounded sample of labelled rows (`sample_rows`, those of the smallest hash) is drawn; a first scan counts in
 how many of its toxic and clean documents each feature occurs, pre-aggregated in each task; features whose log odds
 differ clearly (at most `most_features`, the clearest) make the vocabulary. A second scan turns each sampled document into its
-vocabulary features, and the same document with its identity terms swapped within their groups into a counterfactual.
-The loss is the log loss plus `fairness` times the squared difference between the scores of each pair, so that weight
-cannot rest on which group a sentence mentions. Scoring is one scan without a shuffle, over whole texts.
+vocabulary features, and the same document with its identity terms swapped within their groups into a counterfactual. A
+document that mentions no group is also learnt, under its own label, with a mention of one put behind it (`MENTION`; which
+one is a matter of its hash), and with the mention swapped: so every corpus has pairs, both labels mention every group
+alike, and the identity terms' own features are always in the vocabulary. The loss is the log loss plus `fairness` times
+the squared difference between the scores of each pair, so that weight cannot rest on which group a sentence mentions.
+`group_gap` reports what is left of it. Scoring is one scan without a shuffle, over whole texts.
 
 Features are 64-bit hashes of words (case folded, marks removed) and of their first 4 to 8 bytes; a feature counts once
 in a document. Defined cases: null and empty texts have no features and get the intercept's score. Rows with a null label
@@ -16,6 +19,7 @@ only, every score is that kind's smoothed rate. Ties of the sample's hash are br
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +37,8 @@ IDENTITY = (
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("immigrants", "natives"), ("transgender", "cisgender"), ("disabled", "able-bodied"),
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
+#: A neutral sentence that mentions a group.
+MENTION = " {}."
 PREFIXES = (4, 5, 6, 7, 8)
 
 
@@ -80,6 +86,34 @@ def swapper(groups: tuple[tuple[str, ...], ...] = IDENTITY):
     return swap
 
 
+def mentioner(groups: tuple[tuple[str, ...], ...] = IDENTITY):
+    """A function that puts a mention of a group, chosen by the doc_id, behind a text."""
+    terms = [t for g in groups for t in g]
+
+    def mention(doc_id: int, text: str) -> str:
+        return text + MENTION.format(terms[zlib.crc32(str(doc_id).encode()) % len(terms)])
+
+    return mention
+
+
+def group_gap(model: Model, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> float:
+    """The largest difference between the scores of a bare mention of one term and of the next of its group."""
+    swap = swapper(groups)
+    own = [MENTION.format(t) for g in groups for t in g]
+    a, b = (raw_scores(model, *utf8(pa.array(some, pa.string()))) for some in (own, [swap(t) for t in own]))
+    return float(np.abs(1 / (1 + np.exp(-a)) - 1 / (1 + np.exp(-b))).max())
+
+
+def raw_scores(model: Model, data: np.ndarray, offsets: np.ndarray, sieve: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of each row."""
+    raw = np.full(len(offsets) - 1, model.intercept)
+    if len(model.features):
+        for lo, hi in slices(offsets):
+            row, at = _known(model.features, data, offsets[lo : hi + 1], sieve)
+            raw[lo:hi] += np.bincount(row, model.weights[at], hi - lo)
+    return raw
+
+
 def sample_labels(labels: DataFrame, label: str, learnable: Column, sample_rows: int) -> dict[int, int]:
     """At most sample_rows labelled rows, those of the smallest hash of doc_id."""
     known = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -123,28 +157,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learnable: Col
     odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
     chosen = sums.select("feature", F.abs(z).alias("z")).where("z >= 2.5").orderBy(F.desc("z"), "feature").limit(most_features).collect()
-    vocabulary = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
-    if not len(vocabulary):
+    if not chosen:
         return flat
+    terms = features(pa.array([t for g in groups for t in g], pa.string()))[1]
+    vocabulary = np.unique(np.concatenate([np.array([r[0] for r in chosen], np.int64).view(np.uint64), terms]))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        swap = swapper(groups)
+        swap, mention = swapper(groups), mentioner(groups)
         for batch in batches:
             texts, ids = sampled(batch)
-            for y, twin, some in ((ids, False, texts.to_pylist()), (ids, True, [swap(t or "") for t in texts.to_pylist()])):
-                kept = [i for i, t in enumerate(some) if not twin or t is not None]
+            own = [t or "" for t in texts.to_pylist()]
+            swapped = [swap(t) for t in own]
+            told = [mention(d, t) if s is None else None for d, t, s in zip(ids, own, swapped)]
+            for twin, some in ((0, own), (1, swapped), (2, told), (3, [t and swap(t) for t in told])):
+                y, kept = ids, [i for i, t in enumerate(some) if t is not None]
                 data, offsets = utf8(pa.array([some[i] for i in kept], pa.string()))
                 out: list = []
                 for lo, hi in slices(offsets):
                     row, at = _known(vocabulary, data, offsets[lo : hi + 1])
                     out += np.split(at, np.searchsorted(row, np.arange(1, hi - lo)))
-                yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in kept], pa.int64()), pa.array([twin] * len(kept), pa.bool_()), pa.array([x.tolist() for x in out], pa.list_(pa.int32()))], ["doc_id", "twin", "at"])
-
-    rows = arrow_map(own, pairs, "doc_id long, twin boolean, at array<int>").collect()
-    base = {r[0]: r[2] for r in rows if not r[1]}
-    twins = [(base[r[0]], r[2]) for r in rows if r[1] and r[0] in base]
-    ids = sorted(base)
-    weights, intercept = _regress([base[d] for d in ids], np.array([sample[d] for d in ids], float), twins, len(vocabulary), fairness)
+                yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in kept], pa.int64()), pa.array([twin] * len(kept), pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.int32()))], ["doc_id", "twin", "at"])
+
+    rows = arrow_map(own, pairs, "doc_id long, twin int, at array<int>").collect()
+    kinds: list[dict[int, list[int]]] = [{}, {}, {}, {}]
+    for d, twin, at in rows:
+        kinds[twin][d] = at
+    own, swapped, told, told_swapped = kinds
+    twins = [(own[d], swapped[d]) for d in sorted(swapped)] + [(told[d], told_swapped[d]) for d in sorted(told)]
+    ids = sorted(own)
+    more = sorted(told)
+    labels_ = np.array([sample[d] for d in [*ids, *more]], float)
+    weights, intercept = _regress([*(own[d] for d in ids), *(told[d] for d in more)], labels_, twins, len(vocabulary), fairness)
     return Model(vocabulary, weights, intercept)
 
 
@@ -193,12 +236,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         sieve = np.zeros(1 << 22, bool)
         sieve[(model.features >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            raw = np.full(batch.num_rows, model.intercept)
-            if len(model.features):
-                for lo, hi in slices(offsets):
-                    row, at = _known(model.features, data, offsets[lo : hi + 1], sieve)
-                    raw[lo:hi] += np.bincount(row, model.weights[at], hi - lo)
+            raw = raw_scores(model, *utf8(batch.column(1)), sieve)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(raw, -50, 50))))], ["doc_id", "score"])
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, score double")
