@@ -81,8 +81,8 @@ def _range(size: np.ndarray) -> np.ndarray:
 
 
 def _bits(band: int) -> int:
-    """Bits of the bitmaps of a size range: four to eight for each gram."""
-    return 1 << max(7, band + 3)
+    """Bits of the bitmaps of a size range: one to two for each gram, enough to tell strangers apart."""
+    return 1 << max(7, band + 1)
 
 
 def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -178,15 +178,22 @@ def traverse(tree: Tree, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     return a[a < b], b[a < b], pruned
 
 
-def left_over(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Which sets of one node and range some other set may link with, by bitmaps and sizes alone; and pairs pruned."""
+def left_over(bitmaps: list[np.ndarray], sizes: np.ndarray, percent: int, node: int, nodes: list[list[int]]) -> tuple[np.ndarray, int]:
+    """Which sets of a node (in one size range) may link with another there, by bitmaps and sizes alone; and pairs pruned.
+
+    nodes: all nodes of each set. A pair that meets in several counts in the first of these only.
+    """
     # Most alike sets beside each other, so that their common nodes' bitmaps are tight.
     order = sorted(range(len(sizes)), key=lambda i: (int(bitmaps[i][0]), int(sizes[i])))
     tree = Tree(np.stack([bitmaps[i] for i in order]), sizes[order])
     a, b, pruned = traverse(tree, percent)
     ok = _possible(tree, 0, a, b, percent)
     out = np.zeros(len(sizes), bool)
-    out[np.array(order)[np.concatenate([a[ok], b[ok]])]] = True
+    earlier = [{x for x in own if x < node} for own in nodes]
+    for i, j in zip(a[ok].tolist(), b[ok].tolist()):
+        i, j = order[i], order[j]
+        if not (out[i] and out[j]) and earlier[i].isdisjoint(earlier[j]):
+            out[i] = out[j] = True
     return out, pruned + len(ok) - int(np.count_nonzero(ok))
 
 
@@ -268,12 +275,13 @@ def candidates(rows: DataFrame, percent: int, part: int) -> DataFrame:
     sizes = materialize(member.groupBy("node", "band").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"), "nodes")
     placed = member.join(sizes.hint("merge"), ["node", "band"]).select("doc_id", "node", "band", "head", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     placed = materialize(placed, "placed")
-    told = placed.where("parts = 1").join(rows.select("doc_id", "n_shingles", "bitmap").hint("merge"), "doc_id").select("node", "band", "doc_id", "head", "n_shingles", "bitmap")
+    lists = placed.groupBy("doc_id", "band").agg(F.collect_set("node").alias("nodes"))
+    told = placed.where("parts = 1").join(lists.hint("merge"), ["doc_id", "band"]).join(rows.select("doc_id", "n_shingles", "bitmap").hint("merge"), "doc_id").select("node", "band", "doc_id", "head", "n_shingles", "bitmap", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judge(node: int, band: int, own: list) -> pa.RecordBatch:
             bits = _bits(band)
-            stay, _ = left_over([_folded(np.frombuffer(r[4], np.uint64), bits) for r in own], np.array([r[3] for r in own], np.int64), percent)
+            stay, _ = left_over([_folded(np.frombuffer(r[4], np.uint64), bits) for r in own], np.array([r[3] for r in own], np.int64), percent, node, [r[5] for r in own])
             kept = [r for r, s in zip(own, stay) if s]
             return pa.RecordBatch.from_arrays([pa.array([r[1] for r in kept], pa.int64()), pa.array([node] * len(kept), pa.int64()), pa.array([band] * len(kept), pa.int32()), pa.array([r[2] for r in kept], pa.int64()), pa.array([1] * len(kept), pa.int32())], ["doc_id", "node", "band", "head", "parts"])
 
