@@ -6,7 +6,7 @@ import re
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import parsing
@@ -36,27 +36,29 @@ def dig(payload: Column, path: str, default: str | None = None, required: bool =
 FIELDS = ("room_name", "price_inclusive", "price_exclusive", "taxes_fees", "currency", "meal_plan", "refundable", "available", "rooms_left")
 
 
-def offer_from(node: Column, mapping: dict[str, str], currency: str = "INR") -> Column:
-    """An offer struct from a JSON node: a name is required, and a price where it is available; tax fills in the missing side."""
+PRICES = ("price_inclusive", "price_exclusive", "taxes_fees")
+
+
+def offers(nodes: DataFrame, node: str, mapping: dict[str, str], currency: str = "INR") -> DataFrame:
+    """nodes with the struct `_o`, the offer of each JSON node: a name is required, and a price where it is available; tax fills in the missing side.
+
+    In steps, so that a node is parsed once, each step's values are columns of their own and all of it stays in generated code.
+    """
     nothing = F.lit(None).cast("string")
-    # The node is parsed once; its fields are read off the parsed value.
-    text = parsing.let(F.try_parse_json(node), lambda v: F.struct(*[(F.try_variant_get(v, json_path(mapping[f]), "string") if f in mapping else nothing).alias(f) for f in FIELDS]))
-
-    def priced(t: Column) -> Column:
-        read = [parsing.price_or_null(t[f]).alias(f) for f in ("price_inclusive", "price_exclusive", "taxes_fees")]
-        return F.struct(t.alias("t"), *read, F.coalesce(parsing.truthy(t["available"]), F.lit(True)).alias("open"), parsing.blank_as_null(t["room_name"]).alias("name"))
-
-    def offer(x: Column) -> Column:
-        t, inc, exc, tax = x["t"], x["price_inclusive"], x["price_exclusive"], x["taxes_fees"]
-        error = F.when(x["name"].isNull(), "no_name").when(x["open"] & inc.isNull() & exc.isNull(), "no_price")
-        free = F.lower(t["refundable"])
-        return F.struct(
-            x["name"].alias("raw_room_name"), F.coalesce(inc, (exc + tax).cast("decimal(12,2)")).alias("price_inclusive"), F.coalesce(exc, (inc - tax).cast("decimal(12,2)")).alias("price_exclusive"), tax.alias("taxes_fees"),
-            F.coalesce(parsing.blank_as_null(t["currency"]), F.lit(currency)).alias("currency"), t["meal_plan"].alias("meal_plan"), F.when(free.isin("true", "1", "yes"), True).when(free.isin("false", "0", "no"), False).otherwise(parsing.refundable(t["refundable"])).alias("refundable"),
-            x["open"].alias("is_available"), t["rooms_left"].try_cast("int").alias("rooms_left"), error.alias("error"),
-        )
-
-    return parsing.let(parsing.let(text, priced), offer)
+    own = nodes.columns
+    parsed = nodes.select(*own, F.try_parse_json(node).alias("_v"))
+    text = parsed.select(*own, *[(F.try_variant_get("_v", json_path(mapping[f]), "string") if f in mapping else nothing).alias(f"_{f}") for f in FIELDS])
+    bare = text.select("*", *[(parsing.bare_number(F.col(f"_{f}")) if f in mapping else nothing).alias(f"_bare_{f}") for f in PRICES])
+    priced = bare.select(*text.columns, *[(parsing.price_of_bare(F.col(f"_bare_{f}")) if f in mapping else nothing.cast("decimal(12,2)")).alias(f"_read_{f}") for f in PRICES], F.coalesce(parsing.truthy(F.col("_available")), F.lit(True)).alias("_open"), parsing.blank_as_null(F.col("_room_name")).alias("_name"))
+    inc, exc, tax = (F.col(f"_read_{f}") for f in PRICES)
+    error = F.when(F.col("_name").isNull(), "no_name").when(F.col("_open") & inc.isNull() & exc.isNull(), "no_price")
+    free = F.lower("_refundable")
+    offer = F.struct(
+        F.col("_name").alias("raw_room_name"), F.coalesce(inc, (exc + tax).cast("decimal(12,2)")).alias("price_inclusive"), F.coalesce(exc, (inc - tax).cast("decimal(12,2)")).alias("price_exclusive"), tax.alias("taxes_fees"),
+        F.coalesce(parsing.blank_as_null(F.col("_currency")), F.lit(currency)).alias("currency"), F.col("_meal_plan").alias("meal_plan"), F.when(free.isin("true", "1", "yes"), True).when(free.isin("false", "0", "no"), False).otherwise(parsing.refundable(F.col("_refundable"))).alias("refundable"),
+        F.col("_open").alias("is_available"), F.col("_rooms_left").try_cast("int").alias("rooms_left"), error.alias("error"),
+    )
+    return priced.select(*own, offer.alias("_o"))
 
 
 def price_on(basis: Column, inclusive: Column, exclusive: Column) -> Column:

@@ -56,7 +56,9 @@ def _plain(n: Column) -> Column:
     comma, dot = F.contains(n, F.lit(",")), F.contains(n, F.lit("."))
     last_comma, last_dot = F.length(n) - F.instr(F.reverse(n), ","), F.length(n) - F.instr(F.reverse(n), ".")
     return (
-        F.when(comma & dot & (last_comma > last_dot), F.regexp_replace(F.regexp_replace(n, r"\.", ""), ",", "."))
+        # Plain numbers, most by far, need none of the rest.
+        F.when(n.rlike(r"^[-+]?\d+(\.\d{1,2})?$"), n)
+        .when(comma & dot & (last_comma > last_dot), F.regexp_replace(F.regexp_replace(n, r"\.", ""), ",", "."))
         .when(comma & dot, F.regexp_replace(n, ",", ""))
         .when(comma, F.when(n.rlike(r"^[-+]?\d+,\d{2}$"), F.regexp_replace(n, ",", ".")).otherwise(F.regexp_replace(n, ",", "")))
         .when(dot & n.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$"), F.regexp_replace(n, r"\.", ""))
@@ -78,9 +80,20 @@ def parse_price(text: Column, least: str = MIN_PRICE, most: str = MAX_PRICE) ->
     return let(read, judge)
 
 
+def bare_number(text: Column) -> Column:
+    """The first number without the spaces in it."""
+    return F.regexp_replace(first_number(text), r"[\u00A0\u202F ]", "")
+
+
+def price_of_bare(number: Column) -> Column:
+    """A bare number's value from 0 on; null on any error. For plans that hold `bare_number` as a column of its own."""
+    value = _plain(number).try_cast("decimal(38,10)")
+    return F.when((value >= 0) & (value <= F.lit(MAX_PRICE).cast("decimal(38,10)")), F.round(value, 2)).cast("decimal(12,2)")
+
+
 def price_or_null(text: Column) -> Column:
     """The value alone, from 0 on; null on any error."""
-    return parse_price(text, "0")["value"]
+    return let(bare_number(text), price_of_bare)
 
 
 def detect_currency(text: Column, default: str = "INR") -> Column:

@@ -79,8 +79,8 @@ def m2_offers_from_json(spark, sf):
     li = derive.load(spark, sf, "lineitem")
     node = F.to_json(F.struct(F.concat(F.lit("Room "), F.col("l_partkey").cast("string")).alias("name"), F.struct(F.array(F.struct(F.col("l_extendedprice").cast("decimal(12,2)").alias("total"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(100)).alias("taxes"))).alias("list")).alias("rates"), F.when(F.col("l_returnflag") == "R", "SOLD_OUT").otherwise("true").alias("open")))
     plan = {"room_name": "name", "price_inclusive": "rates.list.0.total", "taxes_fees": "rates.list.0.taxes", "available": "open"}
-    o = li.select("l_orderkey", "l_linenumber", mapping.offer_from(node, plan).alias("o"))
-    return o.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "o.raw_room_name", F.col("o.price_inclusive").cast("double").alias("price_inclusive"), F.col("o.price_exclusive").cast("double").alias("price_exclusive"), "o.is_available", "o.error")
+    o = mapping.offers(li.select("l_orderkey", "l_linenumber", node.alias("node")), "node", plan)
+    return o.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "_o.raw_room_name", F.col("_o.price_inclusive").cast("double").alias("price_inclusive"), F.col("_o.price_exclusive").cast("double").alias("price_exclusive"), "_o.is_available", "_o.error")
 
 
 M2_SQL = """

@@ -77,7 +77,7 @@ SELECT r.hotel_id, r.run_id, US(r.run_at) AS run_at, r.seen, p.n_past > 0 AS had
   SELECT *, row_number() OVER (PARTITION BY hotel_id ORDER BY run_at DESC, run_id DESC) AS k FROM {runs}) r
 JOIN (SELECT hotel_id, count(*) FILTER (WHERE check_in < (SELECT max(check_in) FROM {obs})) AS n_past FROM {series} GROUP BY hotel_id) p ON p.hotel_id = r.hotel_id WHERE r.k <= 10""",
     "q26_change_cursor": """
-SELECT change_id, hotel_id, direction, delta, (SELECT count(*) - 50 FROM {changes} WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2) AS more
+SELECT change_id, hotel_id, direction, delta, (SELECT greatest(0, count(*) - 50) FROM {changes} WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2) AS more
 FROM {changes} WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2 ORDER BY change_id DESC LIMIT 50""",
     "q28_attention": """
 SELECT error_class, count(*) AS n, count(DISTINCT hotel_id) AS n_hotels, max(US(occurred_at)) AS newest FROM {errors} GROUP BY error_class""",

@@ -35,7 +35,7 @@ def json_endpoint(payloads: DataFrame, rooms_path: str, fields: dict[str, str],
     """A list of rooms at a path, each mapped to an offer; a bad node is a row with an error, not a lost fetch."""
     rooms = F.from_json(F.get_json_object("payload", mapping.json_path(rooms_path)), "array<string>")
     nodes = payloads.select("*", F.posexplode(rooms).alias("ordinal", "_node"))
-    return nodes.select("*", mapping.offer_from(F.col("_node"), fields, currency).alias("_o")).select(*payloads.columns, "ordinal", "_o.*").drop("payload")
+    return mapping.offers(nodes, "_node", fields, currency).select(*payloads.columns, "ordinal", "_o.*").drop("payload")
 
 
 RATE = "struct<rate: double, inclusive: double, tax: double, prices: array<struct<price: double>>>"
@@ -68,7 +68,7 @@ def shared_payload(payloads: DataFrame, properties: DataFrame, list_path: str, i
     """One payload of many properties, read once: its nodes meet the watched properties (external_id, hotel_id) by their id."""
     nodes = payloads.select("*", F.explode(F.from_json(F.get_json_object("payload", mapping.json_path(list_path)), "array<string>")).alias("_node"))
     own = nodes.withColumn("external_id", F.get_json_object("_node", mapping.json_path(id_field))).join(properties, "external_id")
-    return own.select(*[c for c in payloads.columns if c != "payload"], "hotel_id", mapping.offer_from(F.col("_node"), fields).alias("_o")).select("*", "_o.*").drop("_o")
+    return mapping.offers(own.select(*[c for c in payloads.columns if c != "payload"], "hotel_id", "_node"), "_node", fields).drop("_node").select("*", "_o.*").drop("_o")
 
 
 @register("manual")
