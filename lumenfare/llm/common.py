@@ -6,7 +6,6 @@ follows the slice (or one long text) and never a partition.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Bytes of text that a kernel takes at once; a longer single text is taken alone.
 SLICE_BYTES = 1_000_000
@@ -27,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="lumenfare-")
-        spark.sparkContext.setCheckpointDir(got)
-    return got
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
