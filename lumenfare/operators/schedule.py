@@ -23,6 +23,16 @@ def is_stale(last_success: Column, created: Column, interval_minutes: Column, no
     return F.coalesce(F.unix_seconds(now) - F.unix_seconds(base) > 180 * interval_minutes, F.lit(False))
 
 
+def next_run(now: Column, interval_minutes: Column) -> Column:
+    """A dispatched target runs again an interval from now, however late it was."""
+    return F.timestamp_micros(F.unix_micros(now) + interval_minutes * 60_000_000)
+
+
+def still_enabled(is_enabled: Column, strategy: Column, check_in: Column, today: Column) -> Column:
+    """A fixed stay window that has passed switches its target off; a rolling one never passes."""
+    return is_enabled & ~((strategy == "fixed") & F.coalesce(check_in < today, F.lit(False)))
+
+
 def circuits(runs: DataFrame, open_after: int = OPEN_AFTER) -> DataFrame:
     """(target_id, state, failures, n_runs, n_opened) after each target's runs (target_id, run_id, ran_at, ok, refused) in order of time.
 

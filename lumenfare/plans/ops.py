@@ -168,6 +168,35 @@ T10_SQL = """
 SELECT target_id, hotel_id FROM {targets} WHERE is_enabled AND epoch(last_success_at) < (SELECT max(epoch(ran_at)) FROM {target_runs}) - 180 * interval_minutes"""
 
 
+def t8_next_runs(spark, sf):
+    """Each target's next run after its latest dispatch."""
+    d = Domain(spark, sf)
+    latest = d["target_runs"].groupBy("target_id").agg(F.max("ran_at").alias("at"))
+    at = schedule.next_run(F.col("at").cast("timestamp"), F.col("interval_minutes"))
+    return d["targets"].join(latest, "target_id").select("target_id", F.unix_micros(at).alias("next_run_us"))
+
+
+T8_SQL = """
+SELECT t.target_id, CAST(max(epoch_us(CAST(r.ran_at AS TIMESTAMP))) + any_value(t.interval_minutes) * 60000000 AS BIGINT) AS next_run_us
+FROM {targets} t JOIN {target_runs} r ON r.target_id = t.target_id GROUP BY t.target_id"""
+
+
+def t11_expired_targets(spark, sf):
+    """Targets after expired fixed windows are switched off; a fixed window begins 1,000 days and its lead after the target's first run."""
+    d = Domain(spark, sf)
+    runs = d["target_runs"]
+    first = runs.groupBy("target_id").agg(F.min("ran_at").cast("date").alias("at"))
+    today = runs.agg(F.max("ran_at").cast("date")).scalar()
+    told = d["targets"].join(first, "target_id", "left")
+    check_in = F.date_add("at", (F.lit(1000) + F.col("lead_days")).cast("int"))
+    return told.select("target_id", "strategy", schedule.still_enabled(F.col("is_enabled"), F.col("strategy"), check_in, today).alias("is_enabled"))
+
+
+T11_SQL = """
+SELECT t.target_id, t.strategy, t.is_enabled AND NOT (t.strategy = 'fixed' AND coalesce(CAST(f.at AS DATE) + CAST(1000 + t.lead_days AS INTEGER) < (SELECT CAST(max(ran_at) AS DATE) FROM {target_runs}), FALSE)) AS is_enabled
+FROM {targets} t LEFT JOIN (SELECT target_id, min(ran_at) AS at FROM {target_runs} GROUP BY target_id) f ON f.target_id = t.target_id"""
+
+
 def n4_digests(spark, sf):
     d = Domain(spark, sf)
     return routing.digests(d["changes"], d["assignments"], d["recipients"])
@@ -303,7 +332,7 @@ SELECT c_custkey, CASE WHEN cents < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN
   || CASE WHEN abs(cents) % 100 > 0 THEN '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') ELSE '' END AS money, '&lt;b&gt;&quot;' || c_name || '&quot; &amp; &#39;co&#39;&lt;/b&gt;' AS escaped
 FROM (SELECT c_custkey, c_name, CAST(round(c_acctbal * 100000) AS BIGINT) AS cents, abs(CAST(round(c_acctbal * 100000) AS BIGINT)) // 100 AS w FROM customer) t"""
 
-QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t9_circuits, t10_stale_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c4_fold_expression, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
+QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t8_next_runs, t9_circuits, t10_stale_targets, t11_expired_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c4_fold_expression, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
 
 
 def _circuit_oracle() -> str:
@@ -313,6 +342,6 @@ def _circuit_oracle() -> str:
 
 ORACLE_SQL = {
     "k4_offer_keys": oracle(KEY_SQL), "k6_dedupe_keys": DEDUPE_SQL, "k9_slugs": SLUG_SQL, "p3_parse_prices": P3_SQL, "p5_text_signals": P5_SQL, "m2_offers_from_json": M2_SQL, "m11_redaction": M11_SQL, "t2_stay_windows": T2_SQL,
-    "t6_due_groups": oracle(schedule.DUE_SQL), "t9_circuits": _circuit_oracle(), "t10_stale_targets": oracle(T10_SQL), "n1_quiet_hours": N1_SQL, "n4_digests": oracle(routing.DIGEST_SQL), "n6_suppression": oracle(routing.SUPPRESSION_SQL), "n8_ops_alerts": oracle(N8_SQL), "n9_hourly_quota": N9_SQL, "n13_money": MONEY_SQL,
+    "t6_due_groups": oracle(schedule.DUE_SQL), "t9_circuits": _circuit_oracle(), "t8_next_runs": oracle(T8_SQL), "t10_stale_targets": oracle(T10_SQL), "t11_expired_targets": oracle(T11_SQL), "n1_quiet_hours": N1_SQL, "n4_digests": oracle(routing.DIGEST_SQL), "n6_suppression": oracle(routing.SUPPRESSION_SQL), "n8_ops_alerts": oracle(N8_SQL), "n9_hourly_quota": N9_SQL, "n13_money": MONEY_SQL,
     "q25_delivery_state": Q25_SQL, "s4_keyed_rates": S4_SQL, "s13_idempotent_append": oracle(S13_SQL), "s16_retention": S16_SQL, "d7_discover_arrays": D7_SQL, "w2_stream_outcomes": oracle(FOLD_SQL), "c4_fold_stream": oracle(FOLD_SQL), "c4_fold_expression": oracle(FOLD_SQL), "c14_disappearances": oracle(presence.SQL), **{n: oracle(s) for n, s in carryover.ORACLES.items()},
 }
