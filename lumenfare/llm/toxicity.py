@@ -4,7 +4,7 @@ Fitting: a bounded sample of labelled rows (`sample_rows`, those of the smallest
 how many of its toxic and clean documents each feature occurs, pre-aggregated in each task; features whose log odds
 differ clearly (at most `most_features`, the clearest) make the vocabulary. A second scan turns each sampled document into its
 vocabulary features, and the same document with its identity terms swapped within their groups into a counterfactual. A
-document that mentions no group is also learnt, under its own label, with a mention of one put behind it (`MENTION`; which
+document in four, by its hash, that mentions no group is also learnt, under its own label, with a mention of one put behind it (`MENTION`; which
 one is a matter of its hash), and with the mention swapped: so every corpus has pairs, both labels mention every group
 alike, and the identity terms' own features are always in the vocabulary. The loss is the log loss plus `fairness` times
 the squared difference between the scores of each pair, so that weight cannot rest on which group a sentence mentions.
@@ -87,11 +87,12 @@ def swapper(groups: tuple[tuple[str, ...], ...] = IDENTITY):
 
 
 def mentioner(groups: tuple[tuple[str, ...], ...] = IDENTITY):
-    """A function that puts a mention of a group, chosen by the doc_id, behind a text."""
+    """A function that puts a mention of a group, chosen by the doc_id, behind one text in four, and gives None for the others."""
     terms = [t for g in groups for t in g]
 
-    def mention(doc_id: int, text: str) -> str:
-        return text + MENTION.format(terms[zlib.crc32(str(doc_id).encode()) % len(terms)])
+    def mention(doc_id: int, text: str) -> str | None:
+        which = zlib.crc32(str(doc_id).encode())
+        return None if which % 4 else text + MENTION.format(terms[which // 4 % len(terms)])
 
     return mention
 
