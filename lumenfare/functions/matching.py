@@ -101,8 +101,12 @@ def new_rooms(resolved: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def unmatched_queue(resolved: DataFrame, sightings: DataFrame, queue: DataFrame) -> DataFrame:
-    """The queue of unresolvable names: counters summed up with this batch's sightings (hotel_id, raw_name, at), rows closed once their name resolves."""
-    names = resolved.select("hotel_id", "raw_name", "normalized", "room_type_id")
+    """The queue of unresolvable names: counters summed up with this batch's sightings (hotel_id, raw_name, at), rows closed once their name resolves.
+
+    A name that normalises to nothing is queued under its own lower-cased text.
+    """
+    held = F.substring(F.when(F.col("normalized") == "", F.lower("raw_name")).otherwise(F.col("normalized")), 1, 300)
+    names = resolved.select("hotel_id", "raw_name", held.alias("normalized"), "room_type_id")
     now = sightings.join(names.where("room_type_id is null"), ["hotel_id", "raw_name"]).groupBy("hotel_id", "normalized").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("z"))
     merged = queue.join(now, ["hotel_id", "normalized"], "full").select("hotel_id", "normalized", (F.coalesce("occurrence_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrence_count"), F.least("first_seen_at", "a").alias("first_seen_at"), F.greatest("last_seen_at", "z").alias("last_seen_at"))
     done = names.where("room_type_id is not null").groupBy("hotel_id", "normalized").agg(F.min("room_type_id").alias("resolved_to"))

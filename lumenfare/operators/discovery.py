@@ -103,6 +103,17 @@ def may_repair(enabled: Column, attempts: Column, last_try: Column, now: Column,
     return F.struct(reason.isNull().alias("allowed"), reason.alias("reason"))
 
 
+def claim_repair(state: Column, now: Column) -> Column:
+    """struct(attempts, last_attempt_at, last_outcome): an attempt is spent as it starts, whatever becomes of it."""
+    return F.struct((F.coalesce(state["attempts"], F.lit(0)) + 1).alias("attempts"), now.alias("last_attempt_at"), F.lit("started").alias("last_outcome"))
+
+
+def settle_repair(state: Column, now: Column, outcome: Column, reset: Column, refund: Column) -> Column:
+    """How a claimed attempt ended: a refund gives it back (never below none), a reset clears the count; a refund goes first."""
+    spent = F.coalesce(state["attempts"], F.lit(0))
+    return F.struct(F.when(refund, F.greatest(spent - 1, F.lit(0))).when(reset, 0).otherwise(spent).alias("attempts"), now.alias("last_attempt_at"), outcome.alias("last_outcome"))
+
+
 #: Parts of a source's configuration that discovery owns.
 OWNED = ("kind", "rooms_path", "field_map", "selectors", "json_fragment", "discovery_note")
 

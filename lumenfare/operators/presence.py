@@ -31,7 +31,11 @@ def first_of_key(obs: DataFrame) -> DataFrame:
 
 def disappearances(obs: DataFrame) -> DataFrame:
     """Synthetic sold-out observations (offer_key, scope, run_at): offers missing from a later run of their scope while open."""
-    seen = with_runs(obs)
+    return vanished(with_runs(obs))
+
+
+def vanished(seen: DataFrame) -> DataFrame:
+    """As disappearances, of observations that bear their fetch as run_at."""
     runs = seen.groupBy(*SCOPE, "run_at").agg(F.max("checked_at").alias("run_end"))
     known = seen.groupBy("offer_key", *SCOPE).agg(F.min("run_at").alias("since"))
     due = known.join(runs, list(SCOPE)).where("run_at > since")

@@ -153,15 +153,15 @@ def t9_circuits(spark, sf):
 
 def t6_due_groups(spark, sf):
     d = Domain(spark, sf)
-    today = d["obs"].agg(F.max("check_in")).first()[0]
-    out = schedule.due_groups(d["targets"], d["hotels"], F.lit(today).cast("date"))
+    today = d["obs"].agg(F.max("check_in")).scalar()
+    out = schedule.due_groups(d["targets"], d["hotels"], today)
     return out.withColumn("check_in", F.col("check_in").cast("string")).withColumn("check_out", F.col("check_out").cast("string"))
 
 
 def t10_stale_targets(spark, sf):
     d = Domain(spark, sf)
-    now = d["target_runs"].agg(F.max("ran_at")).first()[0]
-    return d["targets"].where(F.col("is_enabled") & schedule.is_stale(F.col("last_success_at").cast("timestamp"), F.lit(None).cast("timestamp"), F.col("interval_minutes"), F.lit(now).cast("timestamp"))).select("target_id", "hotel_id")
+    now = d["target_runs"].agg(F.max("ran_at").cast("timestamp")).scalar()
+    return d["targets"].where(F.col("is_enabled") & schedule.is_stale(F.col("last_success_at").cast("timestamp"), F.lit(None).cast("timestamp"), F.col("interval_minutes"), now)).select("target_id", "hotel_id")
 
 
 T10_SQL = """

@@ -17,8 +17,7 @@ SELECT s.offer_key, h.name AS hotel, r.room, CAST(s.check_in AS STRING) AS check
   US(s.last_checked_at) < (SELECT max(US(checked_at)) FROM {obs}) - 10800000000 AS is_stale
 FROM {series} s JOIN {hotels} h ON h.hotel_id = s.hotel_id JOIN {rooms} r ON r.room_type_id = s.room_type_id""",
     "q2_history_raw": """
-SELECT offer_key, US(checked_at) AS checked_at, event_id, price AS price, is_available FROM (
-  SELECT offer_key, checked_at, event_id, CAST(price AS DOUBLE) AS price, is_available, row_number() OVER (PARTITION BY offer_key ORDER BY checked_at, event_id) AS k FROM {obs}) t WHERE k <= 500""",
+SELECT offer_key, US(checked_at) AS checked_at, event_id, CAST(price AS DOUBLE) AS price, is_available FROM {obs}""",
     "q3_history_hourly": """
 SELECT offer_key, US(bucket) AS bucket, avg_price, any_open, n FROM (
   SELECT offer_key, date_trunc('hour', checked_at) AS bucket, round(avg(CAST(price AS DOUBLE)), 6) AS avg_price, bool_or(is_available) AS any_open, count(*) AS n FROM {obs} GROUP BY offer_key, date_trunc('hour', checked_at)) t""",

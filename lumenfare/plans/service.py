@@ -157,17 +157,17 @@ SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'verify you are human' WHEN p
 
 
 def s7_shared_payload(spark, sf):
-    """One payload for each order of all its lineitems, of which the watched parts' are taken."""
+    """One payload for each order of all its lineitems, of which the watched parts' are taken: those of more than size 25."""
     li = derive.load(spark, sf, "lineitem")
     node = F.struct(F.col("l_partkey").cast("string").alias("id"), F.concat(F.lit("Room "), F.col("l_linenumber").cast("string")).alias("name"), F.round("l_extendedprice", 2).cast("decimal(12,2)").alias("total"))
     p = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(node)).alias("resorts"))).alias("payload"))
-    watched = derive.load(spark, sf, "part").where(F.col("p_partkey") % 7 == 0).select(F.col("p_partkey").cast("string").alias("external_id"), F.col("p_partkey").alias("hotel_id"))
+    watched = derive.load(spark, sf, "part").where(F.col("p_size") > 25).select(F.col("p_partkey").cast("string").alias("external_id"), F.col("p_partkey").alias("hotel_id"))
     out = payloads.shared_payload(p, watched, "resorts", "id", {"room_name": "name", "price_inclusive": "total"})
     return out.select("l_orderkey", "hotel_id", "raw_room_name", F.col("price_inclusive").cast("double").alias("price"))
 
 
 S7_SQL = """
-SELECT l_orderkey, l_partkey AS hotel_id, 'Room ' || l_linenumber AS raw_room_name, CASE WHEN l_extendedprice <= 500000 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) END AS price FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 7 = 0"""
+SELECT l_orderkey, l_partkey AS hotel_id, 'Room ' || l_linenumber AS raw_room_name, CASE WHEN l_extendedprice <= 500000 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) END AS price FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 25"""
 
 
 def s11_last_responses(spark, sf):
@@ -297,7 +297,7 @@ N7_SQL = "SELECT recipient_id, hotel_id, dedupe_key, recipient_id % 3 = 0 AS hel
 def q34_replace_url(spark, sf):
     """Hotel 3 became another property at the middle of its history: its offers' fold starts anew there."""
     obs = derive.observations(spark, sf)
-    turn = obs.agg(((F.min(F.unix_micros("checked_at")) + F.max(F.unix_micros("checked_at"))) / 2).cast("long").alias("t")).first()[0]
+    turn = obs.agg(((F.min(F.unix_micros("checked_at")) + F.max(F.unix_micros("checked_at"))) / 2).cast("long")).scalar()
     steps = detector.fold_stream(obs.where((F.col("hotel_id") != 3) | (F.unix_micros("checked_at") >= turn)))
     return steps.join(obs.select("event_id", "hotel_id"), "event_id").groupBy("hotel_id").agg(F.count_if(F.col("outcome") == "first_sight").alias("offers"), F.count("*").alias("steps"))
 
@@ -329,10 +329,7 @@ S14_SQL = "SELECT DISTINCT p_partkey % 10 AS hotel_id, lower(p_brand) AS normali
 
 
 def q2_history_raw(spark, sf, limit=None):
-    """Every offer's observations in order; limit: the first so many of each, a reader's page.
-
-    READS holds the SQL of a page of 500, which is the same wherever no offer has more.
-    """
+    """Every offer's observations in order; limit: the first so many of each, a reader's page."""
     o = Domain(spark, sf)["obs"]
     if limit is not None:
         o = o.withColumn("k", F.row_number().over(Window.partitionBy("offer_key").orderBy("checked_at", "event_id"))).where(F.col("k") <= limit)
