@@ -54,10 +54,9 @@ def completed(offers: DataFrame) -> DataFrame:
     return kept.select(*columns).unionByName(made)
 
 
-def run_counters(offers: DataFrame, t: detector.Thresholds = detector.Thresholds()) -> DataFrame:
-    """What each fetch of judged offers brought: a row for each (hotel_id, run_at)."""
+def run_counters(offers: DataFrame, rows: DataFrame, t: detector.Thresholds = detector.Thresholds()) -> DataFrame:
+    """What each fetch of judged offers brought, rows being these offers completed: a row for each (hotel_id, run_at)."""
     by = ["hotel_id", "run_at"]
-    rows = completed(offers)
     steps = detector.fold_stream(rows, t).select("offer_key", "checked_at", "outcome").join(rows.select(*by, "offer_key", "checked_at", "event_id"), ["offer_key", "checked_at"])
     told = F.col("outcome").isin(*detector.NOTIFIABLE)
     folded = steps.groupBy(*by).agg(F.count_if(F.col("event_id").isNull()).alias("vanished"), F.count_if(F.col("outcome") == "first_sight").alias("first_sights"), F.count_if(F.col("outcome") == "pending").alias("pending"), F.count_if(told).alias("changed"))

@@ -3,9 +3,12 @@ DataFrame plans beside the SQL that they are held against."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import dates, keys, matching, parsing
 from ..operators import detector, discovery, ingest
 from . import derive
@@ -28,10 +31,17 @@ def _rooms(spark, sf):
     return hotels.where("hotel_id not in (4, 7)").select("hotel_id", F.inline(own)), hotels.where("hotel_id = 3").select("hotel_id", F.lit("prem").alias("normalized"), F.lit(2).cast("long").alias("room_type_id"))
 
 
+def _written(df, name):
+    path = f"{session.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def i1_ingest(spark, sf):
-    """Each fetch through the whole chain. Hotel 5 takes offers with breakfast only."""
+    """Each fetch through the whole chain, its judged offers and its observations written once. Hotel 5 takes offers with breakfast only."""
     rooms, aliases = _rooms(spark, sf)
-    return ingest.run_counters(ingest.judged(_offers(spark, sf), aliases, rooms, F.when(F.col("hotel_id") == 5, "BREAK")))
+    offers = _written(ingest.judged(_offers(spark, sf), aliases, rooms, F.when(F.col("hotel_id") == 5, "BREAK")), "offers")
+    return ingest.run_counters(offers, _written(ingest.completed(offers), "observations"))
 
 
 I1_SQL = "WITH RECURSIVE " + derive.OBS_SQL.replace("\nobs AS (", "\nplain AS (") + """,
