@@ -6,6 +6,7 @@ follows the slice (or one long text) and never a partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -48,16 +49,36 @@ def sieve(df: DataFrame, key: Column, wanted: DataFrame, column: str, bits: int
     return tuple(met.where(h).select(*[df[c] for c in df.columns]) for h in (hit, ~hit))
 
 
+def release() -> None:
+    """Give freed memory back to the system: the workers beside an executor's JVM live on from operator to operator."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow on workers that have this package."""
+    """df.mapInArrow on workers that have this package; a task's freed memory goes back at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def arrow_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    """df.groupBy(keys).applyInArrow on workers that have this package."""
+    """df.groupBy(keys).applyInArrow on workers that have this package; freed memory goes back after each group of over 1 MB."""
+
+    def group(rows: pa.Table) -> pa.Table:
+        out, size = run(rows), rows.nbytes
+        del rows
+        if size > 1_000_000:
+            release()
+        return out
+
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    return df.groupBy(*keys).applyInArrow(group, schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -286,14 +286,14 @@ def candidates(rows: DataFrame, percent: int, part: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[1] for r in kept], pa.int64()), pa.array([node] * len(kept), pa.int64()), pa.array([band] * len(kept), pa.int32()), pa.array([r[2] for r in kept], pa.int64()), pa.array([1] * len(kept), pa.int32())], ["doc_id", "node", "band", "head", "parts"])
 
         key, own = None, []
-        for batch in batches:
-            for node, *r in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (node, r[0]):
-                    if len(own) > 1:
-                        yield judge(*key, own)
-                    key, own = (node, r[0]), []
-                if not own or own[-1][1] != r[1]:
-                    own.append(r)
+        # Rows become Python values a few at a time: with their bitmaps and nodes, those of a whole batch weigh many times the batch.
+        for node, *r in (r for b in batches for lo in range(0, len(b), 256) for r in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns))):
+            if key != (node, r[0]):
+                if len(own) > 1:
+                    yield judge(*key, own)
+                key, own = (node, r[0]), []
+            if not own or own[-1][1] != r[1]:
+                own.append(r)
         if len(own) > 1:
             yield judge(*key, own)
 
