@@ -6,8 +6,8 @@ A document is its set of distinct word n-grams; two link when their Jaccard simi
    of crowded cells (passages that many documents share) last.
 2. A second scan gives each text its set's size, a 128-bit key of the set, its prefix and its token bitmap. The prefix is
    the set's first size - ceil(bound * size) + 1 grams in that order: two sets that reach the bound have at least one gram
-   of their prefixes in common, whatever the order is, so that no link is missed. Equal sets form one class, which its
-   smallest doc_id stands for; copies go no further.
+   of their prefixes in common, whatever the order is, so that no link is missed. Equal sets form one class with a number
+   of its own, which one row stands for; copies go no further. Ids of documents play no part until step 5.
 3. Classes that share a prefix gram are a node of sets, named by its smallest class, and fall into size ranges (a factor of
    two; a set near the upper end is also a guest of the next), so that linked sets meet in one range. Over each node's
    range a signature tree is built: a leaf is a set's bitmap, an inner node holds the OR (and AND) of its children's bitmaps
@@ -20,8 +20,8 @@ A document is its set of distinct word n-grams; two link when their Jaccard simi
 
 Defined cases: null or empty texts (and texts of white space) have empty sets and link with nothing, not even each
 other. Texts of fewer words than n have their whole sequence as their one gram. Repeated rows of a doc_id stay repeated
-rows of the result and each row is judged by its own text; a null doc_id takes the component of its class (null when the
-class has no other doc_id). Ties do not matter: similarity is compared in integers. Extra columns are not read. Grams are
+rows of the result and each row is judged by its own text; a null doc_id takes the component of its group (null when no
+row of the group has a doc_id). Ties do not matter: similarity is compared in integers. Extra columns are not read. Grams are
 64-bit hashes.
 """
 
@@ -125,7 +125,7 @@ def set_rows(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 maps = [_bitmap(h[at[i] : at[i + 1]], _bits(b[-1])).tobytes() if b else None for i, b in enumerate(bands)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(size.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(bands, pa.list_(pa.int32())), prefix, pa.array(maps, pa.binary())], ["doc_id", "row_hash", "n_shingles", "key1", "key2", "bands", "prefix", "bitmap"])
 
-    return arrow_map(docs.select("doc_id", F.xxhash64("text"), "text"), run, SETS)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text"), run, SETS)
 
 
 class Tree:
@@ -246,44 +246,50 @@ def tree_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None =
 
 
 def representatives(rows: DataFrame) -> DataFrame:
-    """The rows that stand for their class; rows of copies go. Few rows are shuffled where few are copies."""
+    """One row for each class of equal sets: cls (its name here, a number), its smallest doc_id (null last) with that row's hash, and SETS' other columns.
+
+    Sets that are alone in their class are not shuffled; copies are combined before they are. The names are given once, as
+    the result is written.
+    """
     keys = ["key1", "key2", "n_shingles"]
     some = rows.where("n_shingles > 0")
-    classes = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1"), "classes")
-    touched, others = sieve(some, F.col("key1"), classes, "key1")
-    stands = classes.select(*keys, F.col("doc_id").alias("_stands")).hint("merge")
-    kept = touched.join(stands, keys, "left").where("_stands is null or _stands = doc_id").select(*rows.columns)
-    return kept.union(others).where("doc_id is not null")
+    copied = materialize(some.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("key1"), "classes")
+    touched, others = sieve(some, F.col("key1"), copied, "key1")
+    of_set = ["bands", "prefix", "bitmap"]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("_first")
+    one = touched.groupBy(*keys).agg(least, *(F.first(c).alias(c) for c in of_set))
+    every = one.select("_first.doc_id", "_first.row_hash", *keys, *of_set).union(others.select("doc_id", "row_hash", *keys, *of_set))
+    return materialize(every.withColumn("cls", F.monotonically_increasing_id()), "representatives")
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, band): classes that share a prefix gram with another, by node (its smallest class) and size range."""
-    grams = rows.select("doc_id", F.explode("prefix").alias("gram"))
-    heads = grams.groupBy("gram").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("node < last")
+    """(cls, node, band): classes that share a prefix gram with another, by node (its smallest class) and size range."""
+    grams = rows.select("cls", F.explode("prefix").alias("gram"))
+    heads = grams.groupBy("gram").agg(F.min("cls").alias("node"), F.max("cls").alias("last"), F.count("*").alias("n")).where("node < last")
     heads = materialize(heads, "heads")
     # A gram of two classes names both; only those of more are looked up in the rows.
-    two = heads.where("n = 2").select("node", F.explode(F.array("node", "last")).alias("doc_id"))
+    two = heads.where("n = 2").select("node", F.explode(F.array("node", "last")).alias("cls"))
     more = heads.where("n > 2").select("gram", "node")
     touched, _ = sieve(grams, F.col("gram"), more, "gram")
-    found = two.union(touched.join(more.hint("merge"), "gram").select("node", "doc_id")).distinct()
-    return found.join(rows.select("doc_id", F.explode("bands").alias("band")).distinct().hint("merge"), "doc_id")
+    found = two.union(touched.join(more.hint("merge"), "gram").select("node", "cls")).distinct()
+    return found.join(rows.select("cls", F.explode("bands").alias("band")).distinct().hint("merge"), "cls")
 
 
 def candidates(rows: DataFrame, percent: int, part: int) -> DataFrame:
-    """(doc_id, node, band, head, parts): members that a signature tree leaves, in nodes of one part, and all members of larger nodes."""
+    """(cls, node, band, head, parts): members that a signature tree leaves, in nodes of one part, and all members of larger nodes."""
     member = materialize(members(rows), "members")
-    sizes = materialize(member.groupBy("node", "band").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1"), "nodes")
-    placed = member.join(sizes.hint("merge"), ["node", "band"]).select("doc_id", "node", "band", "head", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    sizes = materialize(member.groupBy("node", "band").agg(F.count("*").alias("n"), F.min("cls").alias("head")).where("n > 1"), "nodes")
+    placed = member.join(sizes.hint("merge"), ["node", "band"]).select("cls", "node", "band", "head", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     placed = materialize(placed, "placed")
-    lists = placed.groupBy("doc_id", "band").agg(F.collect_set("node").alias("nodes"))
-    told = placed.where("parts = 1").join(lists.hint("merge"), ["doc_id", "band"]).join(rows.select("doc_id", "n_shingles", "bitmap").hint("merge"), "doc_id").select("node", "band", "doc_id", "head", "n_shingles", "bitmap", "nodes")
+    lists = placed.groupBy("cls", "band").agg(F.collect_set("node").alias("nodes"))
+    told = placed.where("parts = 1").join(lists.hint("merge"), ["cls", "band"]).join(rows.select("cls", "n_shingles", "bitmap").hint("merge"), "cls").select("node", "band", "cls", "head", "n_shingles", "bitmap", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judge(node: int, band: int, own: list) -> pa.RecordBatch:
             bits = _bits(band)
             stay, _ = left_over([_folded(np.frombuffer(r[4], np.uint64), bits) for r in own], np.array([r[3] for r in own], np.int64), percent, node, [r[5] for r in own])
             kept = [r for r, s in zip(own, stay) if s]
-            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in kept], pa.int64()), pa.array([node] * len(kept), pa.int64()), pa.array([band] * len(kept), pa.int32()), pa.array([r[2] for r in kept], pa.int64()), pa.array([1] * len(kept), pa.int32())], ["doc_id", "node", "band", "head", "parts"])
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in kept], pa.int64()), pa.array([node] * len(kept), pa.int64()), pa.array([band] * len(kept), pa.int32()), pa.array([r[2] for r in kept], pa.int64()), pa.array([1] * len(kept), pa.int32())], ["cls", "node", "band", "head", "parts"])
 
         key, own = None, []
         # Rows become Python values a few at a time: with their bitmaps and nodes, those of a whole batch weigh many times the batch.
@@ -297,17 +303,26 @@ def candidates(rows: DataFrame, percent: int, part: int) -> DataFrame:
         if len(own) > 1:
             yield judge(*key, own)
 
-    walk = told.repartition("node", "band").sortWithinPartitions("node", "band", "doc_id")
-    left = arrow_map(walk, run, "doc_id long, node long, band int, head long, parts int")
+    walk = told.repartition("node", "band").sortWithinPartitions("node", "band", "cls")
+    left = arrow_map(walk, run, "cls long, node long, band int, head long, parts int")
     return materialize(left.union(placed.where("parts > 1")), "candidates")
 
 
-def _sets(placed: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """placed (doc_id, ...) with the doc's set as binary: the texts of the documents that are left travel once."""
-    ids = materialize(placed.select(F.xxhash64("doc_id").alias("h")).distinct(), "ids")
-    touched, _ = sieve(docs.select("doc_id", "text").where("doc_id is not null"), F.xxhash64("doc_id"), ids, "h")
+def _row_name() -> list:
+    """A row's doc_id and text hash as join keys without nulls."""
+    return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("row_hash")]
+
+
+def _sets(placed: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """placed (cls, ...) with the class's set as binary: the texts of the classes that are left travel once, one text for each class."""
+    ids = classes.join(placed.select("cls").distinct().hint("merge"), "cls").select("cls", "doc_id", "row_hash")
+    ids = materialize(ids.select("cls", *_row_name(), F.xxhash64("doc_id", "row_hash").alias("h")), "ids")
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row_hash"))
+    touched, _ = sieve(named, F.xxhash64("doc_id", "row_hash"), ids, "h")
+    once = touched.select(*_row_name(), "text").dropDuplicates(["_id", "_none", "row_hash"])
     # Shuffled at any size: the plan must not hang on whether the members of a small corpus would fit a broadcast.
-    both = placed.hint("merge").join(touched, "doc_id").select(*placed.columns, "text")
+    texts = once.join(ids.hint("merge"), ["_id", "_none", "row_hash"]).select("cls", "text")
+    both = placed.hint("merge").join(texts, "cls").select(*placed.columns, "text")
     names = placed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,12 +337,12 @@ def _sets(placed: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return arrow_map(both, run, f"{kinds}, grams binary")
 
 
-def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
-    """Links (a, b) between class representatives (doc_id) that span the same components as all links do."""
-    placed = candidates(materialize(representatives(rows), "representatives"), percent, part)
+def links(docs: DataFrame, classes: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
+    """Links (a, b) between classes (cls of representatives()) that span the same components as all links do."""
+    placed = candidates(classes, percent, part)
     # A node's first class goes to each of its parts.
-    dealt = placed.withColumn("part", F.explode(F.when(F.col("doc_id") == F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "node"), F.col("parts")).cast("int")))))
-    held = materialize(_sets(dealt, docs, n), "sets")
+    dealt = placed.withColumn("part", F.explode(F.when(F.col("cls") == F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls", "node"), F.col("parts")).cast("int")))))
+    held = materialize(_sets(dealt, classes, docs, n), "sets")
 
     def first(batches: pa.Table) -> pa.Table:
         return _part_links(batches, percent)
@@ -336,18 +351,18 @@ def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part:
     one = materialize(arrow_groups(held, ["node", "band", "part"], first, schema), "links")
     found = one.where("not loose").select("a", "b")
     # Sets of divided nodes that their part doesn't tie to the node's first class, against the node's other parts.
-    loose = one.where("loose").select(F.col("a").alias("doc_id"), "node", "band", "part")
+    loose = one.where("loose").select(F.col("a").alias("cls"), "node", "band", "part")
     if loose.isEmpty():
         return found
-    homes = held.where("parts > 1 and doc_id <> head").select("node", "band", "part", "doc_id", "parts", "grams")
-    probe = homes.join(loose, ["doc_id", "node", "band", "part"])
-    sent = probe.select("node", "band", "doc_id", "grams", F.col("part").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where("part <> share")
+    homes = held.where("parts > 1 and cls <> head").select("node", "band", "part", "cls", "parts", "grams")
+    probe = homes.join(loose, ["cls", "node", "band", "part"])
+    sent = probe.select("node", "band", "cls", "grams", F.col("part").alias("share"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).where("part <> share")
     kept = sent.select("node", "band", "part", "share").distinct()
     cell = ["node", "band", "part", "share"]
-    met = sent.select(*cell, "doc_id", "grams", F.lit(True).alias("probe")).union(homes.join(kept, ["node", "band", "part"]).select(*cell, "doc_id", "grams", F.lit(False)))
+    met = sent.select(*cell, "cls", "grams", F.lit(True).alias("probe")).union(homes.join(kept, ["node", "band", "part"]).select(*cell, "cls", "grams", F.lit(False)))
 
     def second(batches: pa.Table) -> pa.Table:
-        ids = batches.column("doc_id").to_pylist()
+        ids = batches.column("cls").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in batches.column("grams").to_pylist()]
         got = tree_links(sets, percent, np.array(batches.column("probe").to_pylist()))
         return pa.table({"a": pa.array([ids[i] for i, _ in got], pa.int64()), "b": pa.array([ids[j] for _, j in got], pa.int64())})
@@ -356,7 +371,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int = 5, percent: int = 80, part:
 
 
 def _part_links(rows: pa.Table, percent: int) -> pa.Table:
-    ids = rows.column("doc_id").to_pylist()
+    ids = rows.column("cls").to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
     node, band, head, part, parts = (rows.column(c)[0].as_py() for c in ("node", "band", "head", "part", "parts"))
     got = tree_links(sets, percent)
@@ -382,28 +397,31 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, part: int = PART) ->
 
 
 def keyed_groups(docs: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
-    """groups with row_hash (of the text) and the set's 128-bit key (key1, key2; both 0 for an empty set)."""
+    """groups with row_hash (of the text) and the number of the row's group of linked classes (`grp`, null for an empty set)."""
     rows = materialize(set_rows(docs, n, percent), "sets")
-    tied = components(links(docs, rows, n, percent, part))
+    classes = representatives(rows)
+    tied = materialize(components(links(docs, classes, n, percent, part)), "tied")
     keys = ["key1", "key2", "n_shingles"]
+    named = classes.select("cls", *keys, "doc_id")
+    linked = named.join(tied.hint("merge"), F.col("cls") == F.col("node"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    grouped = tied.join(least.hint("merge"), "component")
+    told = named.join(grouped.hint("merge"), F.col("cls") == F.col("node"), "left").select(*keys, F.coalesce("component", "cls").alias("grp"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     bare = rows.select("doc_id", "row_hash", *keys)
-    some = bare.where("n_shingles > 0")
-    classes = some.groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    named = classes.join(tied, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
-    return some.join(named, keys).select("doc_id", "row_hash", *keys, "component_id").union(bare.where("n_shingles = 0").select("doc_id", "row_hash", *keys, F.col("doc_id").alias("component_id")))
+    out = ["doc_id", "row_hash", "n_shingles", "grp", "component_id"]
+    return bare.where("n_shingles > 0").join(told, keys).select(*out).union(bare.where("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.lit(None).cast("long"), F.col("doc_id")))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
     """docs with one row of each group of linked documents: the smallest doc_id's (null last; of its texts the smallest hash's).
 
-    Rows are judged by doc_id and text together: of repeated rows one stays, and rows of a null doc_id stay where no other
-    document of their group does. Rows of empty sets are linked with nothing and all stay.
+    Rows are judged by doc_id and text together: of repeated rows one stays, rows of one doc_id with texts that are near
+    nothing all stay, and a row of a null doc_id stays where no other document of its group does. Rows of empty sets are
+    linked with nothing and all stay.
     """
-    some = keyed_groups(docs, n, percent, part).where("n_shingles > 0").select("doc_id", "row_hash", "component_id", *(F.when(F.col("component_id").isNull(), F.col(c)).alias(c) for c in ("key1", "key2")))
-    some = materialize(some, "grouped")
-    of = ["component_id", "key1", "key2"]
-    first = some.groupBy(*of).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"_{c}") for c in of), "first")
-    met = some.join(first.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of])
+    some = materialize(keyed_groups(docs, n, percent, part).where("n_shingles > 0").select("doc_id", "row_hash", "grp"), "grouped")
+    first = some.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").select("grp", "first")
+    met = some.join(first.hint("merge"), "grp")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash"))
     told = materialize(met.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_row"), stays.alias("_stays")).groupBy("_doc", "_row").agg(F.max("_stays").alias("_stays")), "told")
     touched, others = sieve(docs, F.xxhash64("text"), told, "_row")

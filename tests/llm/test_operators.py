@@ -151,9 +151,10 @@ def test_signature_trees_prune_and_lose_no_link(spark):
     docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
     rows_ = common.materialize(ngram_join.representatives(ngram_join.set_rows(docs)), "t")
     known = {r.doc_id: r for r in rows_.collect()}
+    doc = {r.cls: r.doc_id for r in known.values()}
     nodes = collections.defaultdict(list)
     for r in ngram_join.members(rows_).collect():
-        nodes[r.node, r.band].append(r.doc_id)
+        nodes[doc[r.node], r.band].append(doc[r.cls])
     left, pruned = collections.defaultdict(set), 0
     own = collections.defaultdict(list)
     for (node, band), ids in nodes.items():
@@ -190,6 +191,26 @@ def test_one_row_of_each_group_stays(spark):
     assert kept == sorted([(5, a), (None, b), (9, c), (9, b + " other " + c), (4, None), (4, None), (None, ""), (6, " ")], key=str)
 
 
+@pytest.mark.parametrize("part", [2, 512])
+def test_rows_are_judged_by_their_own_text(spark, part):
+    """Repeated and null ids with texts of their own, against brute force by rows."""
+    a, b, c, d = (fixtures.prose(k, 60) for k in range(4))
+    data = [(1, a), (2, b), (9, a + " end"), (9, b + " end"), (9, c), (9, b + " other " + c), (None, a + " stop"), (None, d), (None, d + " end"), (None, d), (3, c + " x"), (3, c + " x"), (None, None), (9, "")]
+    data += [(20 + k, f"{fixtures.prose(9, 60)} {k}") for k in range(6)] + [(None, f"{fixtures.prose(9, 60)} z")]
+    at = brute_groups(list(range(len(data))), [t for _, t in data])
+    least = collections.defaultdict(list)
+    for k, (_, home) in at.items():
+        if data[k][0] is not None:
+            least[home].append(data[k][0])
+    want = collections.Counter((data[k][0], n, min(least[home], default=None)) for k, (n, home) in at.items())
+    docs = fixtures.frame(spark, [(i, t, "en", "s", 0) for i, t in data])
+    assert collections.Counter(tuple(r) for r in ngram_join.groups(docs, part=part).collect()) == want
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_join.keep_first(docs, part=part).collect())
+    homes = collections.Counter(home for n, home in at.values() if n)
+    assert sum(kept.values()) == len(homes) + sum(not n for n, _ in at.values())
+    assert kept[1, a] and kept[2, b] and kept[3, c + " x"] == 1 and kept[9, b + " other " + c] and not kept[9, c] and sum(kept[None, t] for t in (d, d + " end")) == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 80), (5, 5), (7, None)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
