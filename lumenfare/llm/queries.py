@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, fingerprint, html_extract, line_dedup, ngram_join, quality_crf, toxicity, warc
+from . import bpe, chat, decontam, fingerprint, html_extract, line_dedup, ngram_join, quality_crf, repair, secrets, spelling, toxicity, warc
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_chat_format(spark, sf_dir):
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op11_secrets(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
+    "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
