@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, rows_at_once
 
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 200_000
@@ -252,12 +252,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str = USUAL_PATTERN) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
-            text = batch.column(names.index("text"))
-            for lo in range(0, len(text), 256):
-                ids = own.encode_all([t or "" for t in text.slice(lo, 256).to_pylist()])
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*names, "_ids", "_decoded"])
+        at = names.index("text")
+        for part in (p for batch in batches for p in rows_at_once(batch, at)):
+            ids = own.encode_all([t or "" for t in part.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*names, "_ids", "_decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return arrow_map(docs, run, f"{kinds}, _ids binary, _decoded binary")

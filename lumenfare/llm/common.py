@@ -100,6 +100,12 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def rows_at_once(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `most` bytes of a string column, one row at least."""
+    for lo, hi in slices(utf8(batch.column(column))[1], most):
+        yield batch.slice(lo, hi - lo)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply)."""
     x = x ^ (x >> _U(30))

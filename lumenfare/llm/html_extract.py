@@ -3,14 +3,16 @@
 A page's markup becomes a tree; what is never article text goes first: scripts, styles, forms, navigation, headers,
 footers, sidebars, notices, adverts and reader comments, told by element, role, visibility or class and id. Outside an
 article element a telling word within a class or id is enough. Inside one, a whole token has to say it (`social-share`,
-not `social-history`), and paragraphs and headings are only judged by tokens that cannot name a subject.
+not `social-history`), and paragraphs and headings are only judged by tokens that cannot name a subject. A token that says
+how something is (`has-sidebar`, `menu-open`) tells nothing. A form or an element told by its class or id that holds more
+than half of the page's paragraph points stays, unless it holds reader comments: it is a wrapper of the article.
 
 Paragraphs then pass points (one, one for each comma, one for each hundred characters up to three) to their ancestors: all
 of them to the parent, and half of what an element got to the next. An element's score is discounted by its link density
 and the best container wins. Where it stands in an article element, that element is the author's own word for it: it
 overrides the score and is taken whole. Else the container is taken together with its siblings: text, paragraphs,
-headings, quotes, lists and tables, sections that are not mostly links, and containers that score enough beside it; lists
-that are mostly links (menus) go.
+headings, quotes, lists and tables, sections that are not mostly links, containers that score enough beside it, and those that stand
+between kept ones or are paragraphs that end as sentences do; lists that are mostly links (menus) go.
 
 One scan without a shuffle; a page is one small tree, built and scored in time linear in its length, whatever its depth.
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, rows_at_once
 
 _VALUE = r"\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>))"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>|([^<]+)", re.S)
@@ -62,19 +64,25 @@ NEUTRAL = frozenset("box block container wrapper wrap inner outer list item item
 #: Words that may well name a subject: on their own they tell only of plain containers.
 SUBJECT = frozenset("comment comments alert notice notices tags search login reply replies respond header banner footer promotion social sharing related cookie cookies consent menu subscription disclaimer sponsor sponsors recommendation recommendations".split())
 PLAIN = frozenset("div ul ol li aside form header footer".split())
+#: Words that say how an element is, not what.
+MODIFIERS = frozenset("has no with without open opened closed enabled disabled hidden visible fixed sticky active is on off".split())
+#: Words of reader comments and of teasers for other pages: they tell of article elements, too.
+READERS = frozenset("comment comments reply replies respond disqus".split())
+TEASERS = frozenset("related recommended recommendation recommendations sponsored promo".split())
 PARAGRAPH = frozenset("p pre td blockquote".split())
 #: Elements that are text of their own beside the best container.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption hr br img".split())
 LISTED = frozenset("ul ol dl table section main div".split())
-KEEPS = frozenset(("html", "body", "article", "main"))
+KEEPS = frozenset(("html", "body", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "near", "children", "score", "dropped", "length", "linked", "commas", "article")
+    __slots__ = ("tag", "parent", "near", "children", "score", "dropped", "spared", "length", "linked", "commas", "article")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
-        self.dropped = self.article = False
+        # spared: dropped by a rule that does not hold for a wrapper of the article.
+        self.dropped = self.spared = self.article = False
         self.length = self.linked = self.commas = 0
         # The closest element from here upwards that a search for an element to end has to look at.
         self.near = self if parent is None or tag in SEARCHED else parent.near
@@ -87,7 +95,13 @@ def _telling(value: str, tag: str, inside: bool) -> bool:
     """Whether a class or id tells that the element isn't article text."""
     for token in value.split():
         words = {w.lower() for w in _WORD.findall(token)}
+        if words & MODIFIERS:
+            continue
         hit = words & TELLTALE
+        if tag == "article":
+            if words <= TELLTALE | NEUTRAL and hit & (READERS | TEASERS):
+                return True
+            continue
         if "side" in words and "bar" in words:
             return True
         if not hit:
@@ -99,22 +113,25 @@ def _telling(value: str, tag: str, inside: bool) -> bool:
     return False
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not inside:
-        return True
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element isn't article text, and whether that would not hold for a wrapper of the article."""
+    if tag == "form":
+        return True, True
+    if tag in DROPPED or tag == "header" and not inside:
+        return True, False
     if not attributes or tag in KEEPS:
-        return False
+        return False, False
+    told = readers = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and _telling(value, tag, inside):
-            return True
-    return False
+            told = True
+            readers = readers or any({w.lower() for w in _WORD.findall(token)} & READERS for token in value.split())
+    return told, not readers
 
 
 def parse(page: str) -> Node:
@@ -161,7 +178,7 @@ def parse(page: str) -> Node:
                     node = back_to(up)
             new = Node(tag, node)
             new.article = node.article or tag in ("article", "main")
-            new.dropped = _unwanted(tag, m[3], node.article)
+            new.dropped, new.spared = _unwanted(tag, m[3], node.article)
             node.children.append(new)
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -183,6 +200,25 @@ def _ordered(root: Node) -> list[tuple[Node, bool]]:
     return out
 
 
+def spare_wrappers(root: Node) -> None:
+    """Elements dropped by class, id or as forms stay where they hold more than half of all paragraph points (of what may be text at all)."""
+    stack, order = [root], []
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if not isinstance(c, str) and (not c.dropped or c.spared)]
+    if not any(n.dropped for n in order):
+        return
+    points: dict[int, float] = {}
+    for n in reversed(order):
+        size = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        inner = sum(points.get(id(c), 0.0) for c in n.children if not isinstance(c, str))
+        points[id(n)] = inner + (1 + size / 100 if n.tag in PARAGRAPH and size >= 20 else 0.0)
+    for n in order:
+        if n.dropped and 2 * points[id(n)] > points[id(root)]:
+            n.dropped = False
+
+
 def _is_paragraph(n: Node) -> bool:
     return n.tag in PARAGRAPH or n.tag in ("div", "section", "article", "li") and not any(not isinstance(c, str) and c.tag not in INLINE and c.tag != "br" for c in n.children)
 
@@ -236,6 +272,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    spare_wrappers(root)
     elements = score(root)
     best = max((n for n in elements if n.score), key=lambda n: n.score * (1 - _density(n)), default=None)
     if best is None or best.parent is None:
@@ -250,11 +287,14 @@ def main_text(page: str | None) -> str:
     if best.parent is None:
         return _raw(best, True)
     least = 0.2 * best.score * (1 - _density(best))
-    kept, line = [], []
+    # Blocks in page order, and whether each stays for itself; a container between two that stay, stays, too.
+    blocks: list[tuple[str, bool]] = []
+    line: list = []
 
     def end() -> None:
         """Text and inline elements side by side are one block."""
-        kept.append(_decoded(line, lambda n: False))
+        if own := _decoded(line, lambda n: False):
+            blocks.append((own, True))
         line.clear()
 
     for s in best.parent.children:
@@ -265,10 +305,18 @@ def main_text(page: str | None) -> str:
             continue
         end()
         few = _density(s) <= 0.5
-        if s is best or s.tag in TEXTUAL or s.tag in ("ul", "ol", "dl", "table", "section") and few or s.score and s.score * (1 - _density(s)) >= least:
-            kept.append(_raw(s, True))
+        stays = s is best or s.tag in TEXTUAL or s.tag in ("ul", "ol", "dl", "table", "section") and few or s.score and s.score * (1 - _density(s)) >= least
+        if (stays or few and s.tag in ("div", "main", "article")) and (own := _raw(s, True)):
+            blocks.append((own, bool(stays or _is_prose(s) and own[-1] in ".!?")))
     end()
-    return " ".join(k for k in kept if k)
+    at = [k for k, (_, stays) in enumerate(blocks) if stays]
+    return " ".join(own for own, _ in blocks[at[0] : at[-1] + 1]) if at else ""
+
+
+def _is_prose(n: Node) -> bool:
+    """Whether an element has paragraphs and no other elements."""
+    own = [c for c in n.children if not isinstance(c, str) and not c.dropped]
+    return bool(own) and all(c.tag == "p" for c in own)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -277,10 +325,8 @@ def extract(pages: DataFrame) -> DataFrame:
     at = names.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([main_text(h) for h in part.column(at).to_pylist()], pa.string())], [*names, "text"])
+        for part in (p for batch in batches for p in rows_at_once(batch, at)):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([main_text(h) for h in part.column(at).to_pylist()], pa.string())], [*names, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
     return arrow_map(pages, run, f"{kinds}, text string")

@@ -59,6 +59,13 @@ def _store(path: str) -> str:
     return "warc_payloads_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
 
 
+def one_line(url: Column) -> Column:
+    """A URL with its control characters percent-encoded, as a header line can hold it."""
+    control = "[\\x00-\\x1F\\x7F]"
+    coded = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)), "")
+    return F.when(url.rlike(control), coded).otherwise(url)
+
+
 def write(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2020-01-01T00:00:00Z", share_rows: int = 100_000) -> None:
     """Archive pages (page_id, url, html) under path, as payloads and headers."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -72,7 +79,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2020-
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", record_id(F.col("page_id"), F.col("number"))), line("WARC-Date", F.lit(date)),
-        F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        F.coalesce(line("WARC-Target-URI", one_line(F.col("url"))), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", record_id(F.col("keeper"), F.col("keeper_number"))))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))).cast("string")), F.lit(CRLF),
     )

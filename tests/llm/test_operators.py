@@ -560,6 +560,16 @@ def test_warc_notices_damage(spark, tmp_path):
 # HTML
 
 
+def test_warc_urls_with_line_breaks(spark):
+    odd = ["http://x/a\r\nContent-Length: 5", "http://x/\tä\x00b\x7f", "\r\n\r\nWARC/1.1", "", None, "http://x/%0D plain"]
+    pages = spark.createDataFrame([(k, u, "x" * 1500 if k % 2 else "y") for k, u in enumerate(odd)], "page_id long, url string, html string")
+    path = f"{common.shared_dir(spark)}/warc-odd"
+    warc.write(pages, path)
+    got = {r.page_id: (r.target_uri, r.payload_bytes) for r in warc.read(spark, path).collect()}
+    coded = ["http://x/a%0D%0AContent-Length: 5", "http://x/%09ä%00b%7F", "%0D%0A%0D%0AWARC/1.1", None, None, "http://x/%0D plain"]
+    assert got == {k: (u, 1500 if k % 2 else 1) for k, u in enumerate(coded)}
+
+
 def test_html_extraction_on_whole_pages(spark):
     import html
 
@@ -613,6 +623,31 @@ def test_html_extraction_keeps_siblings_by_what_they_are():
         assert html_extract.main_text(f"<body><div>{beside}<div>{best}</div></div></body>") == text + " ".join(f"{LONG}, {k}." for k in range(6))
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div class="site no-sidebar header-fixed"', 'div id="menu-open"', 'div class="cookie-consent-enabled"', "form", 'div class="sidebar-layout"', 'form id="search"'])
+def test_html_extraction_keeps_wrapped_articles(wrapper):
+    tag = wrapper.split()[0]
+    for inner in (f"<article><p>{LONG}</p></article>", f"<div><p>{LONG}</p><p>{LONG}</p></div>"):
+        page = f'<body><nav>Home</nav><{wrapper}>{inner}</{tag}><div class="related"><p>Read this as well, it is another page.</p></div></body>'
+        assert html_extract.main_text(page) == " ".join([LONG] * inner.count("<p>"))
+
+
+def test_html_extraction_leaves_comments_and_fields_out():
+    many = "".join(f'<article class="comment"><p>Reader {k} says {LONG}</p></article>' for k in range(5))
+    for own in (many, f'<section class="comments">{many}</section>', f'<div id="comments">{many.replace("article", "div")}</div>'):
+        assert html_extract.main_text(f"<body><div><p>{LONG}</p><p>Second.</p></div>{own}</body>") == f"{LONG} Second."
+    form = "<form><label>Name</label><p>Sign up to our weekly letter here.</p><input></form>"
+    assert html_extract.main_text(f"<body><div><p>{LONG}</p>{form}<p>{LONG}</p></div></body>") == f"{LONG} {LONG}"
+    assert html_extract.main_text(f'<body><article class="post comments-open"><p>{LONG}</p></article></body>') == LONG
+
+
+def test_html_extraction_keeps_short_siblings():
+    best = "".join(f"<p>{LONG}, {k}.</p>" for k in range(6))
+    text = " ".join(f"{LONG}, {k}." for k in range(6))
+    assert html_extract.main_text(f"<body><div><div>{best}</div><div><p>Short.</p></div></div></body>") == f"{text} Short."
+    assert html_extract.main_text(f"<body><div><div><p>Short.</p></div><div>{best}</div><div><span>Copyright 2020</span></div></div></body>") == f"Short. {text}"
+    assert html_extract.main_text(f"<body><div><div>{best}</div><div><span>Middle part</span></div><p>End.</p></div></body>") == f"{text} Middle part End."
+
+
 def test_html_extraction_is_linear():
     took = {}
     for n in (20_000, 80_000):
