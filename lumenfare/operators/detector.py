@@ -5,6 +5,10 @@ is what everything else uses: a key may have any number of observations. `fold`
 inside the JVM; it collects a key's rows, so it is for keys of bounded length. `streaming.detector` keeps the step as
 keyed state.
 
+Thresholds are one set for all, or each observation's own: with `own_thresholds` its columns min_abs, min_pct and confirm
+override the set where they are not null. `as_of` gives observations the settings of their target that held at their time,
+so that floors vary by key and by time in either form.
+
 Order within a key is (checked_at, event_id). Exact replays (same key and time) are dropped before the fold, so that a
 replay changes nothing. Null prices of available offers neither confirm nor change anything.
 """
@@ -40,9 +44,35 @@ def percent(new: Column, old: Column) -> Column:
     return F.when(old == 0, F.when(new == 0, F.lit(0)).otherwise(F.lit(100)).cast("decimal(7,2)")).otherwise(F.round((new - old) / F.nullif(old, F.lit(0).cast("decimal(12,2)")) * 100, 2).try_cast("decimal(7,2)"))
 
 
-def significant(new: Column, old: Column, t: Thresholds) -> Column:
+OWN = ("min_abs", "min_pct", "confirm")
+
+
+def as_of(obs: DataFrame, settings: DataFrame, target: str, time: str = "checked_at") -> DataFrame:
+    """obs with OWN, the settings (target, since, *OWN) of their target that held at their time; null before the first and without any.
+
+    A target's settings are a short history: each row meets those of its own target only, and of two that begin at one
+    time the larger counts.
+    """
+    one = settings.groupBy(target, "since").agg(F.max(F.struct(*OWN)).alias("_own"))
+    line = Window.partitionBy(target).orderBy("since")
+    spans = one.select(F.col(target).alias("_target"), F.col("since").alias("_since"), F.lead("since").over(line).alias("_until"), "_own")
+    holds = (F.col(target) == F.col("_target")) & (F.col(time) >= F.col("_since")) & (F.col("_until").isNull() | (F.col(time) < F.col("_until")))
+    return obs.join(spans, holds, "left").select(*(obs[c] for c in obs.columns), *(F.col(f"_own.{c}").alias(c) for c in OWN))
+
+
+def _floors(obs: DataFrame, t: Thresholds, own: bool) -> list[Column]:
+    """OWN as columns of the set's types."""
+    mine = lambda c, d, kind: F.coalesce(F.col(c).cast(kind), F.lit(str(d)).cast(kind)).alias(c) if own else F.lit(str(d)).cast(kind).alias(c)
+    return [mine("min_abs", t.min_abs, "decimal(12,2)"), mine("min_pct", t.min_pct, "decimal(7,2)"), mine("confirm", t.confirm, "int")]
+
+
+def _reaches(new: Column, old: Column, min_abs: Column, min_pct: Column) -> Column:
     share = F.when(old == 0, F.when(new == 0, F.lit(0.0)).otherwise(F.lit(100.0))).otherwise(F.abs((new - old).cast("double") / F.nullif(old, F.lit(0).cast("decimal(12,2)")).cast("double") * 100))
-    return (F.abs(new - old) >= F.lit(str(t.min_abs)).cast("decimal(12,2)")) & (F.round(share, 2) >= float(t.min_pct))
+    return (F.abs(new - old) >= min_abs) & (F.round(share, 2) >= min_pct.cast("double"))
+
+
+def significant(new: Column, old: Column, t: Thresholds) -> Column:
+    return _reaches(new, old, F.lit(str(t.min_abs)).cast("decimal(12,2)"), F.lit(str(t.min_pct)).cast("decimal(7,2)"))
 
 
 _STATE = "seen boolean, last decimal(12,2), avail boolean, pend decimal(12,2), n int, since timestamp, current decimal(12,2)"
@@ -50,13 +80,13 @@ _STEP = "event_id bigint, checked_at timestamp, outcome string, old_price decima
 _EMPTY = "named_struct('seen', false, 'last', cast(null as decimal(12,2)), 'avail', cast(null as boolean), 'pend', cast(null as decimal(12,2)), 'n', 0, 'since', cast(null as timestamp), 'current', cast(null as decimal(12,2)))"
 
 
-def _merge(t: Thresholds):
+def _merge():
     def outcome(s: Column, o: Column) -> Column:
         count = F.when(s["pend"] == o["price"], s["n"] + 1).otherwise(1)
         return (
             F.when(~s["seen"], "first_sight").when(s["avail"] & ~o["avail"], "became_unavailable").when(~s["avail"] & o["avail"], "became_available")
             .when(~o["avail"] | o["price"].isNull() | s["last"].isNull() | (o["price"] == s["last"]), "unchanged")
-            .when(~significant(o["price"], s["last"], t), "insignificant").when(count < t.confirm, "pending").otherwise("changed")
+            .when(~_reaches(o["price"], s["last"], o["min_abs"], o["min_pct"]), "insignificant").when(count < o["confirm"], "pending").otherwise("changed")
         )
 
     def after(s: Column, o: Column, oc: Column) -> Column:
@@ -91,20 +121,21 @@ def _merge(t: Thresholds):
     return merge
 
 
-def without_replays(obs: DataFrame) -> DataFrame:
-    """One observation for each key and time, the one of the smallest event_id."""
-    return obs.groupBy("offer_key", "checked_at").agg(F.min(F.struct("event_id", "price", "is_available")).alias("x")).select("offer_key", "checked_at", "x.*")
+def without_replays(obs: DataFrame, *more: Column) -> DataFrame:
+    """One observation for each key and time, the one of the smallest event_id, with the columns `more` of it."""
+    return obs.groupBy("offer_key", "checked_at").agg(F.min(F.struct("event_id", "price", "is_available", *more)).alias("x")).select("offer_key", "checked_at", "x.*")
 
 
-def fold(obs: DataFrame, t: Thresholds = Thresholds(), price: str = "price") -> DataFrame:
+def fold(obs: DataFrame, t: Thresholds = Thresholds(), price: str = "price", own_thresholds: bool = False) -> DataFrame:
     """(offer_key, event_id, checked_at, outcome, old_price, new_price, delta, delta_pct, first_seen_at, and the state after): a row for each observation.
 
     obs needs offer_key, checked_at, event_id, price and is_available; no rows give none.
     """
-    rows = without_replays(obs.withColumn("price", F.col(price)))
-    row = F.struct(F.col("checked_at").alias("at"), "event_id", F.col("price").cast("decimal(12,2)").alias("price"), F.coalesce("is_available", F.lit(False)).alias("avail"))
+    floors = _floors(obs, t, own_thresholds)
+    rows = without_replays(obs.withColumn("price", F.col(price)), *(floors if own_thresholds else ()))
+    row = F.struct(F.col("checked_at").alias("at"), "event_id", F.col("price").cast("decimal(12,2)").alias("price"), F.coalesce("is_available", F.lit(False)).alias("avail"), *(OWN if own_thresholds else floors))
     zero = F.expr(f"named_struct('state', {_EMPTY}, 'out', cast(array() as array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _split(_STEP))}>>))")
-    steps = rows.groupBy("offer_key").agg(F.aggregate(F.array_sort(F.collect_list(row)), zero, _merge(t), lambda acc: acc["out"]).alias("steps"))
+    steps = rows.groupBy("offer_key").agg(F.aggregate(F.array_sort(F.collect_list(row)), zero, _merge(), lambda acc: acc["out"]).alias("steps"))
     out = steps.select("offer_key", F.inline("steps"))
     return with_deltas(out)
 
@@ -177,12 +208,13 @@ def step(s: State | None, price: Decimal | None, avail: bool, at: object, t: Thr
     return "changed", replace(s, **calm | {"last": price})
 
 
-def fold_stream(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def fold_stream(obs: DataFrame, t: Thresholds = Thresholds(), own_thresholds: bool = False) -> DataFrame:
     """As fold, for keys of any length: partitions sorted by key and time, one key's state held at a time."""
-    rows = without_replays(obs).select("offer_key", "checked_at", "event_id", F.col("price").cast("decimal(12,2)").alias("price"), F.coalesce("is_available", F.lit(False)).alias("is_available"))
+    own = OWN if own_thresholds else ()
+    rows = without_replays(obs, *(_floors(obs, t, True) if own else ())).select("offer_key", "checked_at", "event_id", F.col("price").cast("decimal(12,2)").alias("price"), F.coalesce("is_available", F.lit(False)).alias("is_available"), *own)
 
-    def walk(before: State | None, at: object, event: int, price: Decimal | None, avail: bool) -> tuple[State, tuple]:
-        outcome, after = step(before, price, avail, at, t)
+    def walk(before: State | None, at: object, event: int, price: Decimal | None, avail: bool, *floors) -> tuple[State, tuple]:
+        outcome, after = step(before, price, avail, at, Thresholds(*floors) if floors else t)
         since = (before.since or at) if before and outcome in NOTIFIABLE else at
         return after, (event, at, outcome, before.last if before else None, price, since, after.last, after.current, avail, after.n)
 
