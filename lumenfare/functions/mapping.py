@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from functools import reduce
+from operator import or_
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
@@ -73,29 +76,53 @@ def render_template(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-# Names under which booking pages take their dates and guests, and engines by part of their host.
+# Query names (lower case, without - and _) of dates and guests, and those that pack guests as adults-children.
 QUERY_NAMES = {
-    "check_in": ("checkin", "check_in", "arrival", "arrive", "from", "startdate", "start_date"), "check_out": ("checkout", "check_out", "departure", "depart", "to", "enddate", "end_date"),
-    "adults": ("adults", "adult", "noofadults"), "children": ("children", "child", "noofchildren", "kids"), "rooms": ("rooms", "room", "noofrooms"),
+    "check_in": ("checkin", "check_in", "checkindate", "arrival", "arrivaldate", "startdate", "fromdate", "from"),
+    "check_out": ("checkout", "check_out", "checkoutdate", "departure", "departuredate", "enddate", "todate", "to"),
+    "adults": ("adults", "adult", "noofadults", "noofadult", "noofguests", "guests", "numadults", "pax"),
+    "children": ("children", "child", "noofkids", "kids", "noofchildren", "numchildren"),
+    "rooms": ("rooms", "room", "noofrooms", "numrooms"),
 }
+PACKED_GUESTS = ("roomconfig", "roomconfigs", "occupancy", "paxconfig")
 _PLACE = {alias: name for name, aliases in QUERY_NAMES.items() for alias in aliases}
 
 
-def parameterised(url: str | None) -> str | None:
-    """A booking URL with its dates and guests as placeholders: by query name, then up to two ISO dates in the path."""
+def templated(url: str | None) -> tuple[str | None, dict[str, str]]:
+    """A booking URL with its dates and guests as placeholders, and what was replaced by what.
+
+    Up to two ISO dates in the path; in the query, values of known names (empty ones stay) and packed guests.
+    """
     if not url:
-        return url
-    parts = urlsplit(url)
-    query = [(k, "{" + _PLACE[k.lower()] + "}" if k.lower() in _PLACE else v) for k, v in parse_qsl(parts.query, keep_blank_values=True)]
-    names = iter(("{check_in}", "{check_out}"))
+        return url, {}
+    parts, told = urlsplit(url), {}
+    names, found = iter(("{check_in}", "{check_out}")), re.findall(r"\d{4}-\d{2}-\d{2}", parts.path)[:2]
     path = re.sub(r"\d{4}-\d{2}-\d{2}", lambda m: next(names, m.group()), parts.path)
-    return urlunsplit((parts.scheme, parts.netloc, path, urlencode(query, safe="{}"), parts.fragment))
+    for k, (date, place) in enumerate(zip(found, ("{check_in}", "{check_out}")), 1):
+        told["path date" if len(found) == 1 else f"path date {k}"] = f"{date} -> {place}"
+    query = []
+    for name, value in parse_qsl(parts.query, keep_blank_values=True):
+        bare = name.lower().replace("-", "").replace("_", "")
+        place = "{" + _PLACE[bare] + "}" if bare in _PLACE else "{adults}-{children}" if bare in PACKED_GUESTS and re.match(r"\d+-\d+$", value) else None
+        if place and value:
+            told[name] = f"{value} -> {place}"
+        query.append((name, place if place and value else value))
+    return urlunsplit((parts.scheme, parts.netloc, path, urlencode(query, safe="{}"), parts.fragment)), told
+
+
+def parameterised(url: str | None) -> str | None:
+    return templated(url)[0]
 
 
 def parameterise_url(url: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series([parameterised(u) for u in s], dtype="object"), "string")(url)
 
 
+def substitutions(url: Column) -> Column:
+    """What parameterise_url replaces: a map of name to `old -> placeholder`."""
+    return F.pandas_udf(lambda s: pd.Series([templated(u)[1] for u in s], dtype="object"), "map<string,string>")(url)
+
+
 def is_complete(template: Column) -> Column:
     return F.contains(template, F.lit("{check_in}"))
 
@@ -113,16 +140,53 @@ def scrub(text: Column) -> Column:
     return F.regexp_replace(out, r"[A-Za-z0-9_\-]{40,}", "[redacted]")
 
 
-# Booking engines by a part of their host, first match wins, and where each keeps a property's id.
-ENGINES = (("djubo", "djubo.com", r"property[_-]?id=(\w+)"), ("staah", "staah.net", r"/(\d+)(?:/|$)"), ("resavenue", "resavenue.com", r"regCode=(\w+)"), ("axisrooms", "axisrooms.com", r"searchHotel(\d+)"), ("example", "example.com", r"/(\d+)"))
+# Key names that hold secrets, and what masked values and values nested too deep become.
+SENSITIVE_KEY = re.compile(r"(password|passwd|pwd|secret|token|authorization|auth|cookie|session|api[_-]?key|access[_-]?key|private[_-]?key|credential|kek|dek|otp|pin)", re.I)
+REDACTED, TRUNCATED, MAX_DEPTH = "***REDACTED***", "***TRUNCATED***", 12
+_BEARER = re.compile(r"(Bearer\s+)[A-Za-z0-9._\-]{12,}", re.I)
+_LONG_RUN = re.compile(r"\b[A-Za-z0-9_\-]{40,}\b")
+
+
+def masked(value: object, depth: int = 0) -> object:
+    """A tree with the whole value of every telling key masked, at any depth, and secrets in its texts; what lies deeper than MAX_DEPTH is cut."""
+    if depth > MAX_DEPTH:
+        return TRUNCATED
+    if isinstance(value, dict):
+        return {k: REDACTED if SENSITIVE_KEY.search(k) else masked(v, depth + 1) for k, v in value.items()}
+    if isinstance(value, list):
+        return [masked(v, depth + 1) for v in value]
+    return _LONG_RUN.sub(REDACTED, _BEARER.sub(rf"\1{REDACTED}", value)) if isinstance(value, str) else value
+
+
+def _masked_json(text: str | None) -> str | None:
+    if text is None:
+        return None
+    try:
+        return json.dumps(masked(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return masked(text)
+
+
+def scrub_json(payload: Column) -> Column:
+    """A JSON text with its secrets masked at any depth; text that is no JSON is masked as one text, null stays null."""
+    return F.pandas_udf(lambda s: pd.Series([_masked_json(x) for x in s], dtype="object"), "string")(payload)
+
+
+# Booking engines by parts of their host, first match wins, and where each keeps a property's id.
+ENGINES = (
+    ("aiosell", ("aiosell.com",), r"/book/([A-Za-z0-9_-]+)"),
+    ("gotoyelagiri", ("gotoyelagiri.com",), r"resort[_/=-]?(\d+)"),
+    ("ezee-letsbook", ("letsbook.me", "ipms247.com"), r"hotelCode=(\d+)"),
+    ("treebo", ("treebo.com",), r"-(\d+)/?(?:[?#]|$)"),
+)
 
 
-def detect_engine(url: Column, engines: tuple[tuple[str, str, str], ...] = ENGINES) -> Column:
+def detect_engine(url: Column, engines: tuple[tuple[str, tuple[str, ...], str], ...] = ENGINES) -> Column:
     """struct(engine, external_id): the first engine whose mark the host contains; null fields where none does."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     name, external = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for engine, mark, pattern in reversed(engines):
-        hit = F.coalesce(F.contains(host, F.lit(mark)), F.lit(False))
+    for engine, marks, pattern in reversed(engines):
+        hit = F.coalesce(reduce(or_, (F.contains(host, F.lit(m)) for m in marks)), F.lit(False))
         name = F.when(hit, engine).otherwise(name)
         external = F.when(hit, F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))).otherwise(external)
     return F.struct(name.alias("engine"), external.alias("external_id"))

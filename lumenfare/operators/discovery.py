@@ -4,20 +4,33 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-# Hints in a path's last part that it holds a name or a price, best first.
-NAME_HINTS = ("room_name", "roomname", "display_name", "title", "name")
-PRICE_HINTS = ("total_price", "totalprice", "total", "sell_price", "price", "rate", "amount")
-MAX_DEPTH, SAMPLE = 6, 3
+# What a path's last part holds (first hit is best), what is never the price, words of room names, currency marks.
+NAME_HINTS = ("roomname", "room_name", "displayname", "display_name", "roomtype", "room_type", "title", "name", "label", "roomtitle", "category")
+PRICE_HINTS = ("sellrate", "sellprice", "netprice", "finalprice", "discountedprice", "price", "rate", "totalrate", "amount", "total", "nightlyrate", "perNight")
+PRICE_BLOCKLIST = (
+    "originalprice", "original_rate", "rackrate", "strikeprice", "oldprice", "mrp", "tax", "taxes", "gst", "deposit", "discountamount", "saving", "extraadult", "extrachild", "childprice", "id", "roomid", "hotelcode", "pincode", "phone", "rating", "reviews", "distance",
+)
+AVAILABLE_HINTS = ("isavailable", "available", "isactive", "instock", "bookable")
+COUNT_HINTS = ("availablerooms", "available_rooms", "roomsleft", "rooms_left", "allocation", "inventory", "totalcount", "quantity", "stock")
+DATED_SEGMENT = r"(^|\.)\d{4}-\d{2}-\d{2}(\.|$)|(^|\.)\d{8}(\.|$)"
+NAME_LIKE = r"^[A-Za-z][\w\s\-/&'(),.+]{2,79}$"
+ROOM_WORDS = r"(?i)\b(room|suite|deluxe|standard|superior|premium|executive|cottage|villa|studio|tent|dorm|family|double|twin|triple|single|apartment|bed|queen|king|balcony|view|ac|non\s*ac)\b"
+MARKED_PRICE = r"(?:₹|Rs\.?|INR|\$|€|£)[^0-9]{0,3}([0-9][0-9,]{2,}(?:\.[0-9]{1,2})?)"
+LEAST_PRICE, MOST_PRICE = 100, 500000
+#: Depth of arrays and of an object's leaves; elements looked into; objects and values sampled.
+MAX_DEPTH, LEAF_DEPTH, SAMPLE, OBJECTS, VALUES = 6, 3, 3, 12, 8
 
 
 @udtf(returnType="path string, n_rows int, rows array<string>")
 class ArraysOfObjects:
-    """Every list of objects in a payload, with its dotted path and its first objects."""
+    """Every list that begins with an object in a payload, with its dotted path and its first objects."""
 
     def eval(self, payload: str) -> Iterator:
         try:
@@ -30,71 +43,115 @@ class ArraysOfObjects:
             if depth > MAX_DEPTH:
                 continue
             if isinstance(node, list):
-                objects = [x for x in node if isinstance(x, dict)]
-                if objects:
-                    yield path, len(objects), [json.dumps(x, sort_keys=True) for x in objects]
+                if node and isinstance(node[0], dict):
+                    yield path, len(node), [json.dumps(x) for x in node[:OBJECTS] if isinstance(x, dict)]
                 stack += [(f"{path}.{i}" if path else str(i), x, depth + 1) for i, x in reversed(list(enumerate(node[:SAMPLE])))]
             elif isinstance(node, dict):
                 stack += [(f"{path}.{k}" if path else k, v, depth + 1) for k, v in reversed(list(node.items()))]
 
 
-@udtf(returnType="leaf string, value string")
+@udtf(returnType="leaf string, value string, is_text boolean")
 class Flattened:
-    """An object's leaves by dotted path, three levels deep, lists by their first element."""
+    """An object's leaves by dotted path, objects within objects up to LEAF_DEPTH, lists of objects by their first; true and false have no value."""
 
     def eval(self, node: str) -> Iterator:
-        stack = [("", json.loads(node or "null"), 0)]
+        stack = [("", json.loads(node), 0)]
         while stack:
             path, x, depth = stack.pop()
-            if isinstance(x, list):
-                x = {"0": x[0]} if x else {}
-            if isinstance(x, dict):
-                if depth < MAX_DEPTH:
-                    stack += [(f"{path}.{k}" if path else k, v, depth + 1) for k, v in x.items()]
-            elif x is not None:
-                yield path, str(x)
+            if depth > LEAF_DEPTH:
+                continue
+            for k, v in x.items():
+                leaf = f"{path}.{k}" if path else k
+                if isinstance(v, dict):
+                    stack.append((leaf, v, depth + 1))
+                elif isinstance(v, list) and v and isinstance(v[0], dict):
+                    stack.append((f"{leaf}.0", v[0], depth + 1))
+                else:
+                    yield leaf, None if v is None or isinstance(v, (bool, list)) else str(v), isinstance(v, str)
+
+
+def _last(path: Column, marks: str) -> Column:
+    return F.regexp_replace(F.lower(F.element_at(F.split(path, r"\."), -1)), marks, "")
 
 
 def hint_rank(path: Column, hints: tuple[str, ...]) -> Column:
-    """Place of the first hint that the path's last part contains, or null."""
-    leaf = F.lower(F.element_at(F.split(path, r"\."), -1))
-    out = F.lit(None).cast("int")
+    """Place of the first hint that the path's last part contains (neither has - or _), or null."""
+    leaf, out = _last(path, "[_-]"), F.lit(None).cast("int")
     for k, h in reversed(list(enumerate(hints))):
-        out = F.when(F.contains(leaf, F.lit(h)), k).otherwise(out)
+        out = F.when(F.contains(leaf, F.lit(h.replace("_", ""))), k).otherwise(out)
     return out
 
 
+def blocked(path: Column) -> Column:
+    """Whether a field is never the price, whatever it holds."""
+    return reduce(or_, (F.contains(_last(path, "_"), F.lit(b.replace("_", ""))) for b in PRICE_BLOCKLIST))
+
+
+def price_digits(number: Column) -> Column:
+    """A price's digits as two spellings of it share them: no separators, no zeros at the end of a fraction."""
+    bare = F.regexp_replace(number, "[,\\s]", "")
+    return F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.?0*$", "")).otherwise(bare)
+
+
+def page_numbers(pages: DataFrame) -> DataFrame:
+    """(page_id, number, marked): the index of each page's numbers, whole and without fraction; marked where a currency stands beside it."""
+    every = lambda pattern, group: F.regexp_extract_all("page_text", F.lit(pattern), F.lit(group))
+    plain = pages.select("page_id", F.explode(every(r"[0-9][0-9,]*(?:\.[0-9]+)?", 0)).alias("n"), F.lit(False).alias("marked"))
+    both = plain.union(pages.select("page_id", F.explode(every(MARKED_PRICE, 1)).alias("n"), F.lit(True)))
+    forms = F.inline(F.array(F.struct(price_digits(F.col("n")).alias("number"), F.col("marked").alias("marked")), F.struct(F.substring_index(F.regexp_replace("n", ",", ""), ".", 1).alias("number"), F.lit(False).alias("marked"))))
+    return both.select("page_id", forms).groupBy("page_id", "number").agg(F.bool_or("marked").alias("marked"))
+
+
 def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
-    """(page_id, path, name_field, price_field, n_rows, n_names, n_matched, score, verified, place): best arrays of each page.
+    """(page_id, path, name_field, price_field, available_field, left_field, n_rows, n_names, n_matched, n_marked, score, verified, strong, place): best arrays of each page.
 
-    payloads: page_id, payload, page_text. A name field is text that looks like a name; a price field a number in the
-    plausible range. Prices found in the page's text corroborate a candidate; half of them verify it.
+    payloads: page_id, payload, page_text (a page's payloads share one). Fields are told by the first twelve objects: a name
+    is text like a room's name, mostly there and mostly distinct; a price a plausible number in half of them, under a
+    hinting name that is not blocked; paths through a date hold for one day only and never count. Up to eight sampled prices
+    are looked up in the page's index of numbers (whole numbers, never parts of longer ones): half of them verify a
+    candidate, and one with a currency beside it does so strongly. Page texts are read once each.
     """
     p = payloads.where("payload is not null")
-    arrays = p.lateralJoin(ArraysOfObjects(F.col("payload").outer())).select("page_id", "page_text", "path", "n_rows", F.posexplode("rows").alias("k", "node"))
-    leaves = arrays.lateralJoin(Flattened(F.col("node").outer())).select("page_id", "page_text", "path", "n_rows", "k", "leaf", "value")
-    number = F.col("value").try_cast("decimal(38,10)")
-    leaves = leaves.select("*", hint_rank(F.col("leaf"), NAME_HINTS).alias("name_rank"), hint_rank(F.col("leaf"), PRICE_HINTS).alias("price_rank"), number.between(100, 500000).alias("priced"), (F.col("value").rlike(r"(?i)[a-z].*[a-z]") & number.isNull()).alias("named"))
-    digits = F.regexp_replace(F.regexp_replace("value", r"\.0+$", ""), "[^0-9.]", "")
-    fields = leaves.groupBy("page_id", "path", "n_rows", "leaf").agg(
-        F.min("name_rank").alias("name_rank"), F.min("price_rank").alias("price_rank"), F.count_if("named").alias("named"), F.count_if("priced").alias("priced"), F.count_distinct("value").alias("distinct"),
-        F.count_if(F.col("priced") & F.contains(F.regexp_replace("page_text", ",", ""), digits)).alias("matched"),
+    arrays = p.select("page_id", "payload").lateralJoin(ArraysOfObjects(F.col("payload").outer())).select("page_id", "path", "n_rows", F.size("rows").alias("sampled"), F.posexplode("rows").alias("k", "node"))
+    leaves = arrays.lateralJoin(Flattened(F.col("node").outer())).select("page_id", "path", "n_rows", "sampled", "k", "leaf", "value", "is_text")
+    number = F.regexp_replace("value", "[,₹]", "").try_cast("decimal(38,10)")
+    bare = F.trim("value")
+    text = F.col("is_text") & (bare != "")
+    priced = number.between(LEAST_PRICE, MOST_PRICE)
+    fields = leaves.groupBy("page_id", "path", "n_rows", "sampled", "leaf").agg(
+        F.count_if(text).alias("present"), F.bool_and(F.when(F.col("value").isNotNull(), F.col("is_text") & F.regexp_replace(bare, r"\s+", " ").rlike(NAME_LIKE))).alias("named"), F.count_distinct(F.when(text, F.lower(bare))).alias("distinct"),
+        F.count_if(text & F.col("value").rlike(ROOM_WORDS)).alias("roomy"), F.count_if(priced).alias("priced"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.when(priced, F.struct("k", number.alias("price"))))), 1, VALUES), lambda x: x["price"]).alias("prices"), F.count_distinct(F.when(text, bare)).alias("names"),
     )
-    names = fields.where("name_rank is not null and named = n_rows").groupBy("page_id", "path").agg(F.min(F.struct("name_rank", "leaf", "distinct")).alias("name"))
-    prices = fields.where("price_rank is not null and priced > 0").groupBy("page_id", "path", "n_rows").agg(F.min(F.struct("price_rank", "leaf", "priced", "matched")).alias("price"))
-    both = names.join(prices, ["page_id", "path"])
-    verified = (F.col("price.matched") * 2 >= F.col("price.priced")) & (F.col("name.distinct") == F.col("n_rows"))
-    score = 40 - 4 * F.col("name.name_rank") - 3 * F.col("price.price_rank") + 10 * F.least(F.col("n_rows"), F.lit(5)) / 5 + F.when(verified, 25).otherwise(0)
-    out = both.select("page_id", "path", F.col("name.leaf").alias("name_field"), F.col("price.leaf").alias("price_field"), "n_rows", F.col("name.distinct").alias("n_names"), F.col("price.matched").alias("n_matched"), score.alias("score"), verified.alias("verified"))
+    dated, half = F.col("leaf").rlike(DATED_SEGMENT), F.greatest(F.lit(1), F.expr("sampled div 2"))
+    is_name = ~dated & F.coalesce("named", F.lit(False)) & (F.col("present") >= half) & ((F.col("present") <= 2) | (F.col("distinct") >= F.greatest(F.lit(2), F.expr("present div 2"))))
+    is_price = ~dated & ~blocked(F.col("leaf")) & hint_rank(F.col("leaf"), PRICE_HINTS).isNotNull() & (F.col("priced") >= half)
+    rank = lambda hints: hint_rank(F.col("leaf"), hints).alias("rank")
+    hinted = lambda hints: F.min(F.when(~dated & rank(hints).isNotNull(), F.struct(rank(hints), "leaf")))["leaf"]
+    best = fields.groupBy("page_id", "path", "n_rows").agg(
+        F.min(F.when(is_name, F.struct((-F.col("roomy")).alias("less"), F.coalesce(rank(NAME_HINTS), F.lit(50)).alias("rank"), "leaf", "names"))).alias("name"), F.min(F.when(is_price, F.struct(rank(PRICE_HINTS), "leaf", "prices"))).alias("price"),
+        hinted(AVAILABLE_HINTS).alias("available_field"), hinted(COUNT_HINTS).alias("left_field"),
+    ).where("name is not null and price is not null")
+    sampled = best.select("page_id", "path", F.posexplode("price.prices").alias("k", "amount"))
+    exact = price_digits(F.col("amount").cast("string"))
+    forms = sampled.select("page_id", "path", "k", F.explode(F.array_distinct(F.array(exact, F.floor("amount").cast("string")))).alias("number"))
+    met = forms.join(page_numbers(p.groupBy("page_id").agg(F.max("page_text").alias("page_text"))), ["page_id", "number"])
+    hits = met.groupBy("page_id", "path", "k").agg(F.bool_or("marked").alias("marked")).groupBy("page_id", "path").agg(F.count("*").alias("n_matched"), F.count_if("marked").alias("n_marked"))
+    both = best.join(hits, ["page_id", "path"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)).cast("long")).withColumn("n_marked", F.coalesce("n_marked", F.lit(0)).cast("long"))
+    verified = F.col("n_matched") * 2 >= F.size("price.prices")
+    more = F.col("available_field").isNotNull() | F.col("left_field").isNotNull()
+    score = -3.0 * F.col("name.less") + (10 - F.least("price.rank", F.lit(10))) + F.least("n_rows", F.lit(12)) * 0.4 + F.when(more, 4.0).otherwise(0.0) + F.when(verified, 25.0).otherwise(0.0)
+    out = both.select("page_id", "path", F.col("name.leaf").alias("name_field"), F.col("price.leaf").alias("price_field"), "available_field", "left_field", "n_rows", F.col("name.names").alias("n_names"), "n_matched", "n_marked", F.round(score, 2).alias("score"), verified.alias("verified"), (verified & (F.col("n_marked") > 0)).alias("strong"))
     turn = Window.partitionBy("page_id").orderBy(F.desc("score"), "path")
     return out.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= keep)
 
 
-def unlearnable(text: Column, n_candidates: Column) -> Column:
-    """Why a page taught nothing: first rule wins; null where it did."""
+def unlearnable(text: Column) -> Column:
+    """Why a page can teach nothing, first rule wins: no text, no price with a currency, sold out; null where it can."""
     from ..functions import parsing
 
-    return F.when(n_candidates > 0, None).when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, "no_text").when(parsing.looks_sold_out(text), "sold_out").when(~text.rlike(r"(₹|Rs\.?|INR|\$|€|£)\s?\d"), "no_marked_price").otherwise("no_structure")
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(flat == "", "no_text").when(~flat.rlike(MARKED_PRICE), "no_marked_price").when(parsing.looks_sold_out(flat), "sold_out")
 
 
 def may_repair(enabled: Column, attempts: Column, last_try: Column, now: Column, most: int = 3, cool_hours: int = 24) -> Column:

@@ -4,14 +4,15 @@ DataFrame plans beside the SQL that they are held against."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import dates, keys, matching, parsing
-from ..operators import detector, discovery, ingest
-from . import derive
+from ..operators import detector, discovery, ingest, schedule
+from . import derive, ops
 from .domain import Domain, oracle
 from .reads import READS
 
@@ -194,23 +195,47 @@ FROM (SELECT *, floor((US(changed_at) + 19800000000) / 86400000000) AS day FROM
 WHERE c.day BETWEEN n.day - 3 AND n.day - 1 ORDER BY c.changed_at DESC, c.change_id DESC LIMIT 300"""
 
 
+def _live(d):
+    """Live targets with whether they are stale and whether their circuit is not closed."""
+    now = d["target_runs"].agg(F.max("ran_at")).scalar()
+    states = schedule.circuits(d["target_runs"]).select("target_id", "state")
+    return d["targets"].where("is_enabled").join(states, "target_id", "left").select("target_id", "strategy", (F.col("last_success_at") < now - F.expr("interval 90 days")).alias("stale"), (F.col("state") != "closed").alias("paused"))
+
+
 def q28_attention_page(spark, sf):
-    """What wants a person: stale and paused targets, the newest hundred errors, and the errors' classes."""
+    """What wants a person: stale and paused targets, the hundred names that were met last without a room, the newest hundred errors, and the errors' classes."""
     d = Domain(spark, sf)
-    now = d["target_runs"].agg(F.max("ran_at")).scalar()
-    t = d["targets"]
-    part = lambda df, kind, id_, note: df.select(F.lit(kind).alias("section"), id_.cast("string").alias("item"), note.alias("note"))
-    stale = t.where(F.col("is_enabled") & (F.col("last_success_at") < now - F.expr("interval 90 days")))
+    t = _live(d)
+    part = lambda df, kind, id_, note: df.select(F.lit(kind).alias("section"), id_.cast("string").alias("item"), note.cast("string").alias("note"))
+    names = r8_unmatched_queue(spark, sf).where("resolved_to is null").orderBy(F.desc("last_seen_at"), "hotel_id", "normalized").limit(100)
     errors = d["errors"].orderBy(F.desc("occurred_at"), F.desc("error_id")).limit(100)
     classes = d["errors"].groupBy("error_class").agg(F.count("*").alias("n"))
-    return part(stale, "stale", F.col("target_id"), F.col("strategy")).unionByName(part(t.where("not is_enabled"), "paused", F.col("target_id"), F.col("strategy"))).unionByName(part(errors, "error", F.col("error_id"), F.col("error_class"))).unionByName(part(classes, "class", F.col("error_class"), F.col("n").cast("string")))
+    sections = [part(t.where(kind), kind, F.col("target_id"), F.col("strategy")) for kind in ("stale", "paused")] + [part(names, "unmatched", F.concat("hotel_id", F.lit("/"), "normalized"), F.col("occurrence_count")), part(errors, "error", F.col("error_id"), F.col("error_class")), part(classes, "class", F.col("error_class"), F.col("n"))]
+    return reduce(lambda x, y: x.unionByName(y), sections)
 
 
-Q28_SQL = """
-SELECT 'stale' AS section, CAST(target_id AS STRING) AS item, strategy AS note FROM {targets} WHERE is_enabled AND last_success_at < (SELECT max(ran_at) FROM {target_runs}) - INTERVAL 90 DAYS
-UNION ALL SELECT 'paused', CAST(target_id AS STRING), strategy FROM {targets} WHERE NOT is_enabled
-UNION ALL SELECT 'error', CAST(error_id AS STRING), error_class FROM (SELECT * FROM {errors} ORDER BY occurred_at DESC, error_id DESC LIMIT 100) e
-UNION ALL SELECT 'class', error_class, CAST(count(*) AS STRING) FROM {errors} GROUP BY error_class"""
+def q29_attention_badge(spark, sf):
+    """How much of it there is: errors, names without a room, stale and paused targets, and all together."""
+    d = Domain(spark, sf)
+    t = _live(d).agg(F.count_if("stale").alias("stale"), F.count_if("paused").alias("paused"))
+    many = lambda df: df.agg(F.count("*")).scalar()
+    out = t.select(many(d["errors"]).alias("errors"), many(r8_unmatched_queue(spark, sf).where("resolved_to is null")).alias("unmatched"), "stale", "paused")
+    return out.withColumn("total", F.col("errors") + F.col("unmatched") + F.col("stale") + F.col("paused"))
+
+
+_STALE = oracle("SELECT target_id, strategy FROM {targets} WHERE is_enabled AND last_success_at < (SELECT max(ran_at) FROM {target_runs}) - INTERVAL 90 DAYS")
+_PAUSED = f"SELECT t.target_id, t.strategy FROM ({oracle('SELECT * FROM {targets}')}) t JOIN ({ops.ORACLE_SQL['t9_circuits']}) c ON c.target_id = t.target_id WHERE t.is_enabled AND c.state <> 'closed'"
+_ERRORS = oracle("SELECT * FROM {errors}")
+_UNMATCHED = f"SELECT * FROM ({R8_SQL}) q WHERE resolved_to IS NULL"
+Q28_SQL = f"""
+SELECT 'stale' AS section, CAST(target_id AS VARCHAR) AS item, strategy AS note FROM ({_STALE}) s
+UNION ALL SELECT 'paused', CAST(target_id AS VARCHAR), strategy FROM ({_PAUSED}) p
+UNION ALL SELECT 'unmatched', hotel_id || '/' || normalized, CAST(occurrence_count AS VARCHAR) FROM (SELECT * FROM ({_UNMATCHED}) u ORDER BY last_seen_at DESC, hotel_id, normalized LIMIT 100) n
+UNION ALL SELECT 'error', CAST(error_id AS VARCHAR), error_class FROM (SELECT * FROM ({_ERRORS}) e ORDER BY occurred_at DESC, error_id DESC LIMIT 100) e
+UNION ALL SELECT 'class', error_class, CAST(count(*) AS VARCHAR) FROM ({_ERRORS}) c GROUP BY error_class"""
+Q29_SQL = f"""
+SELECT errors, unmatched, stale, paused, errors + unmatched + stale + paused AS total FROM (
+  SELECT (SELECT count(*) FROM ({_ERRORS}) a) AS errors, (SELECT count(*) FROM ({_UNMATCHED}) b) AS unmatched, (SELECT count(*) FROM ({_STALE}) c) AS stale, (SELECT count(*) FROM ({_PAUSED}) d) AS paused) t"""
 
 
 def _series(spark, sf):
@@ -258,7 +283,7 @@ def q18_tonight(spark, sf):
 
 _ALL = {
     i1_ingest: I1_SQL, r6_seeded_rooms: oracle(R6_SQL), r8_unmatched_queue: R8_SQL, d13_repair_state: D13_SQL, t4_default_windows: T4_SQL, c7_rebased_fold: C7_SQL, p4_floor_prices: P4_SQL,
-    q23_tonight_prices: oracle(Q23_SQL), q24_changes_page: oracle(Q24_SQL), q28_attention_page: oracle(Q28_SQL), **{f: oracle(READS[f.__name__]) for f in (confirmed_changes, q1_current_prices, q5_price_matrix, q18_tonight)},
+    q23_tonight_prices: oracle(Q23_SQL), q24_changes_page: oracle(Q24_SQL), q28_attention_page: Q28_SQL, q29_attention_badge: Q29_SQL, **{f: oracle(READS[f.__name__]) for f in (confirmed_changes, q1_current_prices, q5_price_matrix, q18_tonight)},
 }
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in _ALL.items()}

@@ -100,6 +100,18 @@ M11_SQL = """
 SELECT c_custkey, c_name || ' Authorization: [redacted] [redacted] api_key=[redacted], ' || CASE WHEN c_custkey % 2 = 0 THEN '[redacted]' ELSE repeat('ab1_', 9) END || '.' AS note FROM customer"""
 
 
+def m11_nested_redaction(spark, sf):
+    """Customers' payloads with secrets under telling keys, deep in lists, and in texts."""
+    k = F.col("c_custkey").cast("string")
+    payload = F.concat(F.lit('{"name":"'), "c_name", F.lit('","auth":{"user":"u'), k, F.lit('","more":[1,{"x":2}]},"rooms":[{"note":"é Bearer abcdefghijkl'), k, F.lit('","Access-Key":5,"price":'), k, F.lit('},[{"PIN":null,"run":"'), F.repeat(F.lit("ab_-"), F.when(F.col("c_custkey") % 2 == 0, 11).otherwise(9)), F.lit('"}]]}'))
+    return derive.load(spark, sf, "customer").select("c_custkey", mapping.scrub_json(F.when(F.col("c_custkey") % 7 > 0, payload).when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("no json, bearer  abcdefghijklmno"), k))).alias("payload"))
+
+
+M11N_SQL = """
+SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN '{"name":"' || c_name || '","auth":"***REDACTED***","rooms":[{"note":"é Bearer ***REDACTED***","Access-Key":"***REDACTED***","price":' || c_custkey || '},[{"PIN":"***REDACTED***","run":"' || CASE WHEN c_custkey % 2 = 0 THEN '***REDACTED***-' ELSE repeat('ab_-', 9) END || '"}]]}'
+  WHEN c_custkey % 2 = 0 THEN 'no json, bearer  ***REDACTED***' END AS payload FROM customer"""
+
+
 def t2_stay_windows(spark, sf):
     o = derive.load(spark, sf, "orders")
     day, today = F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date")
@@ -129,7 +141,7 @@ FROM (SELECT o_orderkey, moment, (moment + 19800) % 86400 AS s FROM (SELECT o_or
 
 def n13_money(spark, sf):
     c = derive.load(spark, sf, "customer")
-    return c.select("c_custkey", render.money(F.col("c_acctbal") * 1000, F.lit("INR")).alias("money"), render.escape(F.concat(F.lit("<b>\""), "c_name", F.lit("\" & 'co'</b>"))).alias("escaped"))
+    return c.select("c_custkey", render.money(F.col("c_acctbal") * 1000, F.lit("INR")).alias("money"), render.money(F.col("c_acctbal") * 1000, F.when(F.col("c_custkey") % 2 == 0, "usd").otherwise("CHF")).alias("other"), render.percent(F.col("c_acctbal") / 100).alias("share"), render.escape(F.concat(F.lit("<b>\""), "c_name", F.lit("\" & 'co'</b>"))).alias("escaped"))
 
 
 def c11_carry_over(spark, sf):
@@ -296,14 +308,20 @@ def s20_probe_pages(spark, sf):
 
 
 def d7_discover_arrays(spark, sf):
-    """Payloads built of orders and their lineitems: the arrays that hold offers."""
-    li = derive.load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("Room "), F.col("l_partkey").cast("string")).alias("room_name"), F.round(F.col("l_extendedprice") + 100, 2).alias("price")))).alias("rooms"))
-    p = li.select(F.col("l_orderkey").alias("page_id"), F.to_json(F.struct(F.struct("rooms", F.array(F.struct(F.lit("Visa").alias("name"))).alias("cards")).alias("data"))).alias("payload"), F.array_join(F.transform("rooms", lambda r: r["price"].cast("string")), " ").alias("page_text"))
-    return discovery.candidates(p).select("page_id", "path", "name_field", "price_field", F.col("n_rows").cast("long").alias("n_rows"), "n_names", F.col("place").cast("long").alias("place"))
+    """Payloads built of orders and their lineitems, with blocked prices, prices under a date and lists that hold no offers; pages print prices with a currency, without, or not at all."""
+    price = F.round(F.col("l_extendedprice") + 100, 2)
+    room = F.struct("l_linenumber", F.concat(F.lit("Room "), F.col("l_partkey").cast("string")).alias("room_name"), (price + 500).alias("originalPrice"), F.when(F.col("l_orderkey") % 5 > 0, price).alias("price"), F.struct(F.struct(price.alias("price")).alias("2024-01-05")).alias("rates"))
+    li = derive.load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", room.alias("r"), price.cast("string").alias("text")))).alias("rooms"))
+    k = F.col("l_orderkey") % 3
+    text = F.when(k < 2, F.concat_ws(" ", F.transform("rooms", lambda r: F.concat(F.when(k == 0, "₹ ").otherwise(""), r["text"])))).otherwise("Room Size 134 m2")
+    p = li.select(F.col("l_orderkey").alias("page_id"), F.to_json(F.struct(F.struct(F.transform("rooms", lambda r: r["r"]).alias("rooms"), F.array(F.struct(F.lit("Visa").alias("name"))).alias("cards")).alias("data"))).alias("payload"), text.alias("page_text"))
+    return discovery.candidates(p).select("page_id", "path", "name_field", "price_field", F.col("n_rows").cast("long").alias("n_rows"), "n_names", "n_matched", "n_marked", "score", "verified", "strong", F.col("place").cast("long").alias("place"))
 
 
 D7_SQL = """
-SELECT l_orderkey AS page_id, 'data.rooms' AS path, 'room_name' AS name_field, 'price' AS price_field, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_names, 1::BIGINT AS place FROM lineitem GROUP BY l_orderkey"""
+SELECT l_orderkey AS page_id, 'data.rooms' AS path, 'room_name' AS name_field, 'price' AS price_field, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_names, CASE WHEN l_orderkey % 3 < 2 THEN least(count(*), 8) ELSE 0 END AS n_matched, CASE WHEN l_orderkey % 3 = 0 THEN least(count(*), 8) ELSE 0 END AS n_marked,
+  CAST(round(least(count(*), 12) * 3.4 + 5 + CASE WHEN l_orderkey % 3 < 2 THEN 25 ELSE 0 END, 2) AS DOUBLE) AS score, l_orderkey % 3 < 2 AS verified, l_orderkey % 3 = 0 AS strong, 1::BIGINT AS place
+FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY l_orderkey HAVING count(*) <= 2 OR count(DISTINCT l_partkey) >= greatest(2, count(*) // 2)"""
 
 
 def w2_stream_outcomes(spark, sf):
@@ -329,10 +347,13 @@ DEDUPE_SQL = "SELECT o_custkey, sha256('v1|' || o_custkey || '|email|' || string
 MONEY_SQL = """
 SELECT c_custkey, CASE WHEN cents < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN w >= 10000000 THEN CAST(w // 10000000 AS VARCHAR) || ',' || lpad(CAST(w // 100000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(w // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0')
     WHEN w >= 100000 THEN CAST(w // 100000 AS VARCHAR) || ',' || lpad(CAST(w // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') WHEN w >= 1000 THEN CAST(w // 1000 AS VARCHAR) || ',' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') ELSE CAST(w AS VARCHAR) END
-  || CASE WHEN abs(cents) % 100 > 0 THEN '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') ELSE '' END AS money, '&lt;b&gt;&quot;' || c_name || '&quot; &amp; &#39;co&#39;&lt;/b&gt;' AS escaped
-FROM (SELECT c_custkey, c_name, CAST(round(c_acctbal * 100000) AS BIGINT) AS cents, abs(CAST(round(c_acctbal * 100000) AS BIGINT)) // 100 AS w FROM customer) t"""
+  || CASE WHEN abs(cents) % 100 > 0 THEN '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') ELSE '' END AS money,
+  CASE WHEN cents < 0 THEN '-' ELSE '' END || CASE WHEN c_custkey % 2 = 0 THEN '$' ELSE 'CHF ' END || CASE WHEN w >= 1000000 THEN CAST(w // 1000000 AS VARCHAR) || ',' || lpad(CAST(w // 1000 % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') WHEN w >= 1000 THEN CAST(w // 1000 AS VARCHAR) || ',' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') ELSE CAST(w AS VARCHAR) END
+  || CASE WHEN abs(cents) % 100 > 0 THEN '.' || lpad(CAST(abs(cents) % 100 AS VARCHAR), 2, '0') ELSE '' END AS other,
+  CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) || '%' AS share, '&lt;b&gt;&quot;' || c_name || '&quot; &amp; ''co''&lt;/b&gt;' AS escaped
+FROM (SELECT *, i // 1000 + CASE WHEN i % 1000 > 500 OR i % 1000 = 500 AND i // 1000 % 2 = 1 THEN 1 ELSE 0 END AS t FROM (SELECT c_custkey, c_name, CAST(round(c_acctbal * 100000) AS BIGINT) AS cents, abs(CAST(round(c_acctbal * 100000) AS BIGINT)) // 100 AS w, abs(CAST(round(c_acctbal * 100) AS BIGINT)) AS i FROM customer) u) t"""
 
-QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, t2_stay_windows, t6_due_groups, t8_next_runs, t9_circuits, t10_stale_targets, t11_expired_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c4_fold_expression, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
+QUERIES = {f.__name__: f for f in (k4_offer_keys, k6_dedupe_keys, k9_slugs, p3_parse_prices, p5_text_signals, m2_offers_from_json, m11_redaction, m11_nested_redaction, t2_stay_windows, t6_due_groups, t8_next_runs, t9_circuits, t10_stale_targets, t11_expired_targets, n1_quiet_hours, n4_digests, n6_suppression, n8_ops_alerts, n9_hourly_quota, n13_money, q25_delivery_state, c4_fold_stream, c4_fold_expression, c11_carry_over, c13_carry_over_backfill, c14_disappearances, r3_room_resolution, s4_keyed_rates, s13_idempotent_append, s16_retention, s20_probe_pages, d7_discover_arrays, w2_stream_outcomes, w8_token_bucket)}
 
 
 def _circuit_oracle() -> str:
@@ -341,7 +362,7 @@ def _circuit_oracle() -> str:
 
 
 ORACLE_SQL = {
-    "k4_offer_keys": oracle(KEY_SQL), "k6_dedupe_keys": DEDUPE_SQL, "k9_slugs": SLUG_SQL, "p3_parse_prices": P3_SQL, "p5_text_signals": P5_SQL, "m2_offers_from_json": M2_SQL, "m11_redaction": M11_SQL, "t2_stay_windows": T2_SQL,
+    "k4_offer_keys": oracle(KEY_SQL), "k6_dedupe_keys": DEDUPE_SQL, "k9_slugs": SLUG_SQL, "p3_parse_prices": P3_SQL, "p5_text_signals": P5_SQL, "m2_offers_from_json": M2_SQL, "m11_redaction": M11_SQL, "m11_nested_redaction": M11N_SQL, "t2_stay_windows": T2_SQL,
     "t6_due_groups": oracle(schedule.DUE_SQL), "t9_circuits": _circuit_oracle(), "t8_next_runs": oracle(T8_SQL), "t10_stale_targets": oracle(T10_SQL), "t11_expired_targets": oracle(T11_SQL), "n1_quiet_hours": N1_SQL, "n4_digests": oracle(routing.DIGEST_SQL), "n6_suppression": oracle(routing.SUPPRESSION_SQL), "n8_ops_alerts": oracle(N8_SQL), "n9_hourly_quota": N9_SQL, "n13_money": MONEY_SQL,
     "q25_delivery_state": Q25_SQL, "s4_keyed_rates": S4_SQL, "s13_idempotent_append": oracle(S13_SQL), "s16_retention": S16_SQL, "d7_discover_arrays": D7_SQL, "w2_stream_outcomes": oracle(FOLD_SQL), "c4_fold_stream": oracle(FOLD_SQL), "c4_fold_expression": oracle(FOLD_SQL), "c14_disappearances": oracle(presence.SQL), **{n: oracle(s) for n, s in carryover.ORACLES.items()},
 }

@@ -80,10 +80,6 @@ SELECT change_id, hotel_id, direction, delta, (SELECT greatest(0, count(*) - 50)
 FROM {changes} WHERE change_id > (SELECT max(event_id) FROM {obs}) / 2 ORDER BY change_id DESC LIMIT 50""",
     "q28_attention": """
 SELECT error_class, count(*) AS n, count(DISTINCT hotel_id) AS n_hotels, max(US(occurred_at)) AS newest FROM {errors} GROUP BY error_class""",
-    "q29_attention_badge": """
-SELECT stale, paused, errors, stale + paused + errors AS total FROM (
-  SELECT (SELECT count(*) FROM {targets} WHERE is_enabled AND last_success_at < (SELECT max(ran_at) FROM {target_runs}) - INTERVAL 90 DAYS) AS stale,
-    (SELECT count(*) FROM {targets} WHERE NOT is_enabled) AS paused, (SELECT count(*) FROM {errors} WHERE error_class = 'schema_drift') AS errors) t""",
     "q31_age_text": """
 SELECT offer_key, CASE WHEN m < 1 THEN 'just now' WHEN m < 2 THEN '1 minute ago' WHEN m < 60 THEN CAST(m AS STRING) || ' minutes ago' WHEN m < 120 THEN '1 hour ago' WHEN m < 1440 THEN CAST(CAST(floor(m / 60) AS BIGINT) AS STRING) || ' hours ago'
   WHEN m < 2880 THEN '1 day ago' ELSE CAST(CAST(floor(m / 1440) AS BIGINT) AS STRING) || ' days ago' END AS age

@@ -21,32 +21,34 @@ def _day(c):
 
 
 def m7_url_templates(spark, sf):
-    """Booking URLs of orders made templates, and the templates filled in again."""
+    """Booking URLs of orders made templates, what was replaced, and the templates filled in again."""
     o = derive.load(spark, sf, "orders").withColumn("d", _day("o_orderdate"))
-    url = F.when(F.col("o_orderkey") % 2 == 0, _text("https://stay.test/h/", "$o_custkey", "/rates?checkin=", "$d", "&checkout=", "$d", "&adults=2&view=all")).otherwise(_text("https://stay.test/", "$d", "/", "$d", "/rooms"))
-    t = o.select("o_orderkey", "d", mapping.parameterise_url(url).alias("template"))
-    again = mapping.render_template(F.col("template"), {"check_in": F.col("d"), "check_out": F.col("d"), "adults": F.lit(3)})
-    return t.select("o_orderkey", "template", again.alias("url"), mapping.is_complete(F.col("template")).alias("complete"))
+    url = F.when(F.col("o_orderkey") % 2 == 0, _text("https://stay.test/h/", "$o_custkey", "/rates?CheckIn=", "$d", "&check-out=", "$d", "&adults=2&room_config=2-1&children=&view=all")).otherwise(_text("https://stay.test/", "$d", "/", "$d", "/rooms"))
+    t = o.select("o_orderkey", "d", mapping.parameterise_url(url).alias("template"), mapping.substitutions(url).alias("told"))
+    again = mapping.render_template(F.col("template"), {"check_in": F.col("d"), "check_out": F.col("d"), "adults": F.lit(3), "children": F.lit(1)})
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("told")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return t.select("o_orderkey", "template", told.alias("replaced"), again.alias("url"), mapping.is_complete(F.col("template")).alias("complete"))
 
 
 M7_SQL = """
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'https://stay.test/h/' || o_custkey || '/rates?checkin={{check_in}}&checkout={{check_out}}&adults={{adults}}&view=all' ELSE 'https://stay.test/{{check_in}}/{{check_out}}/rooms' END AS template,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'https://stay.test/h/' || o_custkey || '/rates?checkin=' || d || '&checkout=' || d || '&adults=3&view=all' ELSE 'https://stay.test/' || d || '/' || d || '/rooms' END AS url, TRUE AS complete
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'https://stay.test/h/' || o_custkey || '/rates?CheckIn={{check_in}}&check-out={{check_out}}&adults={{adults}}&room_config={{adults}}-{{children}}&children=&view=all' ELSE 'https://stay.test/{{check_in}}/{{check_out}}/rooms' END AS template,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'CheckIn: ' || d || ' -> {{check_in}}; adults: 2 -> {{adults}}; check-out: ' || d || ' -> {{check_out}}; room_config: 2-1 -> {{adults}}-{{children}}' ELSE 'path date 1: ' || d || ' -> {{check_in}}; path date 2: ' || d || ' -> {{check_out}}' END AS replaced,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'https://stay.test/h/' || o_custkey || '/rates?CheckIn=' || d || '&check-out=' || d || '&adults=3&room_config=3-1&children=&view=all' ELSE 'https://stay.test/' || d || '/' || d || '/rooms' END AS url, TRUE AS complete
 FROM (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) t""".replace("{{", "{").replace("}}", "}")
 
 
 def m8_engines(spark, sf):
     """Booking engine, property id and stable endpoint of customers' URLs."""
     c = derive.load(spark, sf, "customer")
-    n = F.col("c_custkey") % 4
-    url = F.when(n == 0, _text("https://live.staah.net/", "$c_custkey", "/api/rates.json")).when(n == 1, _text("https://be.resavenue.com/go?regCode=R", "$c_custkey")).when(n == 2, _text("https://hotel.test/a/b/", "$c_custkey"))
+    n = F.col("c_custkey") % 6
+    url = F.when(n == 0, _text("https://www.AIOSELL.com/book/", "$c_custkey", "_x?y=1")).when(n == 1, _text("https://live.ipms247.com/booking/?hotelCode=", "$c_custkey")).when(n == 2, _text("https://www.treebo.com/hotels-in-x/inn-", "$c_custkey", "/?q=1")).when(n == 3, _text("https://gotoyelagiri.com/resort/", "$c_custkey")).when(n == 4, _text("https://hotel.test/a/b/", "$c_custkey"))
     found = mapping.detect_engine(url)
     return c.select("c_custkey", found["engine"].alias("engine"), found["external_id"].alias("external_id"), mapping.json_fragment(url).alias("fragment"))
 
 
 M8_SQL = """
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'staah' WHEN 1 THEN 'resavenue' END AS engine, CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'R' || c_custkey END AS external_id,
-  CASE c_custkey % 4 WHEN 0 THEN 'api/rates.json' WHEN 1 THEN 'go' WHEN 2 THEN 'b/' || c_custkey ELSE '' END AS fragment FROM customer"""
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'aiosell' WHEN 1 THEN 'ezee-letsbook' WHEN 2 THEN 'treebo' WHEN 3 THEN 'gotoyelagiri' END AS engine, CASE WHEN c_custkey % 6 = 0 THEN c_custkey || '_x' WHEN c_custkey % 6 < 4 THEN CAST(c_custkey AS VARCHAR) END AS external_id,
+  CASE c_custkey % 6 WHEN 0 THEN 'book/' || c_custkey || '_x' WHEN 1 THEN 'booking' WHEN 2 THEN 'hotels-in-x/inn-' || c_custkey WHEN 3 THEN 'resort/' || c_custkey WHEN 4 THEN 'b/' || c_custkey ELSE '' END AS fragment FROM customer"""
 
 
 def m4_basis_prices(spark, sf):
@@ -209,17 +211,39 @@ I2_SQL = "SELECT hotel_id, count(*) AS n FROM {obs} WHERE hotel_id % 2 = 1 OR ro
 
 
 def n15_digest_text(spark, sf):
-    """Each hotel and night's changes as one text, in order, with their stay."""
-    c = Domain(spark, sf)["changes"]
-    line = render.headline(F.col("direction"), F.col("old_price").cast("decimal(12,2)"), F.col("new_price").cast("decimal(12,2)"), F.lit("INR"))
-    g = c.groupBy("hotel_id", "check_in").agg(render.digest_body(F.collect_list(F.struct(F.col("change_id").alias("id"), line.alias("line")))).alias("body"))
-    return g.select("hotel_id", F.col("check_in").cast("string").alias("check_in"), render.stay(F.col("check_in"), F.date_add("check_in", 1)).alias("stay"), "body")
+    """Each hotel and night's changes as one message: subject, text, table and a template's values."""
+    d = Domain(spark, sf)
+    c = d["changes"].join(d["rooms"], "room_type_id")
+    cents = lambda c: F.col(c).cast("decimal(12,2)").alias(c)
+    plan = F.when(F.col("room_type_id") > 0, "Breakfast").alias("meal_plan")
+    line = F.struct("change_id", "room", "direction", cents("old_price"), cents("new_price"), cents("delta"), F.col("delta_pct").cast("decimal(9,2)").alias("delta_pct"), F.lit("INR").alias("currency"), (F.col("room_type_id") == 2).alias("overnight"), F.to_date("check_in").alias("check_in"), F.date_add("check_in", 1).alias("check_out"), plan)
+    # What is gathered is one message's content.
+    g = c.groupBy("hotel_id", "check_in").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    hotel, lines, stamp = F.concat(F.lit("Hotel <"), F.col("hotel_id").cast("string"), F.lit(">")), F.col("lines"), F.lit("5:30 PM IST")
+    return g.select("hotel_id", F.col("check_in").cast("string").alias("check_in"), render.digest_subject(hotel, lines).alias("subject"), render.digest_body(hotel, lines, stamp).alias("body"), render.digest_rows(lines).alias("html"), F.array_join(render.template_values(hotel, lines, stamp), "|").alias("params"))
+
+
+def _inr(x: str) -> str:
+    w = f"CAST({x} AS BIGINT)"
+    return f"coalesce('₹' || CASE WHEN {w} >= 100000 THEN CAST({w} // 100000 AS VARCHAR) || ',' || lpad(CAST({w} // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({w} % 1000 AS VARCHAR), 3, '0') WHEN {w} >= 1000 THEN CAST({w} // 1000 AS VARCHAR) || ',' || lpad(CAST({w} % 1000 AS VARCHAR), 3, '0') ELSE CAST({w} AS VARCHAR) END, '—')"
 
 
-_MONEY = "'₹' || CASE WHEN {0} >= 1000 THEN CAST(CAST({0} AS BIGINT) // 1000 AS VARCHAR) || ',' || lpad(CAST(CAST({0} AS BIGINT) % 1000 AS VARCHAR), 3, '0') ELSE CAST(CAST({0} AS BIGINT) AS VARCHAR) END"
 N15_SQL = f"""
-SELECT hotel_id, CAST(check_in AS STRING) AS check_in, strftime(check_in, '%d %b %Y') || ' → ' || strftime(CAST(check_in AS DATE) + 1, '%d %b %Y') || ' (1 night)' AS stay, string_agg(line, chr(10) ORDER BY change_id) AS body
-FROM (SELECT *, CASE direction WHEN 'became_unavailable' THEN 'Sold out' WHEN 'became_available' THEN 'Back on sale at ' || {_MONEY.format("new_price")} ELSE CASE direction WHEN 'increase' THEN 'Increase: ' ELSE 'Decrease: ' END || {_MONEY.format("old_price")} || ' → ' || {_MONEY.format("new_price")} END AS line FROM {{changes}}) t
+SELECT hotel_id, CAST(check_in AS STRING) AS check_in,
+  CASE WHEN count(*) = 1 THEN 'Price change: Hotel <' || hotel_id || '> — ' || min(CASE WHEN direction = 'became_unavailable' THEN room || ' sold out' ELSE room || ' ' || new END) ELSE count(*) || ' price changes: Hotel <' || hotel_id || '>' END AS subject,
+  CASE WHEN count(*) = 1 THEN '🔔 Room Price Changed' ELSE '🔔 ' || count(*) || ' Room Price Changes' END || chr(10) || 'Hotel: Hotel <' || hotel_id || '>' || chr(10) || chr(10)
+    || string_agg(head || chr(10) || '   Stay: ' || stay || CASE WHEN room_type_id > 0 THEN '   Plan: Breakfast' ELSE '' END || chr(10) || chr(10), '' ORDER BY change_id) || 'Checked: 5:30 PM IST' AS body,
+  '<table><tr><th>Room</th><th>Was</th><th>Now</th><th>Change</th><th>Stay</th></tr>' || string_agg('<tr><td>' || room || '</td><td>' || old || '</td><td>' || CASE WHEN direction = 'became_unavailable' THEN '—' ELSE new END || '</td><td>'
+    || CASE direction WHEN 'became_unavailable' THEN '<b>Sold out</b>' WHEN 'became_available' THEN '<b>Available again</b>' ELSE CASE direction WHEN 'increase' THEN '+' ELSE '−' END || moved END || '</td><td>' || stay || '</td></tr>', '' ORDER BY change_id) || '</table>' AS html,
+  'Hotel <' || hotel_id || '>|' || arg_min(room, change_id) || CASE WHEN count(*) = 1 THEN '' ELSE ' +' || (count(*) - 1) || ' more' END || '|' || arg_min(old, change_id) || '|' || arg_min(new, change_id) || '|'
+    || arg_min(CASE WHEN direction = 'became_unavailable' THEN 'sold out' WHEN delta IS NOT NULL THEN CASE direction WHEN 'increase' THEN '+' ELSE '-' END || moved ELSE 'now available' END, change_id) || '|' || min(stay) || '|5:30 PM IST' AS params
+FROM (
+  SELECT *, amount || ' (' || share || ')' AS moved, CASE direction WHEN 'became_unavailable' THEN '🚫 ' || room || ' — sold out' WHEN 'became_available' THEN '✅ ' || room || ' — available again at ' || new
+    ELSE CASE direction WHEN 'increase' THEN '▲ ' ELSE '▼ ' END || room || ': ' || old || ' → ' || new || CASE WHEN room_type_id = 2 THEN ' vs last night' ELSE '' END || '  (' || CASE direction WHEN 'increase' THEN 'Increase ' ELSE 'Decrease ' END || amount || ', ' || share || ')' END AS head
+  FROM (
+    SELECT c.*, r.room, {_inr("old_price")} AS old, {_inr("new_price")} AS new, {_inr("abs(delta)")} AS amount, strftime(check_in, '%d %b %Y') || ' → ' || strftime(CAST(check_in AS DATE) + 1, '%d %b %Y') AS stay,
+      CASE WHEN delta_pct IS NULL THEN '' ELSE CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) || '%' END AS share
+    FROM (SELECT *, i // 10 + CASE WHEN i % 10 > 5 OR i % 10 = 5 AND i // 10 % 2 = 1 THEN 1 ELSE 0 END AS t FROM (SELECT *, CAST(round(abs(delta_pct) * 100) AS BIGINT) AS i FROM {{changes}}) k) c JOIN {{rooms}} r ON r.room_type_id = c.room_type_id) a) t
 GROUP BY hotel_id, check_in"""
 
 
@@ -272,13 +296,14 @@ SELECT DISTINCT strftime(o_orderdate, 'price_observations_y%Ym%m') AS name, CAST
 
 
 def d8_unlearnable(spark, sf):
+    """Page texts made of parts: which can teach nothing, and why."""
     p = derive.load(spark, sf, "part")
-    n = F.col("p_partkey") % 5
-    text = F.when(n == 0, "  ").when(n == 1, "We are sold out").when(n == 2, "nice rooms").when(n == 3, "from $ 99")
-    return p.select("p_partkey", discovery.unlearnable(F.when(n < 4, text).otherwise("x"), F.when(n == 4, 2).otherwise(0)).alias("reason"))
+    n, price = F.col("p_partkey") % 6, F.floor("p_retailprice").cast("string")
+    text = F.when(n == 0, "  \n").when(n == 1, F.concat(F.lit("We are Sold Out; it was Rs. "), price)).when(n == 2, F.concat(F.lit("sold out, "), "p_name", F.lit(" "), price)).when(n == 3, F.concat("p_name", F.lit(" from € "), price)).when(n == 4, F.concat(F.lit("Room Size 134 m2 $ 99 "), "p_name"))
+    return p.select("p_partkey", discovery.unlearnable(text).alias("reason"))
 
 
-D8_SQL = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'no_text' WHEN 1 THEN 'sold_out' WHEN 2 THEN 'no_marked_price' WHEN 3 THEN 'no_structure' END AS reason FROM part"
+D8_SQL = "SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'sold_out' WHEN 2 THEN 'no_marked_price' WHEN 4 THEN 'no_marked_price' WHEN 3 THEN NULL ELSE 'no_text' END AS reason FROM part"
 
 
 def n7_notifications(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfare.functions import dates, keys, mapping, matching, parsing, render
-from lumenfare.operators import detector
+from lumenfare.operators import detector, discovery
 
 
 def one(spark, col, **values):
@@ -78,6 +78,8 @@ def test_json_mapping(spark):
 
 def test_urls(spark):
     assert mapping.parameterised("https://x.example/book?checkin=2026-08-20&adults=2&k=v") == "https://x.example/book?checkin={check_in}&adults={adults}&k=v"
+    assert mapping.parameterised("https://x.example/b?Arrival-Date=2026-08-20&roomConfig=2-0&pax=&occupancy=2&no_of_kids=1#top") == "https://x.example/b?Arrival-Date={check_in}&roomConfig={adults}-{children}&pax=&occupancy=2&no_of_kids={children}#top"
+    assert mapping.templated("https://x.example/2026-08-20?to=x")[1] == {"path date": "2026-08-20 -> {check_in}", "to": "x -> {check_out}"} and mapping.templated(None) == (None, {})
     assert mapping.parameterised("https://x.example/2026-08-20/2026-08-21/a") == "https://x.example/{check_in}/{check_out}/a"
     assert one(spark, mapping.json_fragment(F.col("u")), u="https://x.example/api/v1/rates?x=1") == "v1/rates"
     assert one(spark, mapping.render_template(F.col("u"), {"check_in": F.lit("2026-08-20")}), u="a/{check_in}/{other}") == "a/2026-08-20/{other}"
@@ -99,7 +101,31 @@ def test_dates(spark):
 def test_rendering(spark):
     money = lambda x: one(spark, render.money(F.lit(x).cast("decimal(12,2)"), F.lit("INR")))
     assert [money(x) for x in ("123456", "2500.5", "999", "-1234567", None)] == ["₹1,23,456", "₹2,500.50", "₹999", "-₹12,34,567", "—"]
-    assert one(spark, render.percent(F.lit(-8.0))) == "-8.0%" and one(spark, render.escape(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;"
+    others = [one(spark, render.money(F.lit(x).cast("decimal(24,3)"), F.lit(c))) for x, c in (("1234567", "USD"), ("-1234567.005", "eur"), ("123456789012345678", "GBP"), ("999.5", "CHF"), ("123456789", "inr"))]
+    assert others == ["$1,234,567", "-€1,234,567.01", "£123,456,789,012,345,678", "CHF 999.50", "₹12,34,56,789"]
+    assert [one(spark, render.percent(F.lit(x).cast("decimal(9,2)"))) for x in ("-8", "2.25", "2.35", "0.04", None)] == ["8.0%", "2.2%", "2.4%", "0.0%", ""]
+    assert one(spark, render.escape(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;" and one(spark, render.stay(F.lit("2026-08-20").cast("date"), F.lit("2026-08-21").cast("date"))) == "20 Aug 2026 → 21 Aug 2026"
+
+
+def _line(room, direction, old, new, delta=None, pct=None, overnight=False, plan=None):
+    d = lambda x: None if x is None else Decimal(x)
+    return (room, direction, d(old), d(new), d(delta), d(pct), "INR", overnight, dt.date(2026, 8, 20), dt.date(2026, 8, 21), plan)
+
+
+def test_messages(spark):
+    up, gone = _line("Deluxe", "increase", "2500", "2700", "200", "8", True, "Breakfast"), _line("Suite & <b>", "became_unavailable", "9000", None)
+    back = _line("Suite", "became_available", None, "9000")
+    kind = "hotel string, lines array<struct<room string, direction string, old_price decimal(12,2), new_price decimal(12,2), delta decimal(12,2), delta_pct decimal(9,2), currency string, overnight boolean, check_in date, check_out date, meal_plan string>>"
+    df = spark.createDataFrame([("H", [up]), ("H", [gone, up]), ("H", [back])], kind)
+    stamp = F.lit("5:30 PM IST")
+    got = df.select(render.digest_subject(F.col("hotel"), F.col("lines")).alias("subject"), render.digest_body(F.col("hotel"), F.col("lines"), stamp).alias("body"), render.digest_rows(F.col("lines")).alias("html"), render.template_values(F.col("hotel"), F.col("lines"), stamp).alias("values")).collect()
+    assert [r.subject for r in got] == ["Price change: H — Deluxe ₹2,700", "2 price changes: H", "Price change: H — Suite ₹9,000"]
+    first = "▲ Deluxe: ₹2,500 → ₹2,700 vs last night  (Increase ₹200, 8.0%)\n   Stay: 20 Aug 2026 → 21 Aug 2026   Plan: Breakfast\n\n"
+    assert got[0].body == "🔔 Room Price Changed\nHotel: H\n\n" + first + "Checked: 5:30 PM IST"
+    assert got[1].body == "🔔 2 Room Price Changes\nHotel: H\n\n🚫 Suite & <b> — sold out\n   Stay: 20 Aug 2026 → 21 Aug 2026\n\n" + first + "Checked: 5:30 PM IST"
+    assert "<td>Suite &amp; &lt;b&gt;</td><td>₹9,000</td><td>—</td><td><b>Sold out</b></td>" in got[1].html and "+₹200 (8.0%)" in got[0].html
+    assert list(got[0]["values"]) == ["H", "Deluxe", "₹2,500", "₹2,700", "+₹200 (8.0%)", "20 Aug 2026 → 21 Aug 2026", "5:30 PM IST"]
+    assert got[1]["values"][1:5] == ["Suite & <b> +1 more", "₹9,000", "—", "sold out"] and got[2]["values"][4] == "now available" and "available again at ₹9,000" in got[2].body
 
 
 def test_room_names():
@@ -190,8 +216,35 @@ def test_room_cards(spark):
 
 
 def test_engines_and_rebase(spark):
-    got = one(spark, mapping.detect_engine(F.col("u")), u="https://book.example.com/h/17?x=1")
-    assert (got.engine, got.external_id) == ("example", "17") and one(spark, mapping.detect_engine(F.col("u")), u="https://other.org/1").engine is None
+    got = one(spark, mapping.detect_engine(F.col("u")), u="https://live.IPMS247.com/booking/?hotelCode=17&x=1")
+    assert (got.engine, got.external_id) == ("ezee-letsbook", "17") and one(spark, mapping.detect_engine(F.col("u")), u="https://other.org/1").engine is None
     at = lambda h: dt.datetime(2026, 1, 1, h)
     obs = spark.createDataFrame([("a", at(1), 1, Decimal(1000), True, "inclusive"), ("a", at(2), 2, Decimal(900), True, "exclusive"), ("a", at(3), 3, Decimal(900), True, "exclusive")], "offer_key string, checked_at timestamp, event_id long, price decimal(12,2), is_available boolean, basis string")
     assert [r.outcome for r in detector.fold_rebased(obs, "basis").orderBy("event_id").collect()] == ["first_sight", "first_sight", "unchanged"]
+
+
+def test_nested_redaction(spark):
+    hide = lambda x: one(spark, mapping.scrub_json(F.col("x")), x=x)
+    assert hide('{"a": [{"Api-Key": {"deep": [1]}, "b": "Bearer abcdefghijklmn.x"}], "n": null}') == '{"a":[{"Api-Key":"***REDACTED***","b":"Bearer ***REDACTED***"}],"n":null}'
+    assert hide("bearer abcdefghijklmn, so " + "x" * 40) == "bearer ***REDACTED***, so ***REDACTED***" and hide("7") == "7" and hide("") == ""
+    deep = "[" * 14 + "1" + "]" * 14
+    assert hide(deep) == "[" * 13 + '"***TRUNCATED***"' + "]" * 13
+
+
+def test_discovery_rules(spark):
+    import json
+
+    rooms = [{"title": f"Deluxe Room {k}", "mrp": 9000 + k, "taxes": 300, "meal": "Breakfast", "data": {"x": {"y": {"z": {"price": 5000}}}, "rates": [{"sell_rate": f"{2000 + k},50" if k == 9 else 2000.5 + k}], "2024-01-05": {"sellRate": 1500}}, "available": True, "roomsLeft": 3} for k in range(4)]
+    one_name = [{"name": "King Size Bed", "price": 1000 + k} for k in range(4)]
+    text = "Deluxe from ₹ 2,000.50 or 2001.5, was 9000; size 134 m2"
+    pages = spark.createDataFrame([(1, json.dumps({"d": {"list": rooms}}), text), (1, json.dumps(one_name), text), (2, json.dumps(rooms), "134 2000 20005"), (3, "no json", text), (4, None, None), (5, json.dumps({"rooms": rooms[:1]}), "INR 2000")], "page_id long, payload string, page_text string")
+    got = {r.page_id: r for r in discovery.candidates(pages).collect()}
+    assert sorted(got) == [1, 2, 5]
+    r = got[1]
+    assert (r.path, r.name_field, r.price_field, r.available_field, r.left_field) == ("d.list", "title", "data.rates.0.sell_rate", "available", "roomsLeft")
+    # Half of the four prices are there, one of them with a currency; a price's whole part counts as the page's number.
+    assert (r.n_matched, r.n_marked, r.verified, r.strong, r.score) == (2, 1, True, True, 4 * 3 + 10 + 1.6 + 4 + 25)
+    assert (got[2].n_matched, got[2].verified, got[2].strong) == (1, False, False)
+    assert (got[5].n_matched, got[5].n_marked, got[5].strong) == (1, 1, True)
+    why = lambda x: one(spark, discovery.unlearnable(F.col("x")), x=x)
+    assert [why(x) for x in (None, " ", "sold out", "sold out, was ₹ 2,500", "Rs 2500", "$ 99")] == ["no_text", "no_text", "no_marked_price", "sold_out", None, "no_marked_price"]
