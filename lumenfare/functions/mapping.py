@@ -51,8 +51,13 @@ def offers(nodes: DataFrame, node: str, mapping: dict[str, str], currency: str =
     own = nodes.columns
     parsed = nodes.select(*own, F.try_parse_json(node).alias("_v"))
     text = parsed.select(*own, *[(F.try_variant_get("_v", json_path(mapping[f]), "string") if f in mapping else nothing).alias(f"_{f}") for f in FIELDS])
-    bare = text.select("*", *[(parsing.bare_number(F.col(f"_{f}")) if f in mapping else nothing).alias(f"_bare_{f}") for f in PRICES])
-    priced = bare.select(*text.columns, *[(parsing.price_of_bare(F.col(f"_bare_{f}")) if f in mapping else nothing.cast("decimal(12,2)")).alias(f"_read_{f}") for f in PRICES], F.coalesce(parsing.truthy(F.col("_available")), F.lit(True)).alias("_open"), parsing.blank_as_null(F.col("_room_name")).alias("_name"))
+    return _offer(text, own, currency)
+
+
+def _offer(text: DataFrame, own: list[str], currency: str) -> DataFrame:
+    """own columns and the struct `_o` of texts (`_` and the field's name)."""
+    bare = text.select("*", *[parsing.bare_number(F.col(f"_{f}")).alias(f"_bare_{f}") for f in PRICES])
+    priced = bare.select(*text.columns, *[parsing.price_of_bare(F.col(f"_bare_{f}")).alias(f"_read_{f}") for f in PRICES], F.coalesce(parsing.truthy(F.col("_available")), F.lit(True)).alias("_open"), parsing.blank_as_null(F.col("_room_name")).alias("_name"))
     inc, exc, tax = (F.col(f"_read_{f}") for f in PRICES)
     error = F.when(F.col("_name").isNull(), "no_name").when(F.col("_open") & inc.isNull() & exc.isNull(), "no_price")
     free = F.lower("_refundable")
@@ -190,3 +195,27 @@ def detect_engine(url: Column, engines: tuple[tuple[str, tuple[str, ...], str],
         name = F.when(hit, engine).otherwise(name)
         external = F.when(hit, F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))).otherwise(external)
     return F.struct(name.alias("engine"), external.alias("external_id"))
+
+
+def variant_path(path: Column) -> Column:
+    """A dotted path held in a column as a variant's path: digits are list places, the empty path is the payload; null for names that no path can hold."""
+    step = lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("["), x, F.lit("]"))).when(~F.contains(x, F.lit("'")), F.concat(F.lit("['"), x, F.lit("']"))).when(~F.contains(x, F.lit('"')), F.concat(F.lit('["'), x, F.lit('"]')))
+    steps = F.transform(F.split(path, r"\."), step)
+    return F.when(path == "", "$").when(F.exists(steps, lambda x: x.isNull()), None).otherwise(F.concat(F.lit("$"), F.array_join(steps, "")))
+
+
+def offers_by_config(payloads: DataFrame, configs: DataFrame, key: str, currency: str = "INR") -> DataFrame:
+    """Each payload's offers by the configuration of its `key`: paths are data, so one plan serves every site.
+
+    payloads: key, page_id, payload. configs: one row for each key with rooms_path and fields (map of FIELDS to dotted
+    paths). Gives key, page_id, place (in the payload's list) and the struct `_o` as offers() does. A payload without a
+    configuration, without the list, or that is no JSON has none. Configurations are few beside payloads; which side moves
+    is the optimizer's choice.
+    """
+    paths = F.map_from_entries(F.array(*(F.struct(F.lit(f), variant_path(F.try_element_at("fields", F.lit(f)))) for f in FIELDS)))
+    own = configs.select(key, variant_path(F.col("rooms_path")).alias("_rooms"), paths.alias("_paths"))
+    met = payloads.select(key, "page_id", F.try_parse_json("payload").alias("_v")).join(own, key)
+    rooms = met.select(key, "page_id", "_paths", F.posexplode(F.try_variant_get("_v", F.col("_rooms"), "array<variant>")).alias("place", "_room"))
+    value = lambda f: F.try_variant_get("_room", F.element_at("_paths", F.lit(f)), "string")
+    text = rooms.select(key, "page_id", "place", *(value(f).alias(f"_{f}") for f in FIELDS))
+    return _offer(text, [key, "page_id", "place"], currency)

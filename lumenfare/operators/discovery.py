@@ -103,7 +103,7 @@ def page_numbers(pages: DataFrame) -> DataFrame:
 
 
 def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
-    """(page_id, path, name_field, price_field, available_field, left_field, n_rows, n_names, n_matched, n_marked, score, verified, strong, place): best arrays of each page.
+    """(page_id, path, name_field, price_field, available_field, left_field, n_rows, n_names, n_prices, n_matched, n_marked, score, verified, strong, place): best arrays of each page.
 
     payloads: page_id, payload, page_text (a page's payloads share one). Fields are told by the first twelve objects: a name
     is text like a room's name, mostly there and mostly distinct; a price a plausible number in half of them, under a
@@ -141,7 +141,7 @@ def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
     verified = F.col("n_matched") * 2 >= F.size("price.prices")
     more = F.col("available_field").isNotNull() | F.col("left_field").isNotNull()
     score = -3.0 * F.col("name.less") + (10 - F.least("price.rank", F.lit(10))) + F.least("n_rows", F.lit(12)) * 0.4 + F.when(more, 4.0).otherwise(0.0) + F.when(verified, 25.0).otherwise(0.0)
-    out = both.select("page_id", "path", F.col("name.leaf").alias("name_field"), F.col("price.leaf").alias("price_field"), "available_field", "left_field", "n_rows", F.col("name.names").alias("n_names"), "n_matched", "n_marked", F.round(score, 2).alias("score"), verified.alias("verified"), (verified & (F.col("n_marked") > 0)).alias("strong"))
+    out = both.select("page_id", "path", F.col("name.leaf").alias("name_field"), F.col("price.leaf").alias("price_field"), "available_field", "left_field", "n_rows", F.col("name.names").alias("n_names"), F.size("price.prices").cast("long").alias("n_prices"), "n_matched", "n_marked", F.round(score, 2).alias("score"), verified.alias("verified"), (verified & (F.col("n_marked") > 0)).alias("strong"))
     turn = Window.partitionBy("page_id").orderBy(F.desc("score"), "path")
     return out.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= keep)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import chain, ops, service, streams
+from .plans import chain, ops, repairs, service, streams
 from .plans.domain import Domain, oracle
 from .plans.reads import READS
 
@@ -11,5 +11,5 @@ def _read(sql: str):
     return lambda spark, sf_dir: Domain(spark, sf_dir).sql(sql)
 
 
-QUERIES: dict = {name: _read(sql) for name, sql in READS.items()} | ops.QUERIES | service.QUERIES | chain.QUERIES | streams.QUERIES
-ORACLE_SQL: dict = {name: oracle(sql) for name, sql in READS.items()} | ops.ORACLE_SQL | service.ORACLE_SQL | chain.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES: dict = {name: _read(sql) for name, sql in READS.items()} | ops.QUERIES | service.QUERIES | chain.QUERIES | streams.QUERIES | repairs.QUERIES
+ORACLE_SQL: dict = {name: oracle(sql) for name, sql in READS.items()} | ops.ORACLE_SQL | service.ORACLE_SQL | chain.ORACLE_SQL | streams.ORACLE_SQL | repairs.ORACLE_SQL
