@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+
+from ..session import ship
 
 # What a path's last part holds (first hit is best), what is never the price, words of room names, currency marks.
 NAME_HINTS = ("roomname", "room_name", "displayname", "display_name", "roomtype", "room_type", "title", "name", "label", "roomtitle", "category")
@@ -28,46 +30,63 @@ LEAST_PRICE, MOST_PRICE = 100, 500000
 MAX_DEPTH, LEAF_DEPTH, SAMPLE, OBJECTS, VALUES = 6, 3, 3, 12, 8
 
 
-@udtf(returnType="path string, n_rows int, rows array<string>")
-class ArraysOfObjects:
-    """Every list that begins with an object in a payload, with its dotted path and its first objects."""
-
-    def eval(self, payload: str) -> Iterator:
-        try:
-            top = json.loads(payload or "null")
-        except ValueError:
-            return
-        stack = [("", top, 0)]
-        while stack:
-            path, node, depth = stack.pop()
-            if depth > MAX_DEPTH:
-                continue
-            if isinstance(node, list):
-                if node and isinstance(node[0], dict):
-                    yield path, len(node), [json.dumps(x) for x in node[:OBJECTS] if isinstance(x, dict)]
-                stack += [(f"{path}.{i}" if path else str(i), x, depth + 1) for i, x in reversed(list(enumerate(node[:SAMPLE])))]
-            elif isinstance(node, dict):
-                stack += [(f"{path}.{k}" if path else k, v, depth + 1) for k, v in reversed(list(node.items()))]
-
-
-@udtf(returnType="leaf string, value string, is_text boolean")
-class Flattened:
+def arrays_of_objects(payload: str | None) -> Iterator[tuple[str, list]]:
+    """Every list that begins with an object in a payload, with its dotted path."""
+    try:
+        top = json.loads(payload or "null")
+    except ValueError:
+        return
+    stack = [("", top, 0)]
+    while stack:
+        path, node, depth = stack.pop()
+        if depth > MAX_DEPTH:
+            continue
+        if isinstance(node, list):
+            if node and isinstance(node[0], dict):
+                yield path, node
+            stack += [(f"{path}.{i}" if path else str(i), x, depth + 1) for i, x in reversed(list(enumerate(node[:SAMPLE])))]
+        elif isinstance(node, dict):
+            stack += [(f"{path}.{k}" if path else k, v, depth + 1) for k, v in reversed(list(node.items()))]
+
+
+def leaves_of(node: dict) -> Iterator[tuple[str, str | None, bool]]:
     """An object's leaves by dotted path, objects within objects up to LEAF_DEPTH, lists of objects by their first; true and false have no value."""
-
-    def eval(self, node: str) -> Iterator:
-        stack = [("", json.loads(node), 0)]
-        while stack:
-            path, x, depth = stack.pop()
-            if depth > LEAF_DEPTH:
-                continue
-            for k, v in x.items():
-                leaf = f"{path}.{k}" if path else k
-                if isinstance(v, dict):
-                    stack.append((leaf, v, depth + 1))
-                elif isinstance(v, list) and v and isinstance(v[0], dict):
-                    stack.append((f"{leaf}.0", v[0], depth + 1))
-                else:
-                    yield leaf, None if v is None or isinstance(v, (bool, list)) else str(v), isinstance(v, str)
+    stack = [("", node, 0)]
+    while stack:
+        path, x, depth = stack.pop()
+        if depth > LEAF_DEPTH:
+            continue
+        for k, v in x.items():
+            leaf = f"{path}.{k}" if path else k
+            if isinstance(v, dict):
+                stack.append((leaf, v, depth + 1))
+            elif isinstance(v, list) and v and isinstance(v[0], dict):
+                stack.append((f"{leaf}.0", v[0], depth + 1))
+            else:
+                yield leaf, None if v is None or isinstance(v, (bool, list)) else str(v), isinstance(v, str)
+
+
+def leaves(payloads: DataFrame) -> DataFrame:
+    """(page_id, path, n_rows, sampled, k, leaf, value, is_text): the leaves of the first objects of each payload's arrays; a payload is parsed once."""
+    names = ("path", "n_rows", "sampled", "k", "leaf", "value", "is_text")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part, of, out = batch.slice(lo, 256), [], []
+                for i, payload in enumerate(part.column(1).to_pylist()):
+                    for path, rows in arrays_of_objects(payload):
+                        sample = [x for x in rows[:OBJECTS] if isinstance(x, dict)]
+                        found = [(path, len(rows), len(sample), k, *leaf) for k, x in enumerate(sample) for leaf in leaves_of(x)]
+                        of += [i] * len(found)
+                        out += found
+                columns = list(zip(*out)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int32())), *(pa.array(c, kind) for c, kind in zip(columns, kinds))], ["page_id", *names])
+
+    ship(payloads.sparkSession)
+    kind = payloads.schema["page_id"].dataType.simpleString()
+    return payloads.select("page_id", "payload").mapInArrow(run, f"page_id {kind}, path string, n_rows int, sampled int, k int, leaf string, value string, is_text boolean")
 
 
 def _last(path: Column, marks: str) -> Column:
@@ -112,16 +131,16 @@ def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
     candidate, and one with a currency beside it does so strongly. Page texts are read once each.
     """
     p = payloads.where("payload is not null")
-    arrays = p.select("page_id", "payload").lateralJoin(ArraysOfObjects(F.col("payload").outer())).select("page_id", "path", "n_rows", F.size("rows").alias("sampled"), F.posexplode("rows").alias("k", "node"))
-    leaves = arrays.lateralJoin(Flattened(F.col("node").outer())).select("page_id", "path", "n_rows", "sampled", "k", "leaf", "value", "is_text")
+    found = leaves(p)
     number = F.regexp_replace("value", "[,₹]", "").try_cast("decimal(38,10)")
     bare = F.trim("value")
     text = F.col("is_text") & (bare != "")
     priced = number.between(LEAST_PRICE, MOST_PRICE)
-    fields = leaves.groupBy("page_id", "path", "n_rows", "sampled", "leaf").agg(
-        F.count_if(text).alias("present"), F.bool_and(F.when(F.col("value").isNotNull(), F.col("is_text") & F.regexp_replace(bare, r"\s+", " ").rlike(NAME_LIKE))).alias("named"), F.count_distinct(F.when(text, F.lower(bare))).alias("distinct"),
+    # Sets of twelve values at most.
+    fields = found.groupBy("page_id", "path", "n_rows", "sampled", "leaf").agg(
+        F.count_if(text).alias("present"), F.bool_and(F.when(F.col("value").isNotNull(), F.col("is_text") & F.regexp_replace(bare, r"\s+", " ").rlike(NAME_LIKE))).alias("named"), F.size(F.collect_set(F.when(text, F.lower(bare)))).alias("distinct"),
         F.count_if(text & F.col("value").rlike(ROOM_WORDS)).alias("roomy"), F.count_if(priced).alias("priced"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.when(priced, F.struct("k", number.alias("price"))))), 1, VALUES), lambda x: x["price"]).alias("prices"), F.count_distinct(F.when(text, bare)).alias("names"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.when(priced, F.struct("k", number.alias("price"))))), 1, VALUES), lambda x: x["price"]).alias("prices"), F.size(F.collect_set(F.when(text, bare))).cast("long").alias("names"),
     )
     dated, half = F.col("leaf").rlike(DATED_SEGMENT), F.greatest(F.lit(1), F.expr("sampled div 2"))
     is_name = ~dated & F.coalesce("named", F.lit(False)) & (F.col("present") >= half) & ((F.col("present") <= 2) | (F.col("distinct") >= F.greatest(F.lit(2), F.expr("present div 2"))))

@@ -35,15 +35,17 @@ def disappearances(obs: DataFrame) -> DataFrame:
 
 
 def vanished(seen: DataFrame) -> DataFrame:
-    """As disappearances, of observations that bear their fetch as run_at."""
-    runs = seen.groupBy(*SCOPE, "run_at").agg(F.max("checked_at").alias("run_end"))
-    known = seen.groupBy("offer_key", *SCOPE).agg(F.min("run_at").alias("since"))
-    due = known.join(runs, list(SCOPE)).where("run_at > since")
-    missing = due.join(seen.select("offer_key", "run_at").distinct(), ["offer_key", "run_at"], "left_anti").select("offer_key", *SCOPE, "run_at", F.col("run_end").alias("at"), F.lit(False).alias("is_available"), F.lit(None).cast("long").alias("event_id"))
-    real = seen.select("offer_key", *SCOPE, "run_at", F.col("checked_at").alias("at"), "is_available", "event_id")
-    line = Window.partitionBy("offer_key").orderBy("at", F.col("event_id").asc_nulls_last())
-    both = real.union(missing).withColumn("before", F.lag("is_available").over(line))
-    return both.where("event_id is null and before").select("offer_key", "hotel_id", "check_in", "run_at", F.col("at").alias("seen_at"))
+    """As disappearances, of observations that bear their fetch as run_at.
+
+    Only the first miss tells: an offer that stood open in one run of its scope and is not in the scope's next one. So each
+    sighting meets one run, whatever comes after.
+    """
+    scope = Window.partitionBy(*SCOPE).orderBy("run_at")
+    runs = seen.groupBy(*SCOPE, "run_at").agg(F.max("checked_at").alias("run_end")).withColumn("next", F.lead(F.struct("run_at", "run_end")).over(scope)).where("next is not null").select(*SCOPE, "run_at", "next")
+    last = seen.groupBy("offer_key", *SCOPE, "run_at").agg(F.max(F.struct("checked_at", "event_id", "is_available"))["is_available"].alias("open"))
+    line = Window.partitionBy("offer_key", *SCOPE).orderBy("run_at")
+    missed = last.withColumn("following", F.lead("run_at").over(line)).where("open").join(runs, [*SCOPE, "run_at"]).where(F.col("following").isNull() | (F.col("following") > F.col("next.run_at")))
+    return missed.select("offer_key", "hotel_id", "check_in", F.col("next.run_at").alias("run_at"), F.col("next.run_end").alias("seen_at"))
 
 
 SQL = """
