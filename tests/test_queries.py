@@ -39,13 +39,28 @@ def test_room_resolution(spark):
     assert got["Dlx Dbl Room"].room_type_id is None
 
 
-def test_entry_runs_without_the_llm_folder(spark):
+def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_works_without_the_llm_folders(tmp_path):
+    """On a copy without them and without the pipeline's file: the entry imports and registers the engine's own queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top / "lumenfare", tmp_path / "lumenfare", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); print(e.__file__)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and str(tmp_path) in out.stdout, out.stderr
+
+
 def test_token_bucket_equals_a_replay(spark):
     from pyspark.sql import functions as F
 
