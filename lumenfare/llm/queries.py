@@ -16,6 +16,10 @@ def op2_fingerprint(spark, sf_dir):
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_near_classes(spark, sf_dir):
+    return fingerprint.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op13_conversation_repair(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
+    "op2_near_classes": op2_near_classes,
     "op3_ngram_join": op3_ngram_join,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,

@@ -509,6 +509,61 @@ def test_near_pairs_behind_a_strange_head(spark):
         assert {(a, b): near for a, b, near in got} == want and len(got) == len(want)
 
 
+def by_links(texts, least=0.8):
+    """Each row's class by the likeness of all pairs, and the linked pairs. texts: (id, text)."""
+    prints = fingerprint.fingerprints([t or "" for _, t in texts])
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if fingerprint.likeness(prints[i], prints[j]) >= least]
+    for i, j in pairs:
+        root[top(i)] = top(j)
+    return [top(i) for i in range(len(texts))], pairs
+
+
+def test_near_classes_against_all_pairs(spark):
+    # 100 texts of unlike lengths, and copies with 1 to 10 % of their words replaced, lost or put in.
+    rng, texts = random.Random(11), []
+    for k in range(100):
+        base = fixtures.prose(k, 80 + 40 * (k % 9)).split(" ")
+        texts.append((100 * k, " ".join(base)))
+        for c in range(1, 8):
+            own = list(base)
+            for _ in range(max(1, len(own) * rng.randint(1, 10) // 100)):
+                p = rng.randrange(len(own))
+                own[p : p + 1] = rng.choice(([], ["other"], [own[p], "more"]))
+            texts.append((100 * k + c, " ".join(own)))
+    want, pairs = by_links(texts)
+    got = {r.doc_id: r.class_id for r in fingerprint.near_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = sum(got[texts[i][0]] == got[texts[j][0]] for i, j in pairs)
+    assert len(pairs) > 200 and found >= 0.97 * len(pairs)
+    # Whatever is together is linked.
+    together = {(w, got[d]) for w, (d, _) in zip(want, texts)}
+    assert len(got) == len(texts) and len({c for _, c in together}) == len(together)
+
+
+def test_near_classes_of_crowded_bands_and_odd_rows(spark):
+    opening = fixtures.prose(99, 120)
+    texts = [(0, opening + " " + fixtures.prose(100, 280))]
+    for k in range(1, 9):
+        own = opening + " " + fixtures.prose(k, 280)
+        texts += [(10 * k, own), (10 * k + 1, own + " end"), (10 * k + 2, own[:-9] + " last")]
+    odd = fixtures.prose(500, 200)
+    # Two different texts under one id, a null id near one of them, and no text.
+    texts += [(200, ""), (201, None), (202, "ab"), (203, "ab"), (300, odd), (300, fixtures.prose(501, 200)), (None, odd + " end"), (None, fixtures.prose(502, 200))]
+    want, _ = by_links(texts)
+    least = {w: min((d for v, (d, _) in zip(want, texts) if v == w and d is not None), default=None) for w in want}
+    expected = sorted(((d, least[w]) for w, (d, _) in zip(want, texts)), key=str)
+    for part in (fingerprint.PART, 4):
+        got = fingerprint.near_classes(spark.createDataFrame(texts, "doc_id long, text string").withColumn("name", F.lit("x")), part=part)
+        assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == expected
+    assert fingerprint.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # WARC
 
 
