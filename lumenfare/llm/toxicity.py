@@ -3,16 +3,20 @@
 Fitting: a bounded sample of labelled rows (`sample_rows`, those of the smallest hash) is drawn; a first scan counts in
 how many of its toxic and clean documents each feature occurs, pre-aggregated in each task; features whose log odds
 differ clearly (at most `most_features`, the clearest) make the vocabulary. A second scan turns each sampled document into its
-vocabulary features, and the same document with its identity terms swapped within their groups into a counterfactual. A
-document in four, by its hash, that mentions no group is also learnt, under its own label, with a mention of one put behind it (`MENTION`; which
-one is a matter of its hash), and with the mention swapped: so every corpus has pairs, both labels mention every group
-alike, and the identity terms' own features are always in the vocabulary. The loss is the log loss plus `fairness` times
-the squared difference between the scores of each pair, so that weight cannot rest on which group a sentence mentions.
-`group_gap` reports what is left of it. Scoring is one scan without a shuffle, over whole texts.
+vocabulary features, and the same document with its identity terms swapped within their groups into a counterfactual, of
+which only the features that come and go are kept. Every document that mentions no group is also learnt, under its own
+label, with a mention of one put behind it (`MENTION`; which one is a matter of its hash), and with the mention swapped: so
+every corpus has pairs, both labels mention every group alike, and the identity terms' own features are always in the
+vocabulary. A mention stands apart from the text, so its features are added to the text's without reading the text again.
+The loss is the log loss plus `fairness` times the squared difference between the scores of each pair, so that weight
+cannot rest on which group a sentence mentions. `group_gap` reports what is left of it. The driver holds numbers of
+features as arrays: four bytes for each feature of a sampled document, at most `most_features` and the terms' own for one.
+Scoring is one scan without a shuffle, over whole texts.
 
 Features are 64-bit hashes of words (case folded, marks removed) and of their first 4 to 8 bytes; a feature counts once
 in a document. Defined cases: null and empty texts have no features and get the intercept's score. Rows with a null label
-or doc_id are never learnt from; repeated labels of a doc_id count as their maximum. If the sample has labels of one kind
+or doc_id are never learnt from; repeated labels of a doc_id count as their maximum, and repeated documents of one doc_id
+are learnt one by one. If the sample has labels of one kind
 only, every score is that kind's smoothed rate. Ties of the sample's hash are broken by doc_id. Extra columns are not read.
 """
 
@@ -86,15 +90,25 @@ def swapper(groups: tuple[tuple[str, ...], ...] = IDENTITY):
     return swap
 
 
-def mentioner(groups: tuple[tuple[str, ...], ...] = IDENTITY):
-    """A function that puts a mention of a group, chosen by the doc_id, behind one text in four, and gives None for the others."""
-    terms = [t for g in groups for t in g]
+@dataclass
+class Mentions:
+    """Vocabulary numbers of each term's mention: those it adds to a text, and those that come and go as the term is swapped."""
+
+    adds: list[np.ndarray]
+    goes: list[np.ndarray]
+    comes: list[np.ndarray]
 
-    def mention(doc_id: int, text: str) -> str | None:
-        which = zlib.crc32(str(doc_id).encode())
-        return None if which % 4 else text + MENTION.format(terms[which // 4 % len(terms)])
+    @classmethod
+    def of(cls, vocabulary: np.ndarray, groups: tuple[tuple[str, ...], ...]) -> Mentions:
+        swap = swapper(groups)
+        own = [MENTION.format(t) for g in groups for t in g]
+        here, there = (_numbers(vocabulary, some) for some in (own, [swap(t) for t in own]))
+        return cls(here, [np.setdiff1d(x, y) for x, y in zip(here, there)], [np.setdiff1d(y, x) for x, y in zip(here, there)])
 
-    return mention
+
+def mentioned(doc_id: int, n: int) -> int:
+    """Which of n terms is put behind a document."""
+    return zlib.crc32(str(doc_id).encode()) % n
 
 
 def group_gap(model: Model, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> float:
@@ -164,34 +178,75 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learnable: Col
     vocabulary = np.unique(np.concatenate([np.array([r[0] for r in chosen], np.int64).view(np.uint64), terms]))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        swap, mention = swapper(groups), mentioner(groups)
+        swap = swapper(groups)
         for batch in batches:
             texts, ids = sampled(batch)
-            own = [t or "" for t in texts.to_pylist()]
-            swapped = [swap(t) for t in own]
-            told = [mention(d, t) if s is None else None for d, t, s in zip(ids, own, swapped)]
-            for twin, some in ((0, own), (1, swapped), (2, told), (3, [t and swap(t) for t in told])):
-                y, kept = ids, [i for i, t in enumerate(some) if t is not None]
-                data, offsets = utf8(pa.array([some[i] for i in kept], pa.string()))
-                out: list = []
-                for lo, hi in slices(offsets):
-                    row, at = _known(vocabulary, data, offsets[lo : hi + 1])
-                    out += np.split(at, np.searchsorted(row, np.arange(1, hi - lo)))
-                yield pa.RecordBatch.from_arrays([pa.array([y[i] for i in kept], pa.int64()), pa.array([twin] * len(kept), pa.int32()), pa.array([x.tolist() for x in out], pa.list_(pa.int32()))], ["doc_id", "twin", "at"])
-
-    rows = arrow_map(own, pairs, "doc_id long, twin int, at array<int>").collect()
-    kinds: list[dict[int, list[int]]] = [{}, {}, {}, {}]
-    for d, twin, at in rows:
-        kinds[twin][d] = at
-    own, swapped, told, told_swapped = kinds
-    twins = [(own[d], swapped[d]) for d in sorted(swapped)] + [(told[d], told_swapped[d]) for d in sorted(told)]
-    ids = sorted(own)
-    more = sorted(told)
-    labels_ = np.array([sample[d] for d in [*ids, *more]], float)
-    weights, intercept = _regress([*(own[d] for d in ids), *(told[d] for d in more)], labels_, twins, len(vocabulary), fairness)
+            for lo, hi in slices(utf8(texts)[1]):
+                own = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+                here = _numbers(vocabulary, own)
+                swapped = [(i, t) for i, t in enumerate(map(swap, own)) if t is not None]
+                there = dict(zip([i for i, _ in swapped], _numbers(vocabulary, [t for _, t in swapped])))
+                goes = [np.setdiff1d(x, there[i]).tobytes() if i in there else None for i, x in enumerate(here)]
+                comes = [np.setdiff1d(there[i], x).tobytes() if i in there else None for i, x in enumerate(here)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), *(pa.array(x, pa.binary()) for x in ([x.tobytes() for x in here], goes, comes))], ["doc_id", "at", "goes", "comes"])
+
+    rows = sorted(arrow_map(own, pairs, "doc_id long, at binary, goes binary, comes binary").collect(), key=lambda r: (r[0], r[1]))
+    weights, intercept = _regress(*_learnt(rows, sample, Mentions.of(vocabulary, groups), len(vocabulary)), len(vocabulary), fairness)
     return Model(vocabulary, weights, intercept)
 
 
+def _numbers(vocabulary: np.ndarray, texts: list[str]) -> list[np.ndarray]:
+    """Vocabulary numbers of each text's features, ascending."""
+    if not texts:
+        return []
+    row, at = _known(vocabulary, *utf8(pa.array(texts, pa.string())))
+    return np.split(at.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
+
+
+@dataclass
+class Cells:
+    """Features of rows: cell i says that row[i] has at[i], counted sign[i] times."""
+
+    row: np.ndarray
+    at: np.ndarray
+    sign: np.ndarray | float = 1.0
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Cells:
+        return cls(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64))
+
+    def times(self, w: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.row, w[self.at] * self.sign, n)
+
+    def back(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.at, x[self.row] * self.sign, n)
+
+
+def _learnt(rows: list, sample: dict[int, int], mentions: Mentions, n: int) -> tuple[np.ndarray, Cells, np.ndarray, Cells, int, Cells]:
+    """Labels and features of the sampled documents; the documents with a mention and what it adds to each; the number of pairs and their signed differences."""
+    own = [np.frombuffer(r[1], np.int32) for r in rows]
+    y = np.array([sample[r[0]] for r in rows], float)
+    told = np.array([i for i, r in enumerate(rows) if r[2] is None], np.int64)
+    swapped = [i for i, r in enumerate(rows) if r[2] is not None]
+    term = [mentioned(rows[i][0], len(mentions.adds)) for i in told]
+    cells = Cells.of(own)
+    seen = cells.row * n + cells.at
+
+    def added(lists: list[np.ndarray]) -> Cells:
+        """A list for each told document, without what the document has itself."""
+        c = Cells.of(lists)
+        new = ~np.isin(told[c.row] * n + c.at, seen) if len(told) else np.zeros(0, bool)
+        return Cells(c.row[new], c.at[new])
+
+    goes, comes = added([mentions.goes[t] for t in term]), added([mentions.comes[t] for t in term])
+    less, more = (Cells.of([np.frombuffer(rows[i][k], np.int32) for i in swapped]) for k in (2, 3))
+    gaps = Cells(
+        np.concatenate([goes.row, comes.row, less.row + len(told), more.row + len(told)]), np.concatenate([goes.at, comes.at, less.at, more.at]),
+        np.repeat([1.0, -1.0, 1.0, -1.0], [len(goes.row), len(comes.row), len(less.row), len(more.row)]),
+    )
+    return y, cells, told, added([mentions.adds[t] for t in term]), len(told) + len(swapped), gaps
+
+
 def _known(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray, sieve: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and vocabulary numbers of a slice's distinct features, ordered by row."""
     rows, found = [], []
@@ -208,22 +263,20 @@ def _known(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray, sieve:
     return both // len(vocabulary), both % len(vocabulary)
 
 
-def _regress(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], n: int, fairness: float, ridge: float = 1e-5, rounds: int = 1000) -> tuple[np.ndarray, float]:
-    """Adam on the mean log loss, a ridge and the twins' squared score differences."""
-    at = np.concatenate([np.array(r, np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pair = np.repeat(np.arange(len(twins)), [len(a) + len(b) for a, b in twins]) if twins else np.zeros(0, np.int64)
-    where = np.concatenate([np.array([*a, *b], np.int64) for a, b in twins]) if twins else np.zeros(0, np.int64)
-    sign = np.concatenate([np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in twins]) if twins else np.zeros(0)
+def _regress(y: np.ndarray, own: Cells, told: np.ndarray, adds: Cells, pairs: int, gaps: Cells, n: int, fairness: float, ridge: float = 1e-5, rounds: int = 1000) -> tuple[np.ndarray, float]:
+    """Adam on the mean log loss over the documents and those with a mention, a ridge and the pairs' squared score differences."""
+    both = len(y) + len(told)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    w[n] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    mean = (y.sum() + y[told].sum()) / both
+    w[n] = np.log((mean + 1e-6) / (1 - mean + 1e-6))
     for step in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-(np.bincount(row, w[at], len(rows)) + w[n]))) - y
-        grad = np.append(np.bincount(at, error[row], n) / len(rows), error.mean())
+        raw = own.times(w, len(y)) + w[n]
+        error = 1 / (1 + np.exp(-raw)) - y
+        more = 1 / (1 + np.exp(-raw[told] - adds.times(w, len(told)))) - y[told]
+        grad = np.append(own.back(error + np.bincount(told, more, len(y)), n) + adds.back(more, n), error.sum() + more.sum()) / both
         grad[:n] += ridge * w[:n]
-        if twins:
-            gap = np.bincount(pair, w[where] * sign, len(twins))
-            grad[:n] += 2 * fairness / len(twins) * np.bincount(where, gap[pair] * sign, n)
+        if pairs:
+            grad[:n] += 2 * fairness / pairs * gaps.back(gaps.times(w, pairs), n)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

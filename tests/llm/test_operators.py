@@ -7,6 +7,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,45 @@ def test_counterfactual_penalty_clears_neutral_mentions(spark):
     assert gap[0.0] > 0.3 and gap[50.0] < gap[0.0] / 2
 
 
+def test_fit_equals_the_texts_written_out():
+    """Features of mentions and swaps put together from parts, and the sparse solver, against whole texts and a dense solver."""
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "women", "black", "awful", "gamma", "delta", "men", "Muslims", "jewish"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 7))) for _ in range(60)] + ["", "awful", "alphabet, women"]
+    sample = {i: int("awful" in t) for i, t in enumerate(texts)}
+    terms = [t for g in toxicity.IDENTITY for t in g]
+    vocabulary = np.unique(toxicity.features(pa.array([*words[:7], *terms], pa.string()))[1])
+    swap, n = toxicity.swapper(), len(vocabulary)
+    numbers = lambda some: toxicity._numbers(vocabulary, some)
+    rows = []
+    for i, t in enumerate(texts):
+        a, b = numbers([t])[0], swap(t)
+        b = None if b is None else numbers([b])[0]
+        rows.append((i, a.tobytes(), None if b is None else np.setdiff1d(a, b).tobytes(), None if b is None else np.setdiff1d(b, a).tobytes()))
+    got = toxicity._regress(*toxicity._learnt(rows, sample, toxicity.Mentions.of(vocabulary, toxicity.IDENTITY), n), n, 3.0, rounds=40)
+
+    def dense(some):
+        x = np.zeros((len(some), n))
+        for i, at in enumerate(numbers(some)):
+            x[i, at] = 1
+        return x
+
+    told = [(sample[i], t + toxicity.MENTION.format(terms[toxicity.mentioned(i, len(terms))])) for i, t in enumerate(texts) if swap(t) is None]
+    x, y = dense([*texts, *(t for _, t in told)]), np.array([*sample.values(), *(k for k, _ in told)], float)
+    pairs = [(t, swap(t)) for t in [*(t for _, t in told), *texts] if swap(t) is not None]
+    gaps = dense([a for a, _ in pairs]) - dense([b for _, b in pairs])
+    w, c = np.zeros(n), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    for step in range(1, 41):
+        e = 1 / (1 + np.exp(-(x @ w + c))) - y
+        grad = np.append(x.T @ e / len(y) + 1e-5 * w + 2 * 3.0 / len(pairs) * gaps.T @ (gaps @ w), e.mean())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, c = w - move[:n], c - move[n]
+    assert len(told) > 10 and len(pairs) > len(told) + 10
+    assert np.allclose(got[0], w, atol=1e-6) and abs(got[1] - c) < 1e-6
+
+
 def test_classifier_edges(spark):
     docs = fixtures.frame(spark, clash=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
