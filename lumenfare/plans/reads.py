@@ -1,4 +1,5 @@
-"""The read queries: prices, histories, change feeds, matrices, health, notifications. Portable SQL over the domain.
+"""SQL of the read queries: prices, histories, change feeds, matrices, health, notifications. `feeds`, `chain` and `service`
+have the plans that Spark runs; these texts are what the plans are held against.
 
 The clock is the newest observation's time. Every sort that a limit follows ends in a unique column; a limit stands only
 where the feature is a page or a top-k report.
@@ -100,10 +101,6 @@ SELECT offer_key, CAST(price AS DOUBLE) AS price, is_available FROM (
   SELECT offer_key, price, is_available, row_number() OVER (PARTITION BY offer_key ORDER BY checked_at DESC, event_id DESC) AS k FROM {obs}) t WHERE k = 1""",
     "w6_tumbling_buckets": """
 SELECT hotel_id, US(bucket) AS bucket, count(*) AS n, max(CAST(price AS DOUBLE)) AS top FROM (SELECT *, date_trunc('day', checked_at) AS bucket FROM {obs}) t GROUP BY hotel_id, bucket""",
-    "q6_unmatched_queue": """
-SELECT u.hotel_id, h.name AS hotel, u.raw_name, u.occurrence_count, US(u.first_seen_at) AS first_seen_at, US(u.last_seen_at) AS last_seen_at
-FROM (SELECT hotel_id, 'Room ' || CAST(room_type_id AS STRING) || ' of ' || CAST(check_in AS STRING) AS raw_name, count(*) AS occurrence_count, min(checked_at) AS first_seen_at, max(checked_at) AS last_seen_at FROM {obs} GROUP BY hotel_id, room_type_id, check_in) u
-JOIN {hotels} h ON h.hotel_id = u.hotel_id ORDER BY u.occurrence_count DESC, u.hotel_id, u.raw_name LIMIT 100""",
     "q12_targets_list": """
 SELECT t.target_id, h.name AS hotel, t.strategy, t.is_enabled, t.interval_minutes, CAST((SELECT max(check_in) FROM {obs}) + CAST(t.lead_days AS INT) AS STRING) AS check_in, CAST((SELECT max(check_in) FROM {obs}) + CAST(t.lead_days + t.stay_nights AS INT) AS STRING) AS check_out
 FROM {targets} t JOIN {hotels} h ON h.hotel_id = t.hotel_id""",

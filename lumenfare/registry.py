@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import chain, ops, repairs, service, shell, streams
-from .plans.domain import Domain, oracle
-from .plans.reads import READS
+from .plans import chain, feeds, ops, repairs, service, shell, streams
 
 
-def _read(sql: str):
-    return lambda spark, sf_dir: Domain(spark, sf_dir).sql(sql)
-
-
-QUERIES: dict = {name: _read(sql) for name, sql in READS.items()} | ops.QUERIES | service.QUERIES | chain.QUERIES | streams.QUERIES | repairs.QUERIES | shell.QUERIES
-ORACLE_SQL: dict = {name: oracle(sql) for name, sql in READS.items()} | ops.ORACLE_SQL | service.ORACLE_SQL | chain.ORACLE_SQL | streams.ORACLE_SQL | repairs.ORACLE_SQL | shell.ORACLE_SQL
+QUERIES: dict = ops.QUERIES | service.QUERIES | chain.QUERIES | streams.QUERIES | repairs.QUERIES | shell.QUERIES | feeds.QUERIES
+ORACLE_SQL: dict = ops.ORACLE_SQL | service.ORACLE_SQL | chain.ORACLE_SQL | streams.ORACLE_SQL | repairs.ORACLE_SQL | shell.ORACLE_SQL | feeds.ORACLE_SQL
