@@ -77,6 +77,24 @@ FROM (SELECT *, CASE WHEN s >= 79200 OR s < 25200 THEN moment - s + 25200 + CASE
 WHERE release IS NULL OR release <= watermark"""
 
 
+def w10_digest_delay(spark, sf):
+    """Changes handed over for digests by run, a minute after the run's newest."""
+    d = Domain(spark, sf)
+    told = d["steps"].where("direction is not null").select(F.col("event_id").alias("change_id"), F.col("checked_at").alias("changed_at"))
+    about = d["obs"].select(F.col("event_id").alias("change_id"), "hotel_id", F.date_trunc("hour", "checked_at").alias("run_at"))
+    base = _base(spark, "handed")
+    told.join(about, "change_id").write.parquet(f"{base}/changes")
+    changes = spark.read.schema("change_id long, changed_at timestamp, hotel_id long, run_at timestamp").parquet(f"{base}/changes")
+    out = _in_parts(changes, "changed_at", base, timers.handed_over)
+    return out.select("hotel_id", "run_us", "handed_us", F.size("change_ids").cast("long").alias("n"), F.array_join(F.col("change_ids").cast("array<string>"), ",").alias("change_ids"))
+
+
+W10_SQL = """
+SELECT hotel_id, run_us, newest + 60000000 AS handed_us, n, change_ids FROM (
+  SELECT hotel_id, epoch_us(date_trunc('hour', changed_at)) AS run_us, max(US(changed_at)) AS newest, count(*) AS n, string_agg(CAST(change_id AS VARCHAR), ',' ORDER BY change_id) AS change_ids FROM {changes} GROUP BY ALL) r
+WHERE newest + 60000000 <= (SELECT max(US(changed_at)) // 1000 * 1000 - 3600000000 FROM {changes})"""
+
+
 def w3_ledger_sink(spark, sf):
     """Observations that are delivered twice, in batches of their own, each stored once by the ledger."""
     base = _base(spark, "ledger")
@@ -187,5 +205,5 @@ obs AS (
 SELECT offer_key, outcome, count(*) AS n FROM steps GROUP BY 1, 2"""
 
 
-QUERIES = {f.__name__: f for f in (w3_ledger_sink, w4_quiet_release, w5_silence_alarms, w11_state_retention, w12_cursor_reads, s16_monthly_table, c9_target_thresholds, c9_target_thresholds_expression)}
-ORACLE_SQL = {"w3_ledger_sink": oracle(W3_SQL), "w4_quiet_release": W4_SQL, "w5_silence_alarms": oracle(W5_SQL), "w11_state_retention": _retention_oracle(), "w12_cursor_reads": oracle(W12_SQL), "s16_monthly_table": S16T_SQL, "c9_target_thresholds": C9_SQL, "c9_target_thresholds_expression": C9_SQL}
+QUERIES = {f.__name__: f for f in (w10_digest_delay, w3_ledger_sink, w4_quiet_release, w5_silence_alarms, w11_state_retention, w12_cursor_reads, s16_monthly_table, c9_target_thresholds, c9_target_thresholds_expression)}
+ORACLE_SQL = {"w10_digest_delay": oracle(W10_SQL), "w3_ledger_sink": oracle(W3_SQL), "w4_quiet_release": W4_SQL, "w5_silence_alarms": oracle(W5_SQL), "w11_state_retention": _retention_oracle(), "w12_cursor_reads": oracle(W12_SQL), "s16_monthly_table": S16T_SQL, "c9_target_thresholds": C9_SQL, "c9_target_thresholds_expression": C9_SQL}

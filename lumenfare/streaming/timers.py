@@ -1,4 +1,5 @@
-"""Keyed state with event-time timers: silence alarms, messages held over quiet hours, and offers that are forgotten.
+"""Keyed state with event-time timers: silence alarms, messages held over quiet hours, changes handed over by run, and offers
+that are forgotten.
 
 Each processor sorts a micro-batch's rows of a key by time, so that how rows are cut into micro-batches changes nothing as
 long as they come in order of time. What a late row does is said with each. Timers survive a restart from the checkpoint.
@@ -139,6 +140,55 @@ def released(messages: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.groupBy("recipient_id", "release").transformWithStateInPandas(Held(), RELEASED, "append", "eventTime")
 
 
+#: Fixed value: seconds between a run's newest change and its hand-over.
+DELAY = 60
+HANDED = "hotel_id long, run_us long, handed_us long, change_ids array<long>"
+
+
+class Collecting(StatefulProcessor):
+    """A run's changes, which one timer hands over together; each further change sets it anew."""
+
+    def __init__(self, delay_us: int):
+        self.delay = delay_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.ids = handle.getListState("ids", "change_id long")
+        self.due = handle.getValueState("due", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = self.due.get()[0] if self.due.exists() else None
+        for frame in rows:
+            self.ids.appendList([(int(c),) for c in frame["change_id"]])
+            newest = int(frame["at"].max()) + self.delay
+            due = newest if due is None else max(due, newest)
+        self.due.update((due,))
+        # Timers count milliseconds; a run that the watermark has passed is due at once.
+        _only_timer(self.handle, max(-(-due // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ids = sorted({c for (c,) in self.ids.get()})
+        due = self.due.get()[0]
+        self.ids.clear()
+        self.due.clear()
+        yield pd.DataFrame({"hotel_id": [key[0]], "run_us": [key[1]], "handed_us": [due], "change_ids": [ids]})
+
+    def close(self) -> None:
+        pass
+
+
+def handed_over(changes: DataFrame, delay_seconds: int = DELAY, late: str = "1 hour") -> DataFrame:
+    """changes: stream of hotel_id, run_at, change_id, changed_at. Each run's changes in one row, once the delay after the newest of them is over.
+
+    Repeats of a change count once in a hand-over, and change_ids are in ascending order. Changes that come after their run was handed over are handed over by
+    themselves. A task holds one run's ids.
+    """
+    ship(changes.sparkSession)
+    rows = changes.withWatermark("changed_at", late).select("hotel_id", F.unix_micros("run_at").alias("run_us"), "change_id", F.unix_micros("changed_at").alias("at"), "changed_at")
+    return rows.groupBy("hotel_id", "run_us").transformWithStateInPandas(Collecting(delay_seconds * 1_000_000), HANDED, "append", "eventTime")
+
+
 OUTCOMES = "offer_key string, event_id long, checked_at timestamp, outcome string, old_price double, new_price double, last_price double"
 
 

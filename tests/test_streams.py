@@ -49,6 +49,20 @@ def test_held_messages_go_in_order_after_a_restart(spark, tmp_path):
     assert {r.released_us for r in got if r.place} == {int(moment(60).timestamp() * 1e6)} and sorted(r.message_id for r in got if not r.place) == [1, 2]
 
 
+def test_a_runs_changes_are_handed_over_together(spark, tmp_path):
+    base, schema = f"file://{tmp_path}", "hotel_id long, run_at timestamp, change_id long, changed_at timestamp"
+    hand = lambda s: timers.handed_over(s, late="1 minute")
+    # The newest of run 0 is at minute 5: due at 6, and the watermark stands at 5.
+    assert run(spark, base, [(1, moment(0), 7, moment(2)), (1, moment(0), 5, moment(5)), (2, moment(0), 6, moment(6))], schema, hand) == []
+    # A change and a repeat of it put off run 0 of hotel 1 until minute 7; hotel 2's is due at 7 too, the watermark at 8.
+    got = run(spark, base, [(1, moment(0), 3, moment(6)), (1, moment(0), 3, moment(6)), (1, moment(8), 9, moment(9))], schema, hand)
+    due = lambda r: (r.handed_us - int(DAY.timestamp() * 1e6)) // 60_000_000
+    assert sorted((r.hotel_id, due(r), r.change_ids) for r in got) == [(1, 7, [3, 5, 7]), (2, 7, [6])]
+    # What comes after its run's hand-over goes by itself.
+    got = run(spark, base, [(1, moment(0), 11, moment(10)), (3, moment(60), 12, moment(60))], schema, hand)
+    assert sorted((r.hotel_id, due(r), r.change_ids) for r in got)[:3] == [(1, 7, [3, 5, 7]), (1, 10, [9]), (1, 11, [11])] and len(got) == 4
+
+
 def test_forgotten_offers_start_anew(spark, tmp_path):
     base, schema = f"file://{tmp_path}", "offer_key string, checked_at timestamp, event_id long, price double, is_available boolean"
     forget = lambda s: timers.detect_with_retention(s, 3600, late="1 minute")
