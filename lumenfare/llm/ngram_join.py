@@ -2,8 +2,9 @@
 
 A document is its set of distinct word n-grams; two link when their Jaccard similarity reaches a bound. The work:
 
-1. A scan counts grams in 2^18 cells of their hashes, which gives all grams one order: those of ordinary cells first, those
-   of crowded cells (passages that many documents share) last.
+1. A scan counts grams in 2^22 cells of their hashes, which gives all grams one order: those of ordinary cells first, those
+   of crowded cells (passages that many documents share) last. Cells are fine, so that a passage of some dozen documents
+   stands out of a large corpus too.
 2. A second scan gives each text its set's size, a 128-bit key of the set, its prefix and its token bitmap. The prefix is
    the set's first size - ceil(bound * size) + 1 grams in that order: two sets that reach the bound have at least one gram
    of their prefixes in common, whatever the order is, so that no link is missed. Equal sets form one class with a number
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_groups, arrow_map, components, gram_sets, materialize, mix64, sieve, slices, utf8
 
-#: Cells that grams are counted in, as a power of two.
-CELLS = 18
+#: Cells that grams are counted in, as a power of two; counts that a task hands on, at most (its largest).
+CELLS, COUNTS = 22, 1 << 18
 #: Sets of one part of a node, at most.
 PART = 512
 #: Children of a tree's node.
@@ -59,19 +60,24 @@ def crowding(docs: DataFrame, n: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELLS, np.int64)
+        total = np.zeros(1 << CELLS, np.int32)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets):
-                total += np.bincount(_cell(gram_sets(data, offsets[lo : hi + 1], n)[0]), minlength=1 << CELLS)
+                np.add.at(total, _cell(gram_sets(data, offsets[lo : hi + 1], n)[0]), 1)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+        every = int(total.sum(dtype=np.int64))
+        if len(some) > COUNTS:
+            some = some[np.argpartition(total[some], -COUNTS)[-COUNTS:]]
+        # All that the task counted, under a number that is no cell.
+        cells, counts = np.append(some, -1).astype(np.int32), np.append(total[some].astype(np.int64), every)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
 
     counted = materialize(arrow_map(docs.select("text"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    mean = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
+    mean = (counted.where("cell < 0").agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
+    crowded = counted.where((F.col("cell") >= 0) & (F.col("n") >= max(2, 2 * mean))).select("cell", F.floor(F.log2(F.col("n") / mean)).cast("int").alias("level")).toArrow()
     out = np.zeros(1 << CELLS, np.uint8)
-    for cell, level in counted.where(F.col("n") >= 2 * mean).select("cell", F.floor(F.log2(F.col("n") / mean)).cast("int")).toLocalIterator():
-        out[cell] = level
+    out[crowded.column("cell").to_numpy()] = crowded.column("level").to_numpy()
     return out
 
 

@@ -212,6 +212,16 @@ def test_rows_are_judged_by_their_own_text(spark, part):
     assert kept[1, a] and kept[2, b] and kept[3, c + " x"] == 1 and kept[9, b + " other " + c] and not kept[9, c] and sum(kept[None, t] for t in (d, d + " end")) == 1
 
 
+def test_join_order_puts_passages_of_few_documents_last(spark):
+    # Ten documents share each passage of 60 words; their own 340 words differ, so that a prefix of rare grams meets none.
+    rng = random.Random(5)
+    word = lambda: f"{rng.randrange(1 << 40):x}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(400)]
+    texts = [(k, " ".join(word() for _ in range(340)) + " " + passages[k % 400]) for k in range(4000)]
+    classes = ngram_join.representatives(ngram_join.set_rows(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert classes.count() == 4000 and ngram_join.members(classes).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 80), (5, 5), (7, None)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
