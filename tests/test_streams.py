@@ -173,3 +173,19 @@ def test_settings_hold_from_their_time_on(spark, form):
     got = {(r.offer_key, r.event_id): r.outcome for r in getattr(detector, form)(own, own_thresholds=True).collect()}
     assert [got["a", k] for k in range(6)] == ["first_sight", "pending", "changed", "insignificant", "changed", "insignificant"]
     assert [got["b", k] for k in range(6)] == ["first_sight", "pending", "changed", "insignificant", "pending", "pending"]
+
+
+@pytest.mark.parametrize("kind", ["silence", "held", "delivery"])
+def test_state_is_kept_by_group(spark, tmp_path, kind):
+    """State values and timers, each of which costs a call, don't grow with the number of keys."""
+    from lumenfare.streaming import delivery
+
+    base = f"file://{tmp_path}"
+    rows = spark.range(4000).select(F.col("id").alias("target_id"), F.lit(moment(0)).alias("ran_at"), F.lit(10).cast("long").alias("interval_minutes"), F.col("id").alias("recipient_id"), F.col("id").alias("message_id"), F.lit(moment(0)).alias("at"), F.lit(moment(60)).alias("release_at"), F.lit(True).alias("is_active"))
+    rows.write.parquet(f"{base}/in")
+    make = {"silence": timers.silence_alarms, "held": timers.released, "delivery": lambda s: delivery.delivered(s, lambda m, k: (True, False, None))}[kind]
+    with timers.stateful(spark):
+        q = make(spark.readStream.schema(rows.schema).parquet(f"{base}/in")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    most = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    assert 0 < most <= 4 * timers.GROUPS
