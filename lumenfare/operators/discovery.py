@@ -67,7 +67,7 @@ def leaves_of(node: dict) -> Iterator[tuple[str, str | None, bool]]:
 
 
 def leaves(payloads: DataFrame) -> DataFrame:
-    """(page_id, path, n_rows, sampled, k, leaf, value, is_text): the leaves of the first objects of each payload's arrays; a payload is parsed once."""
+    """(page_id, path, n_rows, sampled, k, leaf, value, is_text): the leaves of the first objects of each payload's arrays, and the texts of all others (k from OBJECTS on); a payload is parsed once."""
     names = ("path", "n_rows", "sampled", "k", "leaf", "value", "is_text")
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
 
@@ -79,6 +79,7 @@ def leaves(payloads: DataFrame) -> DataFrame:
                     for path, rows in arrays_of_objects(payload):
                         sample = [x for x in rows[:OBJECTS] if isinstance(x, dict)]
                         found = [(path, len(rows), len(sample), k, *leaf) for k, x in enumerate(sample) for leaf in leaves_of(x)]
+                        found += [(path, len(rows), len(sample), k, *leaf) for k, x in enumerate(rows[OBJECTS:], OBJECTS) if isinstance(x, dict) for leaf in leaves_of(x) if leaf[2]]
                         of += [i] * len(found)
                         out += found
                 columns = list(zip(*out)) if out else [()] * len(names)
@@ -124,7 +125,7 @@ def page_numbers(pages: DataFrame) -> DataFrame:
 def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
     """(page_id, path, name_field, price_field, available_field, left_field, n_rows, n_names, n_prices, n_matched, n_marked, score, verified, strong, place): best arrays of each page.
 
-    payloads: page_id, payload, page_text (a page's payloads share one). Fields are told by the first twelve objects: a name
+    payloads: page_id, payload, page_text (a page's payloads share one). Fields are told by the first twelve objects (n_names counts the names of all): a name
     is text like a room's name, mostly there and mostly distinct; a price a plausible number in half of them, under a
     hinting name that is not blocked; paths through a date hold for one day only and never count. Up to eight sampled prices
     are looked up in the page's index of numbers (whole numbers, never parts of longer ones): half of them verify a
@@ -134,13 +135,14 @@ def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
     found = leaves(p)
     number = F.regexp_replace("value", "[,₹]", "").try_cast("decimal(38,10)")
     bare = F.trim("value")
-    text = F.col("is_text") & (bare != "")
-    priced = number.between(LEAST_PRICE, MOST_PRICE)
-    # Sets of twelve values at most.
+    words, first = F.col("is_text") & (bare != ""), F.col("k") < OBJECTS
+    text = first & words
+    priced = first & number.between(LEAST_PRICE, MOST_PRICE)
+    # Sets of twelve values at most, but for the names of a whole array.
     fields = found.groupBy("page_id", "path", "n_rows", "sampled", "leaf").agg(
-        F.count_if(text).alias("present"), F.bool_and(F.when(F.col("value").isNotNull(), F.col("is_text") & F.regexp_replace(bare, r"\s+", " ").rlike(NAME_LIKE))).alias("named"), F.size(F.collect_set(F.when(text, F.lower(bare)))).alias("distinct"),
+        F.count_if(text).alias("present"), F.bool_and(F.when(first & F.col("value").isNotNull(), F.col("is_text") & F.regexp_replace(bare, r"\s+", " ").rlike(NAME_LIKE))).alias("named"), F.size(F.collect_set(F.when(text, F.lower(bare)))).alias("distinct"),
         F.count_if(text & F.col("value").rlike(ROOM_WORDS)).alias("roomy"), F.count_if(priced).alias("priced"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.when(priced, F.struct("k", number.alias("price"))))), 1, VALUES), lambda x: x["price"]).alias("prices"), F.size(F.collect_set(F.when(text, bare))).cast("long").alias("names"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.when(priced, F.struct("k", number.alias("price"))))), 1, VALUES), lambda x: x["price"]).alias("prices"), F.size(F.collect_set(F.when(words, bare))).cast("long").alias("names"),
     )
     dated, half = F.col("leaf").rlike(DATED_SEGMENT), F.greatest(F.lit(1), F.expr("sampled div 2"))
     is_name = ~dated & F.coalesce("named", F.lit(False)) & (F.col("present") >= half) & ((F.col("present") <= 2) | (F.col("distinct") >= F.greatest(F.lit(2), F.expr("present div 2"))))

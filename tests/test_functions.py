@@ -248,3 +248,13 @@ def test_discovery_rules(spark):
     assert (got[5].n_matched, got[5].n_marked, got[5].strong) == (1, 1, True)
     why = lambda x: one(spark, discovery.unlearnable(F.col("x")), x=x)
     assert [why(x) for x in (None, " ", "sold out", "sold out, was ₹ 2,500", "Rs 2500", "$ 99")] == ["no_text", "no_text", "no_marked_price", "sold_out", None, "no_marked_price"]
+
+
+def test_names_of_long_arrays_are_counted_whole(spark):
+    """Fields are told by twelve objects, the names of all are counted."""
+    import json
+
+    rooms = [{"room_name": f"Room {k % 15}", "price": 1000 + k} for k in range(20)]
+    p = spark.createDataFrame([(1, json.dumps({"rooms": rooms}), "₹ 1000 ₹ 1001 ₹ 1002 ₹ 1003")], "page_id long, payload string, page_text string")
+    got = discovery.candidates(p).collect()
+    assert [(r.path, r.n_rows, r.n_names, r.n_prices, r.n_matched) for r in got] == [("rooms", 20, 15, 8, 4)]
