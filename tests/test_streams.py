@@ -189,3 +189,17 @@ def test_state_is_kept_by_group(spark, tmp_path, kind):
     q.awaitTermination()
     most = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
     assert 0 < most <= 4 * timers.GROUPS
+
+
+def test_cursor_ends_where_the_writer_tells(spark, tmp_path):
+    """The published id bounds a read, whether it is a row or a gap, and the next read begins behind it."""
+    base, seen = f"file://{tmp_path}", []
+    reader = lambda: cursor.ChangeReader(spark.createDataFrame([], "change_id long").schema, {"path": f"{base}/in", "cursor": f"{base}/cursor", "head": f"{base}/head", "step": "10"})
+    for ids, head in (([1, 4, 12], 15), ([16, 25, 26], 30)):
+        spark.createDataFrame([(k,) for k in ids], "change_id long").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        cursor.publish(f"{base}/head", head)
+        r, start = reader(), {"id": cursor._kept_id(f"{base}/cursor")}
+        while (end := r.latestOffset()) != start:
+            seen.append([i for p in r.partitions(start, end) for b in r.read(p) for i in b.column(0).to_pylist()])
+            start = end
+    assert seen == [[1, 4], [12], [16, 25], [26]]
