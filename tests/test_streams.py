@@ -203,3 +203,13 @@ def test_cursor_ends_where_the_writer_tells(spark, tmp_path):
             seen.append([i for p in r.partitions(start, end) for b in r.read(p) for i in b.column(0).to_pylist()])
             start = end
     assert seen == [[1, 4], [12], [16, 25], [26]]
+
+
+def test_expression_keeps_short_blocks(spark):
+    """The fold of a long key equals the walk, and none of its steps copies more than a block and the list of blocks."""
+    from lumenfare.operators import detector
+
+    rows = [(key, moment(k), k, 1000.0 + k * k % 7 * 60, k % 11 > 0) for key, n in (("a", 4 * detector.BLOCK), ("b", detector.BLOCK - 1), ("c", 4 * detector.BLOCK + 1)) for k in range(n)]
+    obs = spark.createDataFrame(rows, "offer_key string, checked_at timestamp, event_id long, price double, is_available boolean")
+    one, other = (sorted(tuple(r[c] for c in ("offer_key", "event_id", "outcome", "last_price", "first_seen_at")) for r in f(obs).collect()) for f in (detector.fold, detector.fold_stream))
+    assert one == other and len(one) == len(rows)
