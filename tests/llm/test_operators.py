@@ -271,6 +271,19 @@ def test_bpe_query(spark, encoder):
     assert collections.Counter((r.doc_id, r.decoded_sha256) for r in got) == texts
 
 
+def test_bpe_leaves_no_encoder_in_a_worker(spark):
+    path = __import__("public_tokenizers").path("byte_bpe_50k.tiktoken")
+    assert bpe.digest(spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")), path).count() == 40
+
+    def held(batches):
+        from lumenfare.llm import bpe as own
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(own._encoders)] * len(b), pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(40).mapInArrow(held, "n long").collect()} == {0}
+
+
 # Decontamination
 
 
@@ -614,6 +627,36 @@ def test_near_classes_of_crowded_bands_and_odd_rows(spark):
     assert fingerprint.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_classes_of_links_that_only_crowded_bands_hold(spark):
+    # One long opening, tails of two and two alike but for every ninth word: no part holds the opening's bands.
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+    head, texts = words(110), []
+    for k in range(30):
+        tail = words(60)
+        texts.append((10 * k, " ".join(head + tail)))
+        for at in range(4, len(tail), 9):
+            tail[at] = words(1)[0]
+        texts.append((10 * k + 1, " ".join(head + tail)))
+    want, pairs = by_links(texts)
+    # Whatever is linked shares a band here, so nothing may be lost, however bands and crowds are dealt.
+    least = {w: min(d for v, (d, _) in zip(want, texts) if v == w) for w in want}
+    got = fingerprint.near_classes(spark.createDataFrame(texts, "doc_id long, text string"), part=4)
+    assert len(pairs) >= 15 and {r.doc_id: r.class_id for r in got.collect()} == {d: least[w] for w, (d, _) in zip(want, texts)}
+
+
+def test_crowded_bands_are_compared_whole(spark, monkeypatch):
+    prints = list(dict.fromkeys(fingerprint.fingerprints([fixtures.prose(k, 60 + 3 * k) + end for k in range(40) for end in ("", " and five other words more")])))
+    level = max(int(f[:2], 16) for f in prints)
+    own = [(k, f) for k, f in enumerate(prints) if int(f[:2], 16) >= level - 1]
+    want = {(a, b) for a, f in own for b, g in own if a < b and fingerprint.likeness(f, g) >= 0.8}
+    frame = spark.createDataFrame([(7, level, k, len(own), f) for k, f in own], "key long, level int, name long, n long, fingerprint string")
+    monkeypatch.setattr(fingerprint, "HELD", 5)
+    for part, crowd in ((4, 7), (100, 100)):
+        got = fingerprint._crowded_links(frame, frame, frame.select("name", "fingerprint"), 0.8, part, crowd)
+        assert len(want) >= 10 and sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 # WARC
 
 
