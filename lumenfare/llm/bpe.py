@@ -238,7 +238,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str = USUAL_PATTERN) -> Encoder:
-    """The encoder of a rank file, built once in each worker."""
+    """The encoder of a rank file, built once and kept until a task that used it ends."""
     if (path, pattern) not in _encoders:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -246,6 +246,11 @@ def encoder(path: str, pattern: str = USUAL_PATTERN) -> Encoder:
     return _encoders[path, pattern]
 
 
+def forget(path: str, pattern: str = USUAL_PATTERN) -> None:
+    """Drop the encoder of a rank file, with the pieces that it remembers."""
+    _encoders.pop((path, pattern), None)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str = USUAL_PATTERN) -> DataFrame:
     """docs with `_ids` (binary, little-endian unsigned 32-bit) and `_decoded` (binary, decoded from those ids) added; no shuffle."""
     names = docs.columns
@@ -256,6 +261,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str = USUAL_PATTERN) -> Data
         for part in (p for batch in batches for p in rows_at_once(batch, at)):
             ids = own.encode_all([t or "" for t in part.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], [*names, "_ids", "_decoded"])
+        # The worker lives on and may serve other operators: the encoder and the pieces it remembers go with the task.
+        forget(path, pattern)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return arrow_map(docs, run, f"{kinds}, _ids binary, _decoded binary")
