@@ -69,3 +69,23 @@ def test_old_files_go_but_those_in_use(spark, tmp_path):
     read = re.findall(r"ReadSchema: struct<([^>]*)>", gone._jdf.queryExecution().executedPlan().toString())
     assert any("modificationTime" in x for x in read) and not any("content" in x for x in read)
     assert artifacts.prune(gone) == 3 and sorted(f for _, _, fs in os.walk(tmp_path) for f in fs) == ["kept.html", "new.png"]
+
+
+def test_cards_of_plain_pages_need_no_parser_and_equal_its_findings(monkeypatch):
+    import random
+
+    from lumenfare.sources import cards
+
+    rng = random.Random(3)
+    texts = ["Rs. 1,200", "Room A", "Suite", "  ", "x & y", "&amp; 3", "€ 55 and Rs. 9", "a < b", "inclusive", "> "]
+    marks = ["<br>", "</div>", "<b>", "<!-- x -->", "<IMG src=x>", "<script>", "<title>", ""]
+    item = lambda: f'<li class="room"><h3>{rng.choice(texts)}</h3>{rng.choice(marks)}<p class="cost">{rng.choice(texts)}</p>{rng.choice(texts)}</li>'
+    pages = ["<ul>" + "".join(item() for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    got = [cards.find_cards(p) for p in pages]
+    with monkeypatch.context() as m:
+        # Nothing is a plain tag: every page goes through the parser.
+        m.setattr(cards, "_PLAIN", __import__("re").compile("(\\Z.)"))
+        assert got == [cards.find_cards(p) for p in pages] and sum(x is not None for x in got) > 100
+    monkeypatch.setattr(cards._Tree, "feed", lambda *_: 1 / 0)
+    plain = "<ul>" + "".join(f'<li class="room"><h3>Room {k}</h3><p class="cost">Rs. 2,{k}00</p></li>' for k in range(3)) + "</ul>"
+    assert cards.find_cards(plain)["n_cards"] == 3
