@@ -258,3 +258,17 @@ def test_names_of_long_arrays_are_counted_whole(spark):
     p = spark.createDataFrame([(1, json.dumps({"rooms": rooms}), "₹ 1000 ₹ 1001 ₹ 1002 ₹ 1003")], "page_id long, payload string, page_text string")
     got = discovery.candidates(p).collect()
     assert [(r.path, r.n_rows, r.n_names, r.n_prices, r.n_matched) for r in got] == [("rooms", 20, 15, 8, 4)]
+
+
+def test_long_texts_are_masked_and_lowered_once(spark):
+    import re
+
+    from lumenfare import registry
+    from lumenfare.sources import payloads
+    from tests.oracle import SF
+
+    plan = registry.QUERIES["i7_error_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3
+    walls = spark.createDataFrame([("Just a moment", "Verify you are human"), (None, None), ("x", "ACCESS denied")], "title string, body string").select(payloads.bot_wall(F.col("title"), F.col("body")).alias("sign"))
+    assert [r.sign for r in walls.collect()] == ["verify you are human", None, "access denied"]
+    assert not re.search(r"lambdafunction\(.*lower\(", walls._jdf.queryExecution().optimizedPlan().toString())
