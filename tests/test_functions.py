@@ -272,3 +272,11 @@ def test_long_texts_are_masked_and_lowered_once(spark):
     walls = spark.createDataFrame([("Just a moment", "Verify you are human"), (None, None), ("x", "ACCESS denied")], "title string, body string").select(payloads.bot_wall(F.col("title"), F.col("body")).alias("sign"))
     assert [r.sign for r in walls.collect()] == ["verify you are human", None, "access denied"]
     assert not re.search(r"lambdafunction\(.*lower\(", walls._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_notifications_hash_each_digest_once(spark):
+    from lumenfare import registry
+    from tests.oracle import SF
+
+    plan = registry.QUERIES["n7_notifications"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in plan and "array_join(" not in plan
