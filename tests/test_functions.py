@@ -280,3 +280,26 @@ def test_notifications_hash_each_digest_once(spark):
 
     plan = registry.QUERIES["n7_notifications"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2(" not in plan and "array_join(" not in plan
+
+
+def test_digests_are_dealt_by_list_and_written_once(spark, tmp_path, monkeypatch):
+    import hashlib
+    import os
+
+    from lumenfare.operators import routing
+
+    ids = spark.range(8 * 30_000).select((F.col("id") + 5_000_000).alias("change_id"), (F.col("id") % 8).alias("hotel_id"), F.lit("changed").alias("direction"), F.lit(9.0).alias("delta"), F.lit(9.0).alias("delta_pct"))
+    people = spark.range(2400).select(F.col("id").alias("recipient_id"), F.lit("email").alias("channel"), F.lit(True).alias("is_active"))
+    asked = people.select("recipient_id", (F.col("recipient_id") % 8).alias("hotel_id"), F.lit(5.0).alias("min_delta_abs"), F.lit(None).cast("double").alias("min_delta_pct"), F.lit(True).alias("is_active"))
+    routing.digests(ids, asked, people).write.parquet(f"{tmp_path}/out")
+    # 576 MB of lists, of which eight are distinct.
+    files = [os.path.getsize(f"{tmp_path}/out/{f}") for f in os.listdir(f"{tmp_path}/out") if f.endswith(".parquet")]
+    assert len(files) > 1 and sum(files) < 20_000_000
+    small = lambda: routing.digests(ids.where("change_id % 1000 < 8"), asked, people).withColumn("task", F.spark_partition_id()).collect()
+    whole = {r[:6] for r in small()}
+    monkeypatch.setattr(routing, "PART", 20)
+    dealt = small()
+    assert {r[:6] for r in dealt} == whole and len(dealt) == len(whole) == 2400 and min(len({r.task for r in dealt if r.hotel_id == h}) for h in range(8)) > 1
+    for r in dealt[::100]:
+        want = ",".join(str(k) for k in range(5_000_000, 5_240_000) if k % 1000 < 8 and k % 8 == r.hotel_id)
+        assert (r.change_ids, r.n_changes, r.dedupe_key) == (want, want.count(",") + 1, hashlib.sha256(f"v1|{r.recipient_id}|email|{want}".encode()).hexdigest())
