@@ -205,11 +205,17 @@ def detect_engine(url: Column, engines: tuple[tuple[str, tuple[str, ...], str],
     return F.struct(name.alias("engine"), external.alias("external_id"))
 
 
-def variant_path(path: Column) -> Column:
-    """A dotted path held in a column as a variant's path: digits are list places, the empty path is the payload; null for names that no path can hold."""
-    step = lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("["), x, F.lit("]"))).when(~F.contains(x, F.lit("'")), F.concat(F.lit("['"), x, F.lit("']"))).when(~F.contains(x, F.lit('"')), F.concat(F.lit('["'), x, F.lit('"]')))
-    steps = F.transform(F.split(path, r"\."), step)
-    return F.when(path == "", "$").when(F.exists(steps, lambda x: x.isNull()), None).otherwise(F.concat(F.lit("$"), F.array_join(steps, "")))
+def steps(path: Column) -> Column:
+    """A dotted path held in a column as array of struct(name, place), one of them set: digits are list places; the empty path has no steps."""
+    step = lambda x: F.struct(F.when(~x.rlike(r"^\d+$"), x).alias("name"), F.when(x.rlike(r"^\d+$"), x.try_cast("int")).alias("place"))
+    return F.transform(F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(path, r"\.")), step)
+
+
+def at(value: Column, path: Column, kind: str) -> Column:
+    """What lies at `steps` of a variant; null where nothing of the kind does. A path held in a column, given as text, would be parsed anew for each value."""
+    own = lambda v, k: F.try_variant_get(v, F.lit("$"), k)
+    down = lambda v, s: F.when(s["name"].isNull(), F.get(own(v, "array<variant>"), s["place"])).otherwise(F.try_element_at(own(v, "map<string,variant>"), s["name"]))
+    return own(F.aggregate(path, value, down), kind)
 
 
 def offers_by_config(payloads: DataFrame, configs: DataFrame, key: str, currency: str = "INR") -> DataFrame:
@@ -220,10 +226,9 @@ def offers_by_config(payloads: DataFrame, configs: DataFrame, key: str, currency
     configuration, without the list, or that is no JSON has none. Configurations are few beside payloads; which side moves
     is the optimizer's choice.
     """
-    paths = F.map_from_entries(F.array(*(F.struct(F.lit(f), variant_path(F.try_element_at("fields", F.lit(f)))) for f in FIELDS)))
-    own = configs.select(key, variant_path(F.col("rooms_path")).alias("_rooms"), paths.alias("_paths"))
+    paths = F.struct(*(steps(F.try_element_at("fields", F.lit(f))).alias(f) for f in FIELDS))
+    own = configs.select(key, steps(F.col("rooms_path")).alias("_rooms"), paths.alias("_paths"))
     met = payloads.select(key, "page_id", F.try_parse_json("payload").alias("_v")).join(own, key)
-    rooms = met.select(key, "page_id", "_paths", F.posexplode(F.try_variant_get("_v", F.col("_rooms"), "array<variant>")).alias("place", "_room"))
-    value = lambda f: F.try_variant_get("_room", F.element_at("_paths", F.lit(f)), "string")
-    text = rooms.select(key, "page_id", "place", *(value(f).alias(f"_{f}") for f in FIELDS))
+    rooms = met.select(key, "page_id", "_paths", F.posexplode(at(F.col("_v"), F.col("_rooms"), "array<variant>")).alias("place", "_room"))
+    text = rooms.select(key, "page_id", "place", *(at(F.col("_room"), F.col(f"_paths.{f}"), "string").alias(f"_{f}") for f in FIELDS))
     return _offer(text, [key, "page_id", "place"], currency)

@@ -9,9 +9,10 @@ from ..operators import discovery, repair
 from . import derive
 
 
-def _rooms(spark, sf):
-    """Each order's lineitems as rooms, in order."""
+def _rooms(spark, sf, only=None):
+    """Each order's lineitems as rooms, in order; of all orders or of those whose l_orderkey is in `only`."""
     li = derive.load(spark, sf, "lineitem")
+    li = li if only is None else li.join(only, "l_orderkey", "left_semi")
     room = F.struct("l_linenumber", F.concat(F.lit("Room "), F.col("l_partkey").cast("string")).alias("name"), F.round(F.col("l_extendedprice") + 100, 2).alias("price"), (1000 + F.col("l_partkey") % 9000).cast("string").alias("whole"))
     return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(room)).alias("rooms"))
 
@@ -22,10 +23,12 @@ def d11_offers_by_config(spark, sf):
     one = F.to_json(F.struct(F.struct(F.transform("rooms", lambda r: F.struct(r["name"].alias("room_name"), r["price"].alias("price"))).alias("rooms")).alias("data")))
     other = F.to_json(F.struct(F.transform("rooms", lambda r: F.struct(r["name"].alias("title"), F.struct(F.struct(r["price"].alias("sell rate")).alias("today")).alias("rates"))).alias("list")))
     text = F.array_join(F.transform("rooms", lambda r: F.concat(F.lit("₹ "), r["price"].cast("string"))), " ")
-    pages = _rooms(spark, sf).select(site.alias("site"), F.col("l_orderkey").alias("page_id"), F.when(site % 2 == 0, one).otherwise(other).alias("payload"), text.alias("page_text"))
-    first = pages.groupBy("site").agg(F.min_by(F.struct("payload", "page_text"), "page_id").alias("p")).select(F.col("site").alias("page_id"), "p.payload", "p.page_text")
+    pages = lambda rooms: rooms.select(site.alias("site"), F.col("l_orderkey").alias("page_id"), F.when(site % 2 == 0, one).otherwise(other).alias("payload"), text.alias("page_text"))
+    # A site's first page is told by the keys, so that only its own is made for learning.
+    firsts = derive.load(spark, sf, "lineitem").groupBy(site.alias("site")).agg(F.min("l_orderkey").alias("l_orderkey")).select("l_orderkey")
+    first = pages(_rooms(spark, sf, firsts)).select(F.col("site").alias("page_id"), "payload", "page_text")
     learnt = discovery.candidates(first, keep=1).where("strong").select(F.col("page_id").alias("site"), F.col("path").alias("rooms_path"), F.create_map(F.lit("room_name"), F.col("name_field"), F.lit("price_inclusive"), F.col("price_field")).alias("fields"))
-    return mapping.offers_by_config(pages, learnt, "site").select("site", "page_id", F.col("place").cast("long").alias("place"), "_o.raw_room_name", F.col("_o.price_inclusive").cast("double").alias("price"), "_o.error")
+    return mapping.offers_by_config(pages(_rooms(spark, sf)), learnt, "site").select("site", "page_id", F.col("place").cast("long").alias("place"), "_o.raw_room_name", F.col("_o.price_inclusive").cast("double").alias("price"), "_o.error")
 
 
 D11_SQL = """

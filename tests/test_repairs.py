@@ -8,9 +8,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfare import registry
 from lumenfare.functions import mapping
 from lumenfare.operators import repair
 from lumenfare.sources import artifacts
+from tests.oracle import SF
 
 
 def test_configurations_are_data(spark):
@@ -89,3 +91,15 @@ def test_cards_of_plain_pages_need_no_parser_and_equal_its_findings(monkeypatch)
     monkeypatch.setattr(cards._Tree, "feed", lambda *_: 1 / 0)
     plain = "<ul>" + "".join(f'<li class="room"><h3>Room {k}</h3><p class="cost">Rs. 2,{k}00</p></li>' for k in range(3)) + "</ul>"
     assert cards.find_cards(plain)["n_cards"] == 3
+
+
+def test_paths_of_configurations_are_not_parsed_for_each_value(spark):
+    payload = json.dumps({"d": [1, {"my.x": 1, "7": "key", "x": [{"n": "a"}, {"n": {"k": [5, 2.50, None, True]}}]}], "": {"": "e"}})
+    v = spark.createDataFrame([(p, payload) for p in ("d.1.x.1.n.k.1", "d.1.x.1.n.k", "d.1.x.1.n.k.2", "d.1.x.1.n.k.3", "d.1.x.1.n.k.4", "d.1.7", "d.x", "d.1.x.n", "..", ".", "d.99999999999", "", None, "d.0.a")], "path string, payload string")
+    got = {r.path: r.v for r in v.select("path", mapping.at(F.try_parse_json("payload"), mapping.steps(F.col("path")), "string").alias("v")).collect()}
+    whole = got.pop("")
+    assert json.loads(whole) == json.loads(payload)
+    assert {k: x for k, x in got.items() if x is not None} == {"d.1.x.1.n.k.1": "2.5", "d.1.x.1.n.k": "[5,2.5,null,true]", "d.1.x.1.n.k.3": "true", ".": "e"}
+    plan = registry.QUERIES["d11_offers_by_config"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Every path into a variant is a constant; only first pages are made for learning.
+    assert plan.count("variant_get(") == plan.count(", $, ") > 0 and "min_by" not in plan
