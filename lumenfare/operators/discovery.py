@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import ship
 
@@ -49,7 +52,7 @@ def arrays_of_objects(payload: str | None) -> Iterator[tuple[str, list]]:
             stack += [(f"{path}.{k}" if path else k, v, depth + 1) for k, v in reversed(list(node.items()))]
 
 
-def leaves_of(node: dict) -> Iterator[tuple[str, str | None, bool]]:
+def leaves_of(node: dict) -> Iterator[tuple[str, str | int | float | None]]:
     """An object's leaves by dotted path, objects within objects up to LEAF_DEPTH, lists of objects by their first; true and false have no value."""
     stack = [("", node, 0)]
     while stack:
@@ -63,48 +66,156 @@ def leaves_of(node: dict) -> Iterator[tuple[str, str | None, bool]]:
             elif isinstance(v, list) and v and isinstance(v[0], dict):
                 stack.append((f"{leaf}.0", v[0], depth + 1))
             else:
-                yield leaf, None if v is None or isinstance(v, (bool, list)) else str(v), isinstance(v, str)
+                yield leaf, None if isinstance(v, (bool, list)) else v
 
 
-def leaves(payloads: DataFrame) -> DataFrame:
-    """(page_id, path, n_rows, sampled, k, leaf, value, is_text): the leaves of the first objects of each payload's arrays, and the texts of all others (k from OBJECTS on); a payload is parsed once."""
-    names = ("path", "n_rows", "sampled", "k", "leaf", "value", "is_text")
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+#: The patterns as Java reads them: classes are ASCII, word bounds are not, and an end may stand before a line's end.
+_END = r"(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z"
+_DATED, _NAME = (re.compile(x.replace("$", _END), re.ASCII) for x in (DATED_SEGMENT, NAME_LIKE))
+_ROOM, _SPACES = re.compile(ROOM_WORDS.removeprefix("(?i)")), re.compile(r"\s+", re.ASCII)
+_NUMBER, _MARKED = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?"), re.compile(MARKED_PRICE)
+_DECIMAL = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,9})?")
+_BELOW = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+_BLANK, _PLACES = "".join(map(chr, range(33))), Decimal("1e-10")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part, of, out = batch.slice(lo, 256), [], []
-                for i, payload in enumerate(part.column(1).to_pylist()):
-                    for path, rows in arrays_of_objects(payload):
-                        sample = [x for x in rows[:OBJECTS] if isinstance(x, dict)]
-                        found = [(path, len(rows), len(sample), k, *leaf) for k, x in enumerate(sample) for leaf in leaves_of(x)]
-                        found += [(path, len(rows), len(sample), k, *leaf) for k, x in enumerate(rows[OBJECTS:], OBJECTS) if isinstance(x, dict) for leaf in leaves_of(x) if leaf[2]]
-                        of += [i] * len(found)
-                        out += found
-                columns = list(zip(*out)) if out else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int32())), *(pa.array(c, kind) for c, kind in zip(columns, kinds))], ["page_id", *names])
 
-    ship(payloads.sparkSession)
-    kind = payloads.schema["page_id"].dataType.simpleString()
-    return payloads.select("page_id", "payload").mapInArrow(run, f"page_id {kind}, path string, n_rows int, sampled int, k int, leaf string, value string, is_text boolean")
+def hint_rank(path: str, hints: tuple[str, ...]) -> int | None:
+    """Place of the first hint that the path's last part contains (neither has - or _), or None."""
+    leaf = re.sub("[_-]", "", path.rsplit(".", 1)[-1].lower())
+    return next((k for k, h in enumerate(hints) if h.replace("_", "") in leaf), None)
 
 
-def _last(path: Column, marks: str) -> Column:
-    return F.regexp_replace(F.lower(F.element_at(F.split(path, r"\."), -1)), marks, "")
+def blocked(path: str) -> bool:
+    """Whether a field is never the price, whatever it holds."""
+    leaf = path.rsplit(".", 1)[-1].lower().replace("_", "")
+    return any(b.replace("_", "") in leaf for b in PRICE_BLOCKLIST)
+
+
+@lru_cache(maxsize=4096)
+def roles(leaf: str) -> tuple[int, int | None, int | None, int | None] | None:
+    """What a field may be by its path: its ranks as a name and, if it can be one, as a price, as availability and as what is left; None for a field of one day."""
+    if _DATED.search(leaf):
+        return None
+    named = hint_rank(leaf, NAME_HINTS)
+    return 50 if named is None else named, None if blocked(leaf) else hint_rank(leaf, PRICE_HINTS), hint_rank(leaf, AVAILABLE_HINTS), hint_rank(leaf, COUNT_HINTS)
+
+
+def plausible_price(value: str | int | float) -> Decimal | None:
+    """A value as a price of ten decimal places, if it is a plausible one."""
+    if isinstance(value, str):
+        bare = value.replace(",", "").replace("₹", "").strip(_BLANK)
+        if not _DECIMAL.fullmatch(bare):
+            return None
+        value = Decimal(bare)
+    # Anything else is far off, and need not be rounded.
+    if not 99 < value < MOST_PRICE + 1:
+        return None
+    number = Decimal(str(value)).quantize(_PLACES, ROUND_HALF_UP)
+    return number if LEAST_PRICE <= number <= MOST_PRICE else None
+
+
+class Field:
+    """What the objects of one array hold under one path, as far as it can take a part."""
+
+    __slots__ = ("may", "present", "named", "distinct", "roomy", "prices", "names")
+
+    def __init__(self, leaf: str):
+        self.may, self.present, self.named, self.distinct, self.roomy, self.prices, self.names = roles(leaf), 0, None, set(), 0, [], set()
+
+    def put(self, k: int, value: str | int | float) -> None:
+        """One value; of objects from OBJECTS on only a text's, which counts among the names."""
+        if isinstance(value, str):
+            bare = value.strip(" ")
+            if bare:
+                self.names.add(bare)
+            if k >= OBJECTS:
+                return
+            if bare:
+                self.present += 1
+                self.distinct.add(bare.lower())
+                self.roomy += _ROOM.search(value.lower() if value.isascii() else value.translate(_BELOW)) is not None
+            if self.named is not False:
+                self.named = _NAME.match(_SPACES.sub(" ", bare)) is not None
+        elif k >= OBJECTS:
+            return
+        else:
+            self.named = False
+        if self.may[1] is not None:
+            price = plausible_price(value)
+            if price is not None:
+                self.prices.append((k, price))
+
+
+def fields_of(payloads: list[str]) -> dict[tuple[str, int, int], dict[str, Field]]:
+    """The fields of a page's arrays by (path, number of rows, sampled objects); each payload is parsed once."""
+    out: dict[tuple[str, int, int], dict[str, Field]] = {}
+    for payload in payloads:
+        for path, rows in arrays_of_objects(payload):
+            sample = [x for x in rows[:OBJECTS] if isinstance(x, dict)]
+            fields = out.setdefault((path, len(rows), len(sample)), {})
+            for k, x in enumerate(sample + [x for x in rows[OBJECTS:] if isinstance(x, dict)] if len(rows) > OBJECTS else sample):
+                late = k >= len(sample)
+                for leaf, value in leaves_of(x):
+                    if late and not isinstance(value, str):
+                        continue
+                    f = fields.get(leaf)
+                    if f is None:
+                        f = fields[leaf] = Field(leaf)
+                    if f.may is not None and value is not None:
+                        f.put(OBJECTS if late else k, value)
+    return out
 
 
-def hint_rank(path: Column, hints: tuple[str, ...]) -> Column:
-    """Place of the first hint that the path's last part contains (neither has - or _), or null."""
-    leaf, out = _last(path, "[_-]"), F.lit(None).cast("int")
-    for k, h in reversed(list(enumerate(hints))):
-        out = F.when(F.contains(leaf, F.lit(h.replace("_", ""))), k).otherwise(out)
+def numbers_of(text: str | None) -> dict[str, bool]:
+    """A page's numbers, whole and without fraction, and whether a currency stands beside them."""
+    out: dict[str, bool] = {}
+    for pattern, marked in ((_NUMBER, False), (_MARKED, True)):
+        for n in pattern.findall(text or ""):
+            bare = n.replace(",", "")
+            whole = bare.partition(".")[0]
+            out.setdefault(whole, False)
+            exact = bare.rstrip("0").rstrip(".") if whole != bare else bare
+            out[exact] = out.get(exact, False) or marked
     return out
 
 
-def blocked(path: Column) -> Column:
-    """Whether a field is never the price, whatever it holds."""
-    return reduce(or_, (F.contains(_last(path, "_"), F.lit(b.replace("_", ""))) for b in PRICE_BLOCKLIST))
+def best_arrays(payloads: list[str], text: str | None, keep: int) -> list[tuple]:
+    """A page's candidates, best first, as `candidates` gives them."""
+    names, prices, rest = {}, {}, {}
+    for (path, n_rows, sampled), fields in fields_of(payloads).items():
+        half, at = max(1, sampled // 2), (path, n_rows)
+        for leaf, f in fields.items():
+            may = f.may
+            if may is None:
+                continue
+            if f.named and f.present >= half and (f.present <= 2 or len(f.distinct) >= max(2, f.present // 2)):
+                names.setdefault(at, []).append((-f.roomy, may[0], leaf, len(f.names)))
+            if may[1] is not None and len(f.prices) >= half:
+                prices.setdefault(at, []).append((may[1], leaf, [p for _, p in sorted(f.prices)[:VALUES]]))
+            for i in (2, 3):
+                if may[i] is not None:
+                    rest.setdefault((at, i), []).append((may[i], leaf))
+    best = [(at, min(names[at]), min(prices[at])) for at in names if at in prices]
+    if not best:
+        return []
+    # A path's sampled prices meet the page's numbers.
+    index, hits = numbers_of(text), {}
+    for (path, _), _, (_, _, amounts) in best:
+        for k, amount in enumerate(amounts):
+            exact = f"{amount:f}".rstrip("0").rstrip(".")
+            for form in (exact, str(int(amount))):
+                if form in index:
+                    own = hits.setdefault(path, {})
+                    own[k] = own.get(k, False) or index[form]
+    out = []
+    for (path, n_rows), (less, _, name, n_names), (rank, price, amounts) in best:
+        own = hits.get(path, {})
+        marked, verified = sum(own.values()), len(own) * 2 >= len(amounts)
+        available, left = (min(rest[(path, n_rows), i])[1] if ((path, n_rows), i) in rest else None for i in (2, 3))
+        score = -3.0 * less + (10 - min(rank, 10)) + min(n_rows, 12) * 0.4 + (0.0 if available is None and left is None else 4.0) + (25.0 if verified else 0.0)
+        out.append((path, name, price, available, left, n_rows, n_names, len(amounts), len(own), marked, float(Decimal(repr(score)).quantize(Decimal("0.01"), ROUND_HALF_UP)), verified, verified and marked > 0))
+    out.sort(key=lambda x: (-x[10], x[0]))
+    return [(*x, place) for place, x in enumerate(out[:keep], 1)]
 
 
 def price_digits(number: Column) -> Column:
@@ -129,42 +240,51 @@ def candidates(payloads: DataFrame, keep: int = 4) -> DataFrame:
     is text like a room's name, mostly there and mostly distinct; a price a plausible number in half of them, under a
     hinting name that is not blocked; paths through a date hold for one day only and never count. Up to eight sampled prices
     are looked up in the page's index of numbers (whole numbers, never parts of longer ones): half of them verify a
-    candidate, and one with a currency beside it does so strongly. Page texts are read once each.
+    candidate, and one with a currency beside it does so strongly. A page is judged in one go: its payloads are parsed and its
+    text is read once each, and a task holds one page's.
     """
-    p = payloads.where("payload is not null")
-    found = leaves(p)
-    number = F.regexp_replace("value", "[,₹]", "").try_cast("decimal(38,10)")
-    bare = F.trim("value")
-    words, first = F.col("is_text") & (bare != ""), F.col("k") < OBJECTS
-    text = first & words
-    priced = first & number.between(LEAST_PRICE, MOST_PRICE)
-    # Sets of twelve values at most, but for the names of a whole array.
-    fields = found.groupBy("page_id", "path", "n_rows", "sampled", "leaf").agg(
-        F.count_if(text).alias("present"), F.bool_and(F.when(first & F.col("value").isNotNull(), F.col("is_text") & F.regexp_replace(bare, r"\s+", " ").rlike(NAME_LIKE))).alias("named"), F.size(F.collect_set(F.when(text, F.lower(bare)))).alias("distinct"),
-        F.count_if(text & F.col("value").rlike(ROOM_WORDS)).alias("roomy"), F.count_if(priced).alias("priced"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.when(priced, F.struct("k", number.alias("price"))))), 1, VALUES), lambda x: x["price"]).alias("prices"), F.size(F.collect_set(F.when(words, bare))).cast("long").alias("names"),
-    )
-    dated, half = F.col("leaf").rlike(DATED_SEGMENT), F.greatest(F.lit(1), F.expr("sampled div 2"))
-    is_name = ~dated & F.coalesce("named", F.lit(False)) & (F.col("present") >= half) & ((F.col("present") <= 2) | (F.col("distinct") >= F.greatest(F.lit(2), F.expr("present div 2"))))
-    is_price = ~dated & ~blocked(F.col("leaf")) & hint_rank(F.col("leaf"), PRICE_HINTS).isNotNull() & (F.col("priced") >= half)
-    rank = lambda hints: hint_rank(F.col("leaf"), hints).alias("rank")
-    hinted = lambda hints: F.min(F.when(~dated & rank(hints).isNotNull(), F.struct(rank(hints), "leaf")))["leaf"]
-    best = fields.groupBy("page_id", "path", "n_rows").agg(
-        F.min(F.when(is_name, F.struct((-F.col("roomy")).alias("less"), F.coalesce(rank(NAME_HINTS), F.lit(50)).alias("rank"), "leaf", "names"))).alias("name"), F.min(F.when(is_price, F.struct(rank(PRICE_HINTS), "leaf", "prices"))).alias("price"),
-        hinted(AVAILABLE_HINTS).alias("available_field"), hinted(COUNT_HINTS).alias("left_field"),
-    ).where("name is not null and price is not null")
-    sampled = best.select("page_id", "path", F.posexplode("price.prices").alias("k", "amount"))
-    exact = price_digits(F.col("amount").cast("string"))
-    forms = sampled.select("page_id", "path", "k", F.explode(F.array_distinct(F.array(exact, F.floor("amount").cast("string")))).alias("number"))
-    met = forms.join(page_numbers(p.groupBy("page_id").agg(F.max("page_text").alias("page_text"))), ["page_id", "number"])
-    hits = met.groupBy("page_id", "path", "k").agg(F.bool_or("marked").alias("marked")).groupBy("page_id", "path").agg(F.count("*").alias("n_matched"), F.count_if("marked").alias("n_marked"))
-    both = best.join(hits, ["page_id", "path"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)).cast("long")).withColumn("n_marked", F.coalesce("n_marked", F.lit(0)).cast("long"))
-    verified = F.col("n_matched") * 2 >= F.size("price.prices")
-    more = F.col("available_field").isNotNull() | F.col("left_field").isNotNull()
-    score = -3.0 * F.col("name.less") + (10 - F.least("price.rank", F.lit(10))) + F.least("n_rows", F.lit(12)) * 0.4 + F.when(more, 4.0).otherwise(0.0) + F.when(verified, 25.0).otherwise(0.0)
-    out = both.select("page_id", "path", F.col("name.leaf").alias("name_field"), F.col("price.leaf").alias("price_field"), "available_field", "left_field", "n_rows", F.col("name.names").alias("n_names"), F.size("price.prices").cast("long").alias("n_prices"), "n_matched", "n_marked", F.round(score, 2).alias("score"), verified.alias("verified"), (verified & (F.col("n_marked") > 0)).alias("strong"))
-    turn = Window.partitionBy("page_id").orderBy(F.desc("score"), "path")
-    return out.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= keep)
+    kind = payloads.schema["page_id"].dataType.simpleString()
+    schema = "path string, name_field string, price_field string, available_field string, left_field string, n_rows int, n_names bigint, n_prices bigint, n_matched bigint, n_marked bigint, score double, verified boolean, strong boolean, place int"
+    arrow = pa.schema([*to_arrow_schema(payloads.select("page_id").schema), *to_arrow_schema(StructType.fromDDL(schema))])
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | None]:
+        """Each page whole, and None after each batch."""
+        now, held, text = None, [], None
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                for page, payload, about in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                    if held and page != now:
+                        yield now, held, text
+                        held, text = [], None
+                    now = page
+                    held.append(payload)
+                    # A null page_id is no page's, so that nothing is found in its text.
+                    if page is not None and about is not None and (text is None or about > text):
+                        text = about
+                yield None
+        if held:
+            yield now, held, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)), arrow)], schema=arrow)
+            out.clear()
+            return batch
+
+        for page in pages(batches):
+            if page is not None:
+                out += [(page[0], *x) for x in best_arrays(page[1], page[2], keep)]
+            elif out:
+                yield made()
+        if out:
+            yield made()
+
+    ship(payloads.sparkSession)
+    # The window's only use is that a page's rows come together, without a shuffle where they are already dealt by page.
+    together = payloads.where("payload is not null").withColumn("_turn", F.row_number().over(Window.partitionBy("page_id").orderBy("page_id")))
+    return together.where("_turn > 0").select("page_id", "payload", "page_text").mapInArrow(run, f"page_id {kind}, {schema}")
 
 
 def unlearnable(text: Column) -> Column:

@@ -250,6 +250,28 @@ def test_discovery_rules(spark):
     assert [why(x) for x in (None, " ", "sold out", "sold out, was ₹ 2,500", "Rs 2500", "$ 99")] == ["no_text", "no_text", "no_marked_price", "sold_out", None, "no_marked_price"]
 
 
+def test_pages_are_judged_in_one_go(spark):
+    """A page's rows are shuffled once, and its values are never rows of their own."""
+    from lumenfare import registry
+    from tests.oracle import SF
+
+    plan = registry.QUERIES["d7_discover_arrays"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_discovery_reads_values_as_columns_do(spark):
+    """Prices and names are told by Python; the rules are those of Spark's casts and patterns."""
+    values = ["100", "99.99999999999", "99.9999999999", "500,000", "500000.00000000001", "500001", "₹ 1,234.50", " 120 ", "\t120\n", "1_000", "1e3", "5E+2", "+150.", ".5e3", "1e", "nan", "inf", "١٢٣", "120d", "0x99", "\u00a0120", "--120", "1e400", ""]
+    names = ["Deluxe Room", "Deluxe\u00a0Room", "Suite\u2028", "Suite \n", "Zimmer für zwei", "Bed", "AB", "9 Beds", "x" * 80, "x" * 81, "ſuite", "twin-bed", "Süd roomé", "éroom", "NON  AC", "K\u0131ng", "", "2024-01-05\n", "a.20240105.b", "20240105\u0085"]
+    number = F.regexp_replace("value", "[,₹]", "").try_cast("decimal(38,10)")
+    bare = F.regexp_replace(F.trim("value"), r"\s+", " ")
+    rows = spark.createDataFrame([(v,) for v in values + names], "value string").select("value", F.when(number.between(discovery.LEAST_PRICE, discovery.MOST_PRICE), number).alias("price"), bare.rlike(discovery.NAME_LIKE).alias("named"), F.col("value").rlike(discovery.ROOM_WORDS).alias("roomy"), F.col("value").rlike(discovery.DATED_SEGMENT).alias("dated")).collect()
+    for r in rows:
+        field = discovery.Field("price")
+        field.put(0, r.value)
+        assert (discovery.plausible_price(r.value), field.named, field.roomy > 0, discovery.roles(r.value) is None) == (r.price, r.named, r.roomy and r.value.strip(" ") != "", r.dated), r
+
+
 def test_names_of_long_arrays_are_counted_whole(spark):
     """Fields are told by twelve objects, the names of all are counted."""
     import json
