@@ -250,6 +250,25 @@ def test_discovery_rules(spark):
     assert [why(x) for x in (None, " ", "sold out", "sold out, was ₹ 2,500", "Rs 2500", "$ 99")] == ["no_text", "no_text", "no_marked_price", "sold_out", None, "no_marked_price"]
 
 
+def test_fold_by_blocks_is_linear_in_a_keys_length(spark):
+    """A key's steps are never copied as a whole: one key of 4000 takes about what four of 1000 take. Blocks' edges change nothing."""
+    import time
+
+    def made(keys, n):
+        at = F.col("id").cast("long")
+        return spark.range(keys * n).select((at % keys).cast("string").alias("offer_key"), F.timestamp_seconds(at).alias("checked_at"), at.alias("event_id"), (F.lit(1000) + at * 7919 % 13 * 100).cast("decimal(12,2)").alias("price"), (at * 31 % 11 > 0).alias("is_available"))
+
+    def took(keys, n):
+        began = time.perf_counter()
+        detector.fold(made(keys, n).coalesce(1)).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    took(1, 1000)
+    assert took(1, 4000) < 3 * took(4, 1000) + 2
+    for n in (1, detector.BLOCK, detector.BLOCK + 1, 3 * detector.BLOCK + 5):
+        assert sorted(map(repr, detector.fold(made(2, n)).collect())) == sorted(map(repr, detector.fold_stream(made(2, n)).select(*detector.fold(made(2, n)).columns).collect()))
+
+
 def test_pages_are_judged_in_one_go(spark):
     """A page's rows are shuffled once, and its values are never rows of their own."""
     from lumenfare import registry
