@@ -134,6 +134,23 @@ def test_cursor_reads_each_change_once_across_restarts(spark, tmp_path):
     assert flat == sorted(some + more) and all(max(ids) - min(ids) < 10 for ids in seen if ids)
 
 
+def test_a_batch_holds_several_reads(spark, tmp_path):
+    """Reads of ten ids at most, told by the id they begin after, four of them in a micro-batch."""
+    cursor.register(spark)
+    base, seen = f"file://{tmp_path}", []
+    ids = [3 * k + 1 for k in range(60)]
+    spark.createDataFrame([(k,) for k in ids], "change_id long").repartitionByRange(3, "change_id").sortWithinPartitions("change_id").write.parquet(f"{base}/in")
+    source = spark.readStream.format("changes_by_cursor").schema("read long, change_id long").option("path", f"{base}/in").option("cursor", f"{base}/cursor").option("step", 10).option("reads", 4).option("read", "read").load()
+    q = source.writeStream.foreachBatch(lambda rows, batch: seen.append(sorted(rows.collect()))).option("checkpointLocation", f"{base}/state").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    full = [b for b in seen if b]
+    assert [r.change_id for b in full for r in b] == ids and all(r.read == (r.change_id - 1) // 10 * 10 for b in full for r in b)
+    assert len(full) == 5 and len({r.read for r in full[0]}) == 4
+
+
 def test_upsert_copies_only_touched_months(spark, tmp_path):
     path, schema = f"file://{tmp_path}/t", "id long, day date, v string, version int"
     day = lambda m, d=1: dt.date(2024, m, d)
